@@ -1 +1 @@
-
+"""Registered queries over derived tables."""
