@@ -4,8 +4,8 @@ All n-grams have one global order, that of their hashes.  Cut into fragments of
 document's set becomes one segment a fragment:
 
 * many narrow fragments find candidates.  Two sets that may link differ in at most D n-grams, so
-  of D + 1 fragments one at least is the same in both; a document therefore writes a signature of
-  each of its segments, and documents that share one are candidates;
+  of K > D fragments at least K - D are the same in both; a document therefore writes a signature
+  of each of its segments, and documents that share K - D are candidates;
 * few wide fragments count.  The overlap of a candidate pair is counted in each fragment by
   itself, and the partial counts are summed per pair.
 """
@@ -37,31 +37,35 @@ def set_node(own: np.ndarray) -> int:
     return int(mix(mix(own).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))).view(np.int64)[0])
 
 
+def fragments_of(level: int, levels: np.ndarray, percent: int) -> tuple[int, int]:
+    """(fragments, how many of them may be empty) at a level; no fragments where sets that link are equal."""
+    most = (100 - percent) * int(levels[level + 1] - 1 + levels[level + 2] - 1) // (100 + percent)
+    spare = 2 + most // 40
+    return (most + 1 + spare, spare) if most else (0, 0)
+
+
 def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a sorted set of hashes, for its own size class and the one below.
 
     At level L, for sizes of the classes L and L + 1, D bounds the differences of a pair that
     links.  There are D + 1 + s fragments, so s + 1 segments at least are equal in such a pair.  A set
     with more than s empty segments also writes the empty ones, as the equal ones of a pair might
-    all be empty; otherwise one that is not empty is among them.
+    all be empty; otherwise one that is not empty is among them.  A signature has 49 bits, the last
+    of which tells the two levels apart; equal ones of different segments only add candidates.
     """
     at, out = int(np.searchsorted(levels, len(own), side="right")) - 1, [np.empty(0, np.uint64)]
     high, mixed = own >> np.uint64(32), mix(own)
     for level in (at, at - 1):
-        if level < 0:
-            continue
-        sizes = int(levels[level + 1] - 1 + levels[level + 2] - 1)
-        most = (100 - percent) * sizes // (100 + percent)
-        if not most:
+        fragments, spare = fragments_of(level, levels, percent) if level >= 0 else (0, 0)
+        if not fragments:
             continue
-        spare = 2 + most // 40
-        fragments = most + 1 + spare
         tag, step = mix(np.full(1, level + 1, np.uint64)), np.uint64(0x9E3779B97F4A7C15)
         segment = (high * np.uint64(fragments)) >> np.uint64(32)
         begins = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 40)))
-        out.append(mix(np.add.reduceat(mixed, begins) + segment[begins] * step + tag))
+        found = [mix(np.add.reduceat(mixed, begins) + segment[begins] * step + tag)]
         if fragments - len(begins) > spare:
-            out.append(mix(np.setdiff1d(np.arange(fragments, dtype=np.uint64), segment[begins]) * step + tag))
+            found.append(mix(np.setdiff1d(np.arange(fragments, dtype=np.uint64), segment[begins]) * step + tag))
+        out += [(x >> np.uint64(15)) & ~np.uint64(1) | np.uint64(level & 1) for x in found]
     return np.concatenate(out)
 
 
@@ -118,23 +122,26 @@ def similar_groups(
                 if len(own) and (node := set_node(own)) not in seen:
                     seen.add(node)
                     found.append(signatures(own, levels, percent))
-                    nodes.append(np.full(len(found[-1]), node, np.int64))
+                    nodes.append(np.full(len(found[-1]), node & 0x7FFFFFFF, np.int32))
             if found:
-                yield pd.DataFrame({"sig": np.concatenate(found).view(np.int64), "node": np.concatenate(nodes)})
+                yield pd.DataFrame({"sig": np.concatenate(found).view(np.int64), "tag": np.concatenate(nodes)})
 
-    written = base.select("text").mapInPandas(write_signatures, "sig long, node long")
-    shared = stage(written.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig"), "signatures")
+    # A node's last 31 bits are enough to tell two nodes of one signature apart: they agree for one pair in 2**31.
+    written = base.select("text").mapInPandas(write_signatures, "sig long, tag int")
+    shared = stage(written.groupBy("sig").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo < hi").select("sig"), "signatures")
     hot = spark.sparkContext.broadcast(_bitmap(shared))
 
     def describe(batches):
         for rows, sets in _sets(batches, width):
             nodes = pd.array([set_node(x) if len(x) else None for x in sets], dtype="Int64")
             hits = [(s := signatures(x, levels, percent) if len(x) else np.empty(0, np.uint64))[_in_bitmap(hot.value, s)].view(np.int64) for x in sets]
-            yield pd.DataFrame({"id": rows["id"], "h": rows["h"], "node": nodes, "n": [len(x) for x in sets], "hits": hits})
+            n = np.array([len(x) for x in sets], np.int64)
+            classes = np.searchsorted(levels, n, side="right") - 1
+            yield pd.DataFrame({"id": rows["id"], "h": rows["h"], "node": nodes, "n": n, "level": classes, "hits": hits})
 
     kind = docs.schema[key].dataType.simpleString()
-    described = stage(base.mapInPandas(describe, f"id {kind}, h long, node long, n long, hits array<long>"), "documents")
-    members = described.where(F.size("hits") > 0).select(F.explode("hits").alias("sig"), "node", "n").distinct()
+    described = stage(base.mapInPandas(describe, f"id {kind}, h long, node long, n long, level long, hits array<long>"), "documents")
+    members = described.where(F.size("hits") > 0).select(F.explode("hits").alias("sig"), "node", "n", "level").distinct()
     members = stage(members.join(shared, "sig", "left_semi"), "members")
     labels = stage(members.select("node", F.col("node").alias("label")).distinct(), "labels")
 
@@ -165,14 +172,22 @@ def similar_groups(
         whole = one.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return whole.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
-    def pairs_of(joined: DataFrame) -> DataFrame:
-        """Distinct pairs of (node, n, node2, n2) whose sizes allow a link."""
+    def pairs_of(joined: DataFrame, whole: bool) -> DataFrame:
+        """Pairs of (node, n, level, node2, n2, level2) whose sizes allow a link.  Where ``joined`` has a row for
+        each signature that a pair shares, those that share too few of their level go: of its
+        fragments at least K - D are equal, and the spare ones at most are empty and not written."""
         near = joined.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("node") != F.col("node2")))
         first = F.col("node") < F.col("node2")
-        return near.select(
+        found = near.withColumn("at", F.least("level", "level2"))
+        found = found.where(F.expr("sig & 1") == F.col("at") % 2).select(
             F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("nb"),
-        ).distinct()
+            F.when(first, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("nb"), "at",
+        ).groupBy("a", "b", "na", "nb", "at").agg(F.count(F.lit(1)).alias("shared"))
+        if whole:
+            bound = F.element_at(F.lit([fragments_of(i, levels, percent)[0] - fragments_of(i, levels, percent)[1] for i in range(len(levels) - 2)]), (F.col("at") + 1).cast("int"))
+            differ = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+            found = found.where(F.col("shared") >= bound - differ)
+        return found.select("a", "b", "na", "nb")
 
     def merged(labels: DataFrame, linked: DataFrame) -> DataFrame:
         of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
@@ -180,22 +195,24 @@ def similar_groups(
         new = components(edges, node="label", component="new")
         return stage(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
+    before = None
     for r in range(rounds):
         labelled = members.join(labels, "node")
         per = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("k"))
         left = per.where("k > 1").agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not left["rows"] or left["pairs"] <= 8 * left["rows"]:
+        if not left["rows"] or left["pairs"] <= 4 * left["rows"] or before and left["pairs"] > 0.9 * before:
             break
-        order = F.struct(F.xxhash64("node", F.lit(r)).alias("o"), F.col("node"), F.col("n"), F.col("label"))
+        before = left["pairs"]
+        order = F.struct(F.xxhash64("node", F.lit(r)).alias("o"), F.col("node"), F.col("n"), F.col("level"), F.col("label"))
         leader = labelled.groupBy("sig").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        leader = leader.select("sig", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.label").alias("label2"))
-        labels = merged(labels, links(pairs_of(labelled.join(leader, "sig").where("label <> label2"))))
+        leader = leader.select("sig", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.level").alias("level2"), F.col("lead.label").alias("label2"))
+        labels = merged(labels, links(pairs_of(labelled.join(leader, "sig").where("label <> label2"), False)))
 
     labelled = stage(members.join(labels, "node"), "labelled")
     sides = labelled.select("sig", "label").distinct()
     across = sides.join(sides.select("sig", F.col("label").alias("label2")), "sig").where("label < label2")
-    other = labelled.select("sig", F.col("label").alias("label2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
-    labels = merged(labels, links(pairs_of(labelled.join(across, ["sig", "label"]).join(other, ["sig", "label2"]))))
+    other = labelled.select("sig", F.col("label").alias("label2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("level").alias("level2"))
+    labels = merged(labels, links(pairs_of(labelled.join(across, ["sig", "label"]).join(other, ["sig", "label2"]), True)))
 
     placed = described.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
     groups = stage(placed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")

@@ -30,6 +30,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """A dict that computes what it misses."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self[key] = self.compute(key)
+        return value
+
+
 class Encoder:
     """Byte-level BPE ids of whole texts, with the ids of words kept from one text to the next.
 
@@ -45,47 +57,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.keep, self.words, self.pieces = keep, {}, {}
+        self.keep, self.words, self.pieces = keep, _Memo(self._word), _Memo(self._piece)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if piece[0] == " " and piece.isascii():
             spelled = "Ġ" + piece[1:]
         else:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _piece_of(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            ids = self.pieces[piece] = self._piece(piece)
-        return ids
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
         if word.isalpha():
-            return self._piece_of(" " + word)
-        if word[:-1].isalpha() and word[-1] in ",.":
-            return self._piece_of(" " + word[:-1]) + self._piece_of(word[-1])
+            return self.pieces[" " + word]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
         if not _PLAIN.fullmatch(word):
             return self._ids(" " + word)
-        return b"".join(map(self._piece_of, _PIECES.findall(" " + word)))
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + word)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [(_BEFORE_WORD.split(t) if "  " in t else t.split(" ")) if t else [""] for t in texts]
-        new = set().union(*cut)
-        new.difference_update(self.words)
-        if self.words and len(self.words) + len(new) > self.keep:
-            self.words, self.pieces = {}, {}
-            new = set().union(*cut)
-        for w in new:
-            self.words[w] = self._word(w)
-        look = self.words.__getitem__
-        return [(self._ids(words[0]) if words[0] else b"") + b"".join(map(look, words[1:])) for words in cut]
+        look, out = self.words.__getitem__, []
+        for t in texts:
+            words = (_BEFORE_WORD.split(t) if "  " in t else t.split(" ")) if t else [""]
+            out.append((self._ids(words[0]) if words[0] else b"") + b"".join(map(look, words[1:])))
+        if len(self.words) > self.keep:
+            self.words.clear()
+            self.pieces.clear()
+        return out
 
 
 def encoder(path: str) -> Encoder:
