@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .spans import matches, of_kind, written
 
 #: The patterns of the base kinds, in order of rank.
@@ -49,18 +50,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: i
 
     Samples are labelled by the patterns: values of assignments, access keys and hex runs are
     random, runs of at least 4 letters or underscores between blanks are ordinary.  They come from
-    the ``documents`` rows with the smallest hashes of their keys among those with a base match,
-    and as many without, which bounds the fit; the table has about alphabet**2 entries.
+    about ``documents`` rows, drawn by hash, that seem to have a base match, and as many without,
+    which bounds the fit; the table has about alphabet**2 entries.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    likely = t.rlike(f"(?i:password|passwd|secret|token|api_?key)|AKIA|{HEX}")
-    order = Window.partitionBy("likely").orderBy("h")
-    sample = (
-        docs.select(F.xxhash64(F.col(key).cast("string"), t).alias("h"), likely.alias("likely"), t.alias("text"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= documents)
-        .select("text", "likely")
-    )
+    likely = F.col("text").rlike(f"(?i:password|passwd|secret|token|api_?key)|AKIA|{HEX}")
+    rows = docs.select(F.col(key).cast("string").alias("id"), t.alias("text")).withColumn("likely", likely)
+    sample = bounded_sample(rows, F.col("likely"), F.concat_ws(":", "id", F.substring("text", 1, 100)), documents).select("text", "likely")
     assign, access, hexes = base_spans(F.col("text"))
     secrets = sample.where("likely").select(
         F.explode(

@@ -12,10 +12,11 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import stage
+from .sampling import bounded_sample
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -89,20 +90,13 @@ def train(
 ) -> Lexicon:
     """Learn the insult lexicon from labelled rows.
 
-    Of each label the ``documents`` rows with the smallest key hashes teach, so the fit is
-    bounded.  A word, or the first 4 or 5 letters of longer words, is an insult if at least ``least`` toxic
+    Of each label about ``documents`` rows, drawn by hash, teach, so the fit is bounded.  A word, or the first 4 or 5 letters of longer words, is an insult if at least ``least`` toxic
     texts hold it and its share of toxic texts is ``odds`` times that of the others (one added to
     the others' count); its weight is the log of that ratio, and ``most`` bounds the entries.  The
     bias is the log odds of toxic among the texts without an insult, kept between -6 and -1.5.
     """
-    order = Window.partitionBy("y").orderBy("h", "text")
-    rows = (
-        labelled.where(F.col(label).isNotNull())
-        .select((F.col(label) == 1).cast("int").alias("y"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= documents)
-        .select("y", "text", "h")
-    )
+    known = labelled.where(F.col(label).isNotNull()).select((F.col(label) == 1).cast("int").alias("y"), F.coalesce(text, F.lit("")).alias("text"), F.col(key).cast("string").alias("id"))
+    rows = bounded_sample(known, F.col("y"), F.concat_ws(":", "id", F.substring("text", 1, 100)), documents)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -135,15 +129,9 @@ def train(
 
 def train_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = 20_000) -> Lexicon:
     """``train`` on a labels table beside the documents: the rows to learn from are chosen among
-    the labels by the hashes of their keys, so at most ``documents`` keys of each label are sent to the scan."""
-    order = Window.partitionBy(label).orderBy("_h", key)
-    picked = (
-        labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-        .withColumn("_h", F.xxhash64(F.col(key).cast("string")))
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= documents)
-        .select(key, label)
-    )
+    the labels by the hashes of their keys, so about ``documents`` keys of each label are sent to the scan."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
+    picked = bounded_sample(known, F.col(label), F.col(key).cast("string"), documents)
     return train(stage(docs.select(key, text).join(F.broadcast(picked), key), "labelled"), key, text, label, documents)
 
 
