@@ -110,6 +110,9 @@ def train(
                 own = {"=" + w for w in words} | {w[:n] for w in words for n in (4, 5) if len(w) > n}
                 ys += [y] * len(own)
                 fs += own
+                if len(fs) > 50_000:
+                    yield type(batch)({"y": np.array(ys, np.int64), "f": np.array(fs, dtype=object)})
+                    ys, fs = [], []
             yield type(batch)({"y": np.array(ys, np.int64), "f": np.array(fs, dtype=object)})
 
     counts = rows.mapInPandas(features, "y long, f string").groupBy("f").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
