@@ -33,3 +33,60 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", node: str =
         mark = n
     roots = e.select(F.col("v").alias(node), F.col("v").alias(component)).distinct()
     return e.select(F.col("u").alias(node), F.col("v").alias(component)).union(roots)
+
+
+def room_clusters(rooms: DataFrame, door_rooms: DataFrame) -> DataFrame:
+    """H2: private rooms joined by doors: rooms (page_id, room_id), door_rooms (via_id, room_id) with
+    every room near a door.  A door joins its first room to each other one; result: room_id, cluster."""
+    first = door_rooms.groupBy("via_id").agg(F.min("room_id").alias("a"))
+    edges = door_rooms.join(first, "via_id").where("room_id > a").select("a", F.col("room_id").alias("b"))
+    linked = components(edges, node="room_id", component="cluster")
+    return rooms.join(linked, "room_id", "left").select("page_id", "room_id", F.coalesce("cluster", "room_id").alias("cluster"))
+
+
+def merge_tiles(regions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """H4: one instance for each component of matching tile regions: the best region's attributes,
+    the largest confidence, how many were stitched, and the union box."""
+    linked = components(pairs, node="region_id", component="instance")
+    own = regions.join(linked, "region_id", "left").withColumn("instance", F.coalesce("instance", "region_id"))
+    best = F.struct("confidence", (-F.col("region_id")).alias("r"))
+    return own.groupBy("page_id", "instance").agg(
+        F.max_by("type", best).alias("type"), F.max_by("label", best).alias("label"), F.max("confidence").alias("confidence"), F.count("*").alias("stitched_from"),
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
+    )
+
+
+def door_reach(edges: DataFrame) -> DataFrame:
+    """H6: rooms that doors join, directly or through others, as component ids."""
+    return components(edges.where("kind = 'door'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), node="room_id", component="reach")
+
+
+def cross_ventilation(rooms: DataFrame, edges: DataFrame) -> DataFrame:
+    """H7: whether a unit has two windowed rooms in one door component; false with fewer than two."""
+    lit = edges.where("kind = 'exterior_window'").select(F.col("from_id").alias("room_id")).distinct()
+    own = rooms.where("unit_id IS NOT NULL").join(door_reach(edges), "room_id", "left").withColumn("reach", F.coalesce("reach", "room_id"))
+    per = own.join(lit.withColumn("lit", F.lit(1)), "room_id", "left").groupBy("unit_id", "reach").agg(F.count("lit").alias("windowed"))
+    return per.groupBy("unit_id").agg((F.max("windowed") >= 2).alias("cross_ventilated"))
+
+
+def room_ego(rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
+    """H8: each room's numbers of wall neighbours, door neighbours and windows."""
+    both = lambda e, name: e.select(F.col("from_id").alias("room_id"), F.col("to_id").alias("other")).union(e.select("to_id", "from_id")).groupBy("room_id").agg(F.countDistinct("other").alias(name))
+    windows = openings.where("kind = 'exterior_window'").groupBy(F.col("from_id").alias("room_id")).agg(F.count("*").alias("windows"))
+    out = rooms.select("page_id", "room_id").join(both(walls, "neighbours"), "room_id", "left")
+    out = out.join(both(openings.where("kind = 'door'"), "doors"), "room_id", "left").join(windows, "room_id", "left")
+    return out.fillna(0, ["neighbours", "doors", "windows"])
+
+
+def unit_graph(rooms: DataFrame, edges: DataFrame) -> DataFrame:
+    """H9: edges with whether they cross a boundary: two units, or a shared and a private room."""
+    side = lambda p: rooms.select(F.col("room_id").alias(f"{p}_id"), F.col("unit_id").alias(f"unit_{p}"), F.col("is_common").alias(f"shared_{p}"))
+    both = edges.join(side("from"), "from_id").join(side("to"), "to_id")
+    crossing = F.coalesce(F.col("unit_from") != F.col("unit_to"), F.lit(False)) | (F.col("shared_from") != F.col("shared_to"))
+    return both.select("page_id", "kind", "from_id", "to_id", crossing.alias("boundary"))
+
+
+def graph_relationships(edges: DataFrame) -> DataFrame:
+    """Graph edges as relationship rows of confidence 0.85."""
+    kind = F.when(F.col("kind") == "exterior_window", "room_window_exterior").when(F.col("kind").isin("door", "room_door"), "room_door_access").otherwise("room_adjacency")
+    return edges.select("page_id", kind.alias("kind"), "from_id", "to_id", F.lit(0.85).alias("confidence"))
