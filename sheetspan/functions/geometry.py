@@ -314,3 +314,21 @@ def two_point_ppm(ax: Column, ay: Column, bx: Column, by: Column, metres: Column
 
 def compactness(area: Column, perimeter_: Column) -> Column:
     return F.when(perimeter_ > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.5), 12.566370614359172 * area / (perimeter_ * perimeter_)))).otherwise(0.0)
+
+
+def map_ocr_quad(points: Column, frame: Column) -> Column:
+    """Points of a crop's raster in page pixels: frame is struct<crop,raster_w,raster_h>; without a
+    frame the points are in page pixels already."""
+    sx, sy = frame["crop"]["width"] / frame["raster_w"], frame["crop"]["height"] / frame["raster_h"]
+    moved = F.transform(points, lambda p: point(frame["crop"]["x"] + p["x"] * sx, frame["crop"]["y"] + p["y"] * sy))
+    return F.when(frame.isNull(), points).otherwise(moved)
+
+
+def heading_of(stored: Column, vector: Column, base: Column, tip: Column, points: Column) -> Column:
+    """Heading in degrees: the stored one, then a stored vector, then from base to tip, then along
+    the longest edge; null if none is known."""
+    def along(dx, dy):
+        return F.when((F.abs(dx) > EPS) | (F.abs(dy) > EPS), heading_deg(dx, dy))
+
+    e = long_edge(points)
+    return F.coalesce(stored, along(vector["x"], vector["y"]), along(tip["x"] - base["x"], tip["y"] - base["y"]), along(e["bx"] - e["ax"], e["by"] - e["ay"]))
