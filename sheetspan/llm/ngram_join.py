@@ -6,7 +6,9 @@ document's set becomes one segment a fragment:
 * many narrow fragments find candidates.  Two sets that may link differ in at most D n-grams, so
   of K > D fragments at least K - D are the same in both; a document therefore writes a signature
   of each of its segments, and documents that share K - D are candidates;
-* few wide fragments count.  The overlap of a candidate pair is counted in each fragment by
+* as many fragments as n-grams, a byte each, bound the differences of a candidate pair from below:
+  a fragment whose bytes differ holds one at least;
+* few wide fragments count.  The overlap of a remaining pair is counted in each fragment by
   itself, and the partial counts are summed per pair.
 """
 
@@ -69,6 +71,15 @@ def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(own: np.ndarray, level: int, levels: np.ndarray) -> bytes:
+    """A byte for each of a level's finest fragments, the sum of its segment's hashes."""
+    fragments = int(levels[level + 1])
+    segment = ((own >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+    sums = np.zeros(fragments, np.uint8)
+    np.add.at(sums, segment.astype(np.int64), (mix(own) >> np.uint64(40)).astype(np.uint8))
+    return sums.tobytes()
+
+
 def _bitmap(column: DataFrame) -> np.ndarray:
     """A fixed 2**BITS bits with those set whose numbers are the low bits of the one long column."""
     x = column.toDF("x").select(F.expr(f"x & {(1 << BITS) - 1}").alias("x"))
@@ -156,18 +167,33 @@ def similar_groups(
             for own in sets:
                 if len(own) and (node := set_node(own)) not in seen:
                     seen.add(node)
+                    at = int(np.searchsorted(levels, len(own), side="right")) - 1
+                    below = sketch(own, at - 1, levels) if at else None
+                    out.append((node, -1, None, at, sketch(own, at, levels), below))
                     part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                    for k in np.unique(part):
-                        out.append((node, int(k), own[part == k].view(np.int64)))
+                    out += [(node, int(k), own[part == k].view(np.int64), None, None, None) for k in np.unique(part)]
             if out:
-                yield pd.DataFrame(out, columns=["node", "part", "v"])
+                yield pd.DataFrame(out, columns=["node", "part", "v", "level", "own", "below"]).astype({"level": "Int64"})
+
+    segments = base.mapInPandas(write_segments, "node long, part int, v array<long>, level long, own binary, below binary").join(labels, "node", "left_semi")
+    segments = stage(segments.groupBy("node", "part").agg(*(F.first(c).alias(c) for c in ("v", "level", "own", "below"))), "segments")
 
-    segments = base.mapInPandas(write_segments, "node long, part int, v array<long>").join(labels, "node", "left_semi")
-    segments = stage(segments.groupBy("node", "part").agg(F.first("v").alias("v")), "segments")
+    def may_link(batches):
+        for batch in batches:
+            keep = []
+            for r in batch.itertuples(index=False):
+                level = min(r.level_a, r.level_b)
+                x, y = (np.frombuffer(one if at == level else two, np.uint8) for one, two, at in ((r.own_a, r.below_a, r.level_a), (r.own_b, r.below_b, r.level_b)))
+                keep.append(np.count_nonzero(x != y) * (100 + percent) <= (100 - percent) * (r.na + r.nb))
+            yield batch.loc[np.array(keep, bool), ["a", "b", "na", "nb"]]
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, na, nb): those that link, from the overlaps counted part by part."""
-        of = lambda side: segments.select(F.col("node").alias(side), "part", F.col("v").alias(f"v{side}"))
+        """Of pairs (a, b, na, nb): those that link.  The sketches leave out pairs of too many
+        differences; of the others the overlaps are counted part by part."""
+        sketches = segments.where("part = -1")
+        fine = lambda side: sketches.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("level", "own", "below")))
+        pairs = pairs.join(fine("a"), "a").join(fine("b"), "b").mapInPandas(may_link, "a long, b long, na long, nb long")
+        of = lambda side: segments.where("part >= 0").select(F.col("node").alias(side), "part", F.col("v").alias(f"v{side}"))
         one = pairs.join(of("a"), "a").join(of("b"), ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("va", "vb")).alias("common"))
         whole = one.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return whole.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
@@ -200,7 +226,7 @@ def similar_groups(
         labelled = members.join(labels, "node")
         per = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("k"))
         left = per.where("k > 1").agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not left["rows"] or left["pairs"] <= 4 * left["rows"] or before and left["pairs"] > 0.9 * before:
+        if not left["rows"] or left["pairs"] <= 2 * left["rows"] or before and left["pairs"] > 0.9 * before:
             break
         before = left["pairs"]
         order = F.struct(F.xxhash64("node", F.lit(r)).alias("o"), F.col("node"), F.col("n"), F.col("level"), F.col("label"))
