@@ -158,3 +158,23 @@ def bridge_rules(rules: DataFrame, guidelines: DataFrame) -> DataFrame:
     new = guidelines.where("mapped_kind IS NOT NULL").join(F.broadcast(have), "mapped_kind", "left_anti")
     made = new.select(C("clause").alias("code"), C("mapped_kind").alias("kind"), (~C("mapped_kind").isin("apartment_dual_aspect", "habitable_has_window")).alias("requires_scale"))
     return rules.select("code", "kind", "requires_scale").unionByName(made)
+
+
+def class_legend(datasets: DataFrame, stock: DataFrame, defaults: list[str]) -> DataFrame:
+    """The training legend of each data set (dataset_id, purpose, class_name, ord): its classes
+    without the stock names (purpose, class_name) of other purposes; a north-arrow data set has one
+    class; without any the defaults stand."""
+    foreign = F.broadcast(stock.select(C("purpose").alias("_p"), C("class_name").alias("_c")))
+    own = datasets.join(foreign, (C("class_name") == C("_c")) & (C("purpose") != C("_p")), "left_anti")
+    kept = own.groupBy("dataset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "class_name"))), lambda r: r["class_name"]).alias("classes"))
+    ids = datasets.select("dataset_id", "purpose").distinct()
+    legend = F.when(C("purpose") == "north", F.array(F.lit("north_arrow"))).otherwise(F.coalesce("classes", F.array(*(F.lit(d) for d in defaults))))
+    return ids.join(kept, "dataset_id", "left").select("dataset_id", "purpose", F.array_join(legend, ",").alias("legend"))
+
+
+def crop_purpose(crops: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The first category (category, legend, ord) whose legend holds all labels of a crop
+    (crop_id, labels, source), else the source's category."""
+    fits = crops.join(F.broadcast(catalog), F.size(F.array_except("labels", "legend")) == 0)
+    best = fits.groupBy("crop_id").agg(F.min_by("category", "ord").alias("category"))
+    return crops.join(best, "crop_id", "left").select("crop_id", F.coalesce("category", "source").alias("category"))

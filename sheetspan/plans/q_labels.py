@@ -144,3 +144,31 @@ def c22_headings(spark, sf_dir):
     base, tip = F.when(k == 2, g.point(F.lit(9), F.lit(1))), F.when(k == 2, g.point(F.lit(3), F.lit(1)))
     df = spatial.of_type(rects(entities(spark, sf_dir)), "window")
     return df.select("entity_id", F.round(g.heading_of(stored, vector, base, tip, C("points")), 6).alias("heading"))
+
+
+_STOCK = [("rooms", "Bedroom"), ("rooms", "Bathroom"), ("openings", "Window"), ("openings", "Main Door"), ("walls", "Wall")]
+_PURPOSE = "['rooms', 'openings', 'north'][page_id % 3 + 1]"
+
+
+@query(f"""WITH d AS (SELECT page_id AS dataset_id, {_PURPOSE} AS purpose, label, min(ord) AS o FROM d_entities GROUP BY 1, 2, 3), s(p, c) AS (VALUES {", ".join(f"('{p}', '{c}')" for p, c in _STOCK)}),
+k AS (SELECT dataset_id, string_agg(label, ',' ORDER BY o) AS legend FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.c = d.label AND s.p <> d.purpose) GROUP BY 1)
+SELECT DISTINCT d.dataset_id, d.purpose, CASE WHEN d.purpose = 'north' THEN 'north_arrow' ELSE coalesce(k.legend, 'Room') END AS legend FROM d LEFT JOIN k USING (dataset_id)""")
+def a14_class_legends(spark, sf_dir):
+    purpose = F.element_at(F.array(F.lit("rooms"), F.lit("openings"), F.lit("north")), (C("page_id") % 3 + 1).cast("int"))
+    data = entities(spark, sf_dir).groupBy(C("page_id").alias("dataset_id"), purpose.alias("purpose"), C("label").alias("class_name")).agg(F.min("ord").alias("ord"))
+    return labels.class_legend(data, spark.createDataFrame(_STOCK, "purpose string, class_name string"), ["Room"])
+
+
+@query("""WITH c AS (SELECT page_id AS crop_id, bool_and(type IN ('door', 'window')) AS a, bool_and(type IN ('door', 'window', 'wall', 'fixture')) AS b FROM d_entities WHERE entity_id % 5 = 0 GROUP BY 1) SELECT crop_id, CASE WHEN a THEN 'openings' WHEN b THEN 'structure' ELSE 'full' END AS category FROM c""")
+def a15_crop_purposes(spark, sf_dir):
+    crops = entities(spark, sf_dir).where("entity_id % 5 = 0").groupBy(C("page_id").alias("crop_id")).agg(F.collect_set("type").alias("labels")).withColumn("source", F.lit("full"))
+    catalog = spark.createDataFrame([("openings", ["door", "window"], 1), ("structure", ["door", "window", "wall", "fixture"], 2)], "category string, legend array<string>, ord int")
+    return labels.crop_purpose(crops, catalog)
+
+
+@query(f"WITH {ROOMS} SELECT r.page_id, p.level_index AS level, unit_label AS unit, label AS room, CASE WHEN is_common THEN 'yes' ELSE 'no' END AS shared, ord FROM g_rooms r JOIN d_pages p USING (page_id)")
+def w2_hierarchy_report(spark, sf_dir):
+    from ..sources import writers
+
+    floors = views(spark, sf_dir, "d_pages").select("page_id", C("level_index").alias("level"))
+    return writers.hierarchy_report(floors, room_graph(spark, sf_dir)[0])
