@@ -123,3 +123,16 @@ def test_kept_boxes_do_not_overlap(spark):
     same = df.select(F.col("page_id").alias("sheet_id"), F.col("region_id").alias("gold_id"), F.col("region_id").alias("ord"), "x", "y", "w", "h")
     m = rollup.match_boxes(same, same.withColumnRenamed("gold_id", "pred_id"))
     assert [r["pq"] for r in rollup.pq(m, same, same).collect()] == [1.0]
+
+
+def test_published_results_do_not_repeat(spark, tmp_path):
+    schema = "job_id long, status string, last_ts timestamp"
+    first = spark.sql("SELECT 1L AS job_id, 'completed' AS status, timestamp'2024-01-01' AS last_ts UNION ALL SELECT 2L, 'running', timestamp'2024-01-01'")
+    first.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for batch in range(2):
+        if batch:
+            spark.sql("SELECT 1L AS job_id, 'completed' AS status, timestamp'2024-01-02' AS last_ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.publish_results(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out/v=1").collect()
+    assert [(r["job_id"], r["version"].day) for r in got] == [(1, 2)]
