@@ -226,7 +226,7 @@ def similar_groups(
         labelled = members.join(labels, "node")
         per = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("k"))
         left = per.where("k > 1").agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not left["rows"] or left["pairs"] <= 2 * left["rows"] or before and left["pairs"] > 0.9 * before:
+        if not left["rows"] or left["pairs"] <= 16 * left["rows"] or before and left["pairs"] > 0.9 * before:
             break
         before = left["pairs"]
         order = F.struct(F.xxhash64("node", F.lit(r)).alias("o"), F.col("node"), F.col("n"), F.col("level"), F.col("label"))
