@@ -14,6 +14,7 @@ from .hashing import batches_of_bytes, word_hashes
 from .sampling import bounded_sample
 
 SLOTS = 1 << 17
+WINDOW = 2000
 
 
 @dataclass
@@ -33,6 +34,12 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def _distinct(words: np.ndarray) -> float:
+    """The mean share of distinct words over windows of ``WINDOW`` words of the whole text, weighted
+    by their length (the last one may be short); a share over all words would fall with length."""
+    return sum(len(np.unique(words[k : k + WINDOW])) for k in range(0, len(words), WINDOW)) / max(1, len(words))
+
+
 def _shape(texts: list[bytes], evidence: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, features): a token is a word; features are shares of kinds of bytes, word lengths,
     repeated words, and the largest and mean positive evidence of the words for each domain."""
@@ -47,8 +54,7 @@ def _shape(texts: list[bytes], evidence: np.ndarray | None) -> tuple[np.ndarray,
             n, w = max(1, len(t)), words[offsets[i] : offsets[i + 1]]
             kinds = [raw[65:91].sum() / n, raw[48:58].sum() / n, (raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()) / n, raw[124] / n, raw[10] / n]
             same = float((w[1:] == w[:-1]).mean()) if len(w) > 1 else 0.0
-            distinct = len(np.unique(w[:2000])) / max(1, len(w[:2000]))
-            row = [*kinds, n / max(1, len(w)), same, distinct, np.log1p(len(w))]
+            row = [*kinds, n / max(1, len(w)), same, _distinct(w), np.log1p(len(w))]
             if domains:
                 e = np.maximum(evidence[slots[offsets[i] : offsets[i + 1]]], 0.0)
                 row += [*(e.max(axis=0) if len(e) else np.zeros(domains)), *(e.mean(axis=0) if len(e) else np.zeros(domains))]

@@ -290,3 +290,18 @@ def test_mixing(spark, odd, nothing):
     for df in (odd, nothing):
         m = mixing.measure(df, model)
         assert mixing.rates(m, mixing.fit(m, model.domains, {"good": 1.0}, iterations=3), model.domains).count() == df.count()
+
+
+def test_repeated_words_are_counted_over_the_whole_text(spark):
+    head = " ".join(f"w{i}" for i in range(2000))
+    texts = [head + " " + "spam junk " * 5000, head + " " + " ".join(f"v{i}" for i in range(10_000)), "a b a b", ""]
+    _, x = mixing._shape([t.encode() for t in texts], None)
+    assert x[:, 7].tolist() == [(2000 + 2 * 5) / 12_000, 1.0, 0.5, 0.0]
+    clean = [(i, " ".join(f"w{random.Random(i).randrange(10**6)}x{j}" for j in range(12_000))) for i in range(24)]
+    junk = [(100 + i, clean[i][1][: clean[i][1].index("x2000 ") + 6] + "spam junk " * 5000) for i in range(24)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 100, "good").otherwise("poor").alias("domain"))
+    model = mixing.train(docs, labels, F.col("domain"))
+    model.weights[[*range(7), *range(8, len(model.weights) - 1)]] = 0.0
+    found = {r["id"]: r["p"][model.domains.index("poor")] for r in mixing.measure(docs, model).collect()}
+    assert min(p for d, p in found.items() if d >= 100) > 0.5 > max(p for d, p in found.items() if d < 100)
