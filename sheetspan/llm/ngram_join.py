@@ -102,28 +102,17 @@ def _sets(batches, width: int):
             yield batch.iloc[part], shingle_sets(texts[part], width)
 
 
-def similar_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, parts: int = 4, rounds: int = 8
-) -> DataFrame:
-    """One row per input row: key, n_shingles, component_id.
+def _row_hash(key: str, text: str):
+    """Tells rows of one key apart by their texts: 64 bits over both."""
+    return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
-    A document's set holds its distinct shingles of ``width`` words (maximal runs outside
-    ``[\\x20\\x09-\\x0D]``, A-Z lower-cased); with fewer words the whole sequence is its one shingle;
-    null and wordless texts have the empty set and link with nothing.  Two documents link when
-    100 * intersection >= percent * union.  ``component_id`` is the smallest key reachable by links.
-    Rows that repeat a key are documents of their own; null keys take part and get the smallest
-    key of their component (null if it has none).
 
-    Documents of equal sets are one node from the start, so copies never meet in pairs.  Nodes
-    that share signatures are joined to a leader of their bucket first, a random one each round,
-    and what is linked by then needs no pairs among itself; when few pairs across components
-    remain, all of those are counted.  So every link between components is found, yet a large
-    group of near copies costs a multiple of its size.  Two fixed-size bitmaps let the later scans pass
-    over rows without partners early; they drop nothing that matters and only save work.
-    """
+def _placed(docs: DataFrame, key: str, text: str, width: int, percent: int, parts: int = 4, rounds: int = 8) -> DataFrame:
+    """One row per input row: id, h (``_row_hash``), n (shingles) and label, which is the same for the
+    rows of a component and null without words."""
     spark = docs.sparkSession
     levels = size_levels(percent)
-    base = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text))).alias("h"), F.col(text).alias("text"))
+    base = docs.select(F.col(key).alias("id"), _row_hash(key, text).alias("h"), F.col(text).alias("text"))
 
     def write_signatures(batches):
         seen: set[int] = set()
@@ -240,7 +229,29 @@ def similar_groups(
     other = labelled.select("sig", F.col("label").alias("label2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("level").alias("level2"))
     labels = merged(labels, links(pairs_of(labelled.join(across, ["sig", "label"]).join(other, ["sig", "label2"]), True)))
 
-    placed = described.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
+    return described.join(labels, "node", "left").select("id", "h", "n", F.coalesce("label", "node").alias("label"))
+
+
+def similar_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, parts: int = 4, rounds: int = 8
+) -> DataFrame:
+    """One row per input row: key, n_shingles, component_id.
+
+    A document's set holds its distinct shingles of ``width`` words (maximal runs outside
+    ``[\\x20\\x09-\\x0D]``, A-Z lower-cased); with fewer words the whole sequence is its one shingle;
+    null and wordless texts have the empty set and link with nothing.  Two documents link when
+    100 * intersection >= percent * union.  ``component_id`` is the smallest key reachable by links.
+    Rows that repeat a key are documents of their own; null keys take part and get the smallest
+    key of their component (null if it has none).
+
+    Documents of equal sets are one node from the start, so copies never meet in pairs.  Nodes
+    that share signatures are joined to a leader of their bucket first, a random one each round,
+    and what is linked by then needs no pairs among itself; when few pairs across components
+    remain, all of those are counted.  So every link between components is found, yet a large
+    group of near copies costs a multiple of its size.  Two fixed-size bitmaps let the later scans pass
+    over rows without partners early; they drop nothing that matters and only save work.
+    """
+    placed = _placed(docs, key, text, width, percent, parts, rounds)
     groups = stage(placed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
     return placed.join(groups, "label", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("size").isNotNull(), F.col("least")).otherwise(F.col("id")).alias("component_id")
@@ -248,7 +259,23 @@ def similar_groups(
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The input with one document of each component, that of the smallest key.  Rows with a null
-    key stay only alone."""
-    gone = similar_groups(docs, key, text, width, percent).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+    """The input with one row of each component: that of the smallest key, null keys last, and of rows
+    that repeat the key the one with the smallest hash of its text.  Rows without words are
+    components of their own and stay.  Of rows that repeat both key and text the one whose
+    columns, written as JSON, are smallest stays."""
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("h"), F.col("copies"))
+    placed = _placed(docs, key, text, width, percent).where("label IS NOT NULL").select("id", "h", "label")
+    rows = placed.groupBy("label", "id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    groups = stage(rows.groupBy("label").agg(F.min(rank).alias("best"), F.sum("copies").alias("size")).where("size > 1"), "groups")
+    lost = ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
+    marked = stage(
+        placed.join(groups, "label").where(lost | (F.col("best.copies") > 1)).select(F.col("id").alias("_id"), F.col("h").alias("_h"), lost.alias("_lost")).distinct(), "dropped"
+    )
+    same = lambda of: docs[key].eqNullSafe(of["_id"]) & (_row_hash(key, text) == of["_h"])
+    kept = docs.join(marked, same(marked), "left_anti")
+    copied = marked.where("NOT _lost")
+    if copied.isEmpty():
+        return kept
+    row = F.struct(*(docs[c] for c in docs.columns))
+    once = docs.join(copied, same(copied)).groupBy("_id", "_h").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.unionByName(once)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import zlib
@@ -78,6 +79,64 @@ def test_similar_groups(spark, docs, odd, nothing, width, percent):
         assert got == brute.components(pairs(df), width, percent)
 
 
+def one_of_each_component(rows, kept, width=5, percent=80):
+    """Asserts that of (key, text) rows just one of each component is among the kept, of the smallest key."""
+    numbered = brute.components([(i, t) for i, (_, t) in enumerate(rows)], width, percent)
+    groups = defaultdict(list)
+    for i, n, c in numbered:
+        groups[c if n else ("alone", i)].append(rows[i])
+    left = Counter(kept)
+    for own in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in own)
+        best = next(r for r in own if (r[0] is None, r[0] or 0) == least and left[r])
+        left[best] -= 1
+    assert not +left and sum(left.values()) == 0
+
+
+MIXED_KEYS = [
+    *near_copies(6), *((None, t) for _, t in near_copies(4, seed=8)), *((7, t) for _, t in near_copies(4, seed=9)), (1001, near_copies(6)[2][1]),
+    (None, near_copies(6)[1][1]), (None, "a text of its own without any key at all"), (1003, "another text of its own under a key that repeats"),
+    (50, near_copies(1, seed=11)[0][1]), (50, near_copies(1, seed=11)[0][1]), (None, near_copies(1, seed=12)[0][1]), (None, near_copies(1, seed=12)[0][1]),
+    (60, None), (60, " "), (None, None),
+]
+
+
+def test_drop_similar_keeps_one_row_of_each_component(spark, docs, odd, nothing):
+    mixed = spark.createDataFrame([(d, t, "en", None, None, f"x{i}", i) for i, (d, t) in enumerate(MIXED_KEYS)], SCHEMA)
+    for df in (mixed, odd, nothing, docs):
+        kept = ngram_join.drop_similar(df)
+        assert kept.columns == df.columns
+        one_of_each_component(pairs(df), pairs(kept))
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    base = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(250)
+    first = base.limit(8).withColumn("text", F.concat("text", F.lit(" and more")))
+    extra = first.withColumn("doc_id", F.lit(None).cast("long")).unionByName(first.withColumn("doc_id", F.lit(3).cast("long"))).unionByName(base.limit(3))
+    lone = base.limit(20).withColumn("text", F.array_join(F.reverse(F.split("text", " ")), " ")).withColumn("doc_id", F.lit(None).cast("long"))
+    base.unionByName(extra).unionByName(lone).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    rows = pairs(known)
+    answers = {(d, sha): kept for d, _, _, kept, sha in brute.exact(rows)}
+    left = [(d, t) for d, t in rows if answers[d, hashlib.sha256(brute.WS.sub("", t or "").encode()).hexdigest()]]
+    near = stages["near_copies"](spark, stages["copies"](spark, known, str(tmp_path)), str(tmp_path)).cache()
+    one_of_each_component(left, pairs(near))
+    assert None in {d for d, _ in pairs(near)}
+    want = Counter()
+    thinned = pairs(stages["mixing"](spark, near, str(tmp_path)))
+    for (d, _), ids in zip(thinned, plain_ids([t for _, t in thinned]), strict=True):
+        want[d] += len(ids) + 1
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == want
+
+
 def test_similar_groups_with_leaders_only_save_work(spark):
     near = spark.createDataFrame(near_copies(400, 40), "doc_id long, text string")
     want = brute.components(pairs(near), 4, 85)
