@@ -219,11 +219,21 @@ def missing_windows(rooms: DataFrame, edges: DataFrame) -> DataFrame:
     return rooms.where(t.is_habitable(C("label")) & ~C("is_common")).join(lit, ["page_id", "room_id"], "left_anti").select("page_id", "room_id", "label")
 
 
+def on_tile_edge(box: Column, tile: Column, margin: float = 8.0) -> Column:
+    """Whether a side of the box lies within margin of the same side of its tile; false without a tile."""
+    near = (F.abs(box["x"] - tile["x"]) <= margin) | (F.abs(g.right(box) - g.right(tile)) <= margin) | (F.abs(box["y"] - tile["y"]) <= margin) | (F.abs(g.bottom(box) - g.bottom(tile)) <= margin)
+    return F.coalesce((tile["width"] > 1) & (tile["height"] > 1) & near, F.lit(False))
+
+
 def tile_matches(regions: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Pairs of one page, type and label that show one thing: IoU of at least ``threshold`` or
-    intersection over the smaller of at least that, clamped to 0.3 to 0.5."""
-    side = lambda p: regions.select("page_id", C("region_id").alias(p), C("type").alias(f"type_{p}"), C("label").alias(f"label_{p}"), C("bbox").alias(f"{p}box"))
+    intersection over the smaller of at least that, clamped to 0.3 to 0.5; or, at a seam, an overlap
+    if one of them is on its tile's edge (so also IoS >= 0.08), or a touch if both are.  Regions carry
+    the box of their tile as ``tile``; without that column, or where it is null, there is no seam."""
+    edge = on_tile_edge(C("bbox"), C("tile")) if "tile" in regions.columns else F.lit(False)
+    side = lambda p: regions.select("page_id", C("region_id").alias(p), C("type").alias(f"type_{p}"), C("label").alias(f"label_{p}"), C("bbox").alias(f"{p}box"), edge.alias(f"edge_{p}"))
     pairs = box_pairs(side("a"), side("b"), "abox", "bbox").where("a < b AND type_a = type_b AND label_a <=> label_b")
     a, b = C("abox"), C("bbox")
     smaller = min(0.5, max(0.3, threshold))
-    return pairs.where((F.round(g.iou(a, b), 9) >= threshold) | (F.round(g.ios(a, b), 9) >= smaller)).select("page_id", "a", "b")
+    seam = (C("edge_a") & C("edge_b")) | ((C("edge_a") | C("edge_b")) & (g.intersect_area(a, b) > 0))
+    return pairs.where((F.round(g.iou(a, b), 9) >= threshold) | (F.round(g.ios(a, b), 9) >= smaller) | seam).select("page_id", "a", "b")

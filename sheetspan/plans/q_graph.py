@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, spatial
 from .fixtures import entities
-from .q_spatial import OPENINGS, ROOMS, TILE_PAIRS, WALLS, room_graph, tiles
+from .q_spatial import OPENINGS, ROOMS, SEAM_PAIRS, TILE_PAIRS, WALLS, room_graph, seam_regions, tiles
 from .registry import query
 
 C = F.col
@@ -46,6 +46,13 @@ def h4_merged_tiles(spark, sf_dir):
     return graph.merge_tiles(df, spatial.tile_matches(df))
 
 
+@query(f"""WITH {SEAM_PAIRS}, nd AS (SELECT region_id AS n FROM d_seam_regions), {_closure("nd", "s_pairs")}, j AS (SELECT r.*, low.component AS instance, row_number() OVER (PARTITION BY low.component ORDER BY r.confidence DESC, r.region_id) AS k FROM d_seam_regions r JOIN low ON low.node = r.region_id)
+SELECT page_id, instance, max(type) FILTER (k = 1) AS type, max(label) FILTER (k = 1) AS label, max(confidence) AS confidence, count(*) AS stitched_from, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM j GROUP BY 1, 2""")
+def h4_seam_merged_tiles(spark, sf_dir):
+    df = seam_regions(spark, sf_dir)
+    return graph.merge_tiles(df, spatial.tile_matches(df))
+
+
 DOORS = "ed AS (SELECT from_id AS a, to_id AS b FROM o_edges WHERE kind = 'door')"
 
 

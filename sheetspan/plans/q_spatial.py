@@ -215,3 +215,21 @@ TILE_PAIRS = f"""t_pairs AS (SELECT a.page_id, a.region_id AS a, b.region_id AS
 @query(f"WITH {TILE_PAIRS} SELECT * FROM t_pairs")
 def j25_tile_matches(spark, sf_dir):
     return spatial.tile_matches(tiles(spark, sf_dir))
+
+
+def seam_regions(spark, sf_dir):
+    """Regions cut at two columns of tiles that touch and two rows that overlap, with their tile."""
+    df = views(spark, sf_dir, "d_seam_regions").withColumn("bbox", g.box(C("x"), C("y"), C("w"), C("h")))
+    return df.withColumn("tile", g.box(C("tx"), C("ty"), C("tw"), C("th")))
+
+
+_E = "(abs({0}.x - {0}.tx) <= 8 OR abs({0}.x + {0}.w - {0}.tx - {0}.tw) <= 8 OR abs({0}.y - {0}.ty) <= 8 OR abs({0}.y + {0}.h - {0}.ty - {0}.th) <= 8)"
+_EA, _EB = _E.format("a"), _E.format("b")
+_TOUCH = "(a.x + a.w >= b.x AND b.x + b.w >= a.x AND a.y + a.h >= b.y AND b.y + b.h >= a.y)"
+SEAM_PAIRS = f"""s_pairs AS (SELECT a.page_id, a.region_id AS a, b.region_id AS b FROM d_seam_regions a JOIN d_seam_regions b ON a.page_id = b.page_id AND a.type = b.type AND a.label = b.label AND a.region_id < b.region_id
+  WHERE round({_I} / (a.w * a.h + b.w * b.h - {_I}), 9) >= 0.45 OR round({_I} / least(a.w * a.h, b.w * b.h), 9) >= 0.45 OR (({_EA} OR {_EB}) AND {_I} > 0) OR ({_EA} AND {_EB} AND {_TOUCH}))"""
+
+
+@query(f"WITH {SEAM_PAIRS} SELECT * FROM s_pairs")
+def j25_seam_matches(spark, sf_dir):
+    return spatial.tile_matches(seam_regions(spark, sf_dir))

@@ -48,6 +48,15 @@ UNION ALL
 SELECT page_id, entity_id * 2 + 1 AS region_id, type, label, confidence / 2 AS confidence, x + 4 AS x, y + 2 AS y, w, h
 FROM d_entities WHERE status <> 'rejected' AND entity_id % 3 = 0
 
+-- view d_seam_regions
+SELECT e.page_id, e.entity_id * 8 + t.k AS region_id, e.type, e.label, e.confidence, t.tx, t.ty, CAST(640 AS DOUBLE) AS tw, CAST(640 AS DOUBLE) AS th,
+       greatest(e.x, t.tx) AS x, greatest(e.y, t.ty) AS y,
+       least(e.x + e.w, t.tx + 640) - greatest(e.x, t.tx) AS w, least(e.y + e.h, t.ty + 640) - greatest(e.y, t.ty) AS h
+FROM d_entities e CROSS JOIN (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS tx, CAST(0 AS DOUBLE) AS ty UNION ALL SELECT 1, CAST(640 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL SELECT 2, CAST(0 AS DOUBLE), CAST(608 AS DOUBLE) UNION ALL SELECT 3, CAST(640 AS DOUBLE), CAST(608 AS DOUBLE)) t
+WHERE e.status <> 'rejected' AND least(e.x + e.w, t.tx + 640) - greatest(e.x, t.tx) >= 2 AND least(e.y + e.h, t.ty + 640) - greatest(e.y, t.ty) >= 2
+
 -- view d_gold
 SELECT page_id AS sheet_id, entity_id AS gold_id, ord, x, y, w, h FROM d_entities WHERE type = 'room'
 

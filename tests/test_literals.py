@@ -136,3 +136,21 @@ def test_published_results_do_not_repeat(spark, tmp_path):
         jobs.publish_results(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out/v=1").collect()
     assert [(r["job_id"], r["version"].day) for r in got] == [(1, 2)]
+
+
+def test_regions_cut_at_a_tile_seam_match(spark):
+    left, right, inner = (0.0, 0.0, 640.0, 640.0), (640.0, 0.0, 640.0, 640.0), (100.0, 100.0, 300.0, 300.0)
+    rows = [
+        (1, 1, "wall", "Wall", (600.0, 50.0, 40.0, 10.0), left), (1, 2, "wall", "Wall", (640.0, 50.0, 90.0, 10.0), right),
+        (2, 3, "room", "Room", (620.0, 50.0, 20.0, 100.0), left), (2, 4, "room", "Room", (638.0, 50.0, 200.0, 100.0), left),
+        (3, 5, "room", "Room", (200.0, 200.0, 40.0, 40.0), inner), (3, 6, "room", "Room", (240.0, 200.0, 40.0, 40.0), inner),
+        (4, 7, "room", "Room", (600.0, 50.0, 40.0, 10.0), left), (4, 8, "room", "Room", (660.0, 50.0, 40.0, 10.0), right),
+        (5, 9, "wall", "Wall", (600.0, 50.0, 40.0, 10.0), None), (5, 10, "wall", "Wall", (640.0, 50.0, 90.0, 10.0), None),
+    ]
+    box = "struct<x:double,y:double,width:double,height:double>"
+    df = spark.createDataFrame(rows, f"page_id long, region_id long, type string, label string, bbox {box}, tile {box}")
+    assert sorted((r["a"], r["b"]) for r in spatial.tile_matches(df).collect()) == [(1, 2), (3, 4)]
+    assert spatial.tile_matches(df.drop("tile")).count() == 0
+    flat = df.select("*", F.lit(0.5).alias("confidence"), "bbox.x", "bbox.y", F.col("bbox.width").alias("w"), F.col("bbox.height").alias("h"))
+    merged = graph.merge_tiles(flat, spatial.tile_matches(df)).where("page_id = 1").collect()
+    assert [(r["stitched_from"], r["x"], r["w"]) for r in merged] == [(2, 600.0, 130.0)]
