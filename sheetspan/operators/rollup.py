@@ -113,6 +113,38 @@ def validation_report(shapes: DataFrame, known: list[str], buildings: dict[str,
     return flat.groupBy("code").agg(F.count("*").alias("issues"), F.countDistinct("page_id").alias("pages"))
 
 
+def validation_issues(pages: DataFrame, shapes: DataFrame, known: list[str], buildings: dict[str, str], fold: tuple[set[str], set[str]], least_points: int = 3, least_area: float = 4.0) -> DataFrame:
+    """A11 over points: counts of issues of pages (page_id, stem) and their shapes (page_id, label,
+    shape_type, points as arrays of numbers) by code, with the pages they are on, and ``ok``, whether
+    no code is an error (all are but EMPTY_SHAPES and TINY_SHAPE).  ``fold`` holds the buildings of the train and
+    test sides; FOLD_LEAKAGE is one issue of the whole folder, so it has no pages.  As in the survey's source, a shape
+    without label is judged no further, and without two points or with points that are no pairs only up to there."""
+    train, test = fold
+    building = F.coalesce(*(F.when(F.split_part(C("stem"), F.lit("_"), F.lit(1)) == k, v) for k, v in buildings.items()), F.lit(None).cast("string"))
+    placed = pages.select("page_id", building.alias("building"))
+    empty = placed.join(shapes.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit("EMPTY_SHAPES").alias("code"))
+    of_page = F.array_compact(F.array(F.when(C("building").isNull(), "UNKNOWN_BUILDING"), F.when(~C("building").isin(*train, *test), "BUILDING_NOT_IN_FOLD")))
+    sides = placed.agg(F.max(C("building").isin(*train)).alias("a"), F.max(C("building").isin(*test)).alias("b")).where("a AND b")
+    label, n = F.trim(F.coalesce("label", F.lit(""))), F.coalesce(F.size("points"), F.lit(0))
+    pairs = F.forall("points", lambda p: F.coalesce((F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull(), F.lit(False)))
+    corner = lambda i, k: F.try_element_at(F.try_element_at("points", F.lit(i)), F.lit(k))
+    ring = F.transform("points", lambda p: g.point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    area = F.when(n >= 3, g.poly_area(ring)).otherwise(F.abs((corner(2, 1) - corner(1, 1)) * (corner(2, 2) - corner(1, 2))))
+    named, drawn = label != "", (label != "") & (n >= 2)
+    polygon = F.lower(F.coalesce("shape_type", F.lit("polygon"))) == "polygon"
+    of_shape = F.array_compact(
+        F.array(
+            F.when(~named, "EMPTY_LABEL"), F.when(named & ~C("label").isin(*known), "UNKNOWN_LABEL"), F.when(named & (n < 2), "BAD_GEOMETRY"),
+            F.when(drawn & polygon & (n < least_points), "OPEN_POLYGON"), F.when(drawn & ~pairs, "BAD_POINTS"), F.when(drawn & pairs & (area < least_area), "TINY_SHAPE"),
+        )
+    )
+    flat = empty.unionByName(placed.select("page_id", F.explode(of_page).alias("code"))).unionByName(shapes.select("page_id", F.explode(of_shape).alias("code")))
+    flat = flat.unionByName(sides.select(F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit("FOLD_LEAKAGE").alias("code")))
+    counts = flat.groupBy("code").agg(F.count("*").alias("issues"), F.countDistinct("page_id").alias("pages"))
+    errors = counts.agg((F.count(F.when(~C("code").isin("EMPTY_SHAPES", "TINY_SHAPE"), 1)) == 0).alias("ok"))
+    return counts.crossJoin(F.broadcast(errors))
+
+
 def dense_classes(labels: DataFrame) -> DataFrame:
     """Class ids in use, numbered from 0 in order.  The classes are few, so one window over them is small."""
     used = labels.select("label").distinct()

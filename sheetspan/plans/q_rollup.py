@@ -97,6 +97,26 @@ def a11_validation_report(spark, sf_dir):
     return rollup.validation_report(views(spark, sf_dir, "d_shapes"), KNOWN, BUILDINGS, TEST)
 
 
+FOLD = ({"b21"}, TEST)
+
+
+@query(f"""WITH p AS (SELECT DISTINCT page_id, split_part(stem, '_', 1) AS pre FROM d_shapes), s AS (SELECT *, trim(label) <> '' AS named, ord % 61 = 0 AS bad, CASE WHEN ord % 53 = 0 THEN 1 WHEN ord % 59 = 0 OR shape_type = 'rectangle' THEN 2 ELSE 4 END AS n FROM d_shapes WHERE page_id % 13 <> 0),
+i AS (SELECT page_id, 'EMPTY_SHAPES' AS code FROM p WHERE page_id % 13 = 0 UNION ALL SELECT page_id, CASE WHEN pre = '77' THEN 'UNKNOWN_BUILDING' ELSE 'BUILDING_NOT_IN_FOLD' END FROM p WHERE pre NOT IN ('20', '21', '82')
+  UNION ALL SELECT page_id, unnest([CASE WHEN NOT named THEN 'EMPTY_LABEL' END, CASE WHEN named AND label NOT IN ({_K}) THEN 'UNKNOWN_LABEL' END, CASE WHEN named AND n < 2 THEN 'BAD_GEOMETRY' END, CASE WHEN named AND n = 2 AND shape_type = 'polygon' THEN 'OPEN_POLYGON' END,
+    CASE WHEN named AND n > 1 AND bad THEN 'BAD_POINTS' END, CASE WHEN named AND n > 1 AND NOT bad AND w * h < 4 THEN 'TINY_SHAPE' END]) FROM s
+  UNION ALL SELECT NULL, 'FOLD_LEAKAGE' FROM p HAVING bool_or(pre = '21') AND bool_or(pre IN ('20', '82'))),
+c AS (SELECT code, count(*) AS issues, count(DISTINCT page_id) AS pages FROM i WHERE code IS NOT NULL GROUP BY 1) SELECT *, (SELECT count(*) FROM c WHERE code NOT IN ('EMPTY_SHAPES', 'TINY_SHAPE')) = 0 AS ok FROM c""")
+def a11_validation_issues(spark, sf_dir):
+    df = views(spark, sf_dir, "d_shapes")
+    pair = lambda x, y: F.array(x, y)
+    x, y, x1, y1 = C("x"), C("y"), C("x") + C("w"), C("y") + C("h")
+    first = pair(x, F.when(C("ord") % 61 != 0, y))
+    two = (C("ord") % 59 == 0) | (C("shape_type") == "rectangle")
+    points = F.when(C("ord") % 53 == 0, F.array(first)).when(two, F.array(first, pair(x1, y1))).otherwise(F.array(first, pair(x1, y), pair(x1, y1), pair(x, y1)))
+    shapes = df.where("page_id % 13 <> 0").withColumn("points", points)
+    return rollup.validation_issues(df.select("page_id", "stem").distinct(), shapes, KNOWN, BUILDINGS, FOLD)
+
+
 @query(f"SELECT CASE WHEN split_part(stem, '_', 1) IN ('20', '82') THEN 'val' ELSE 'train' END AS split, count(DISTINCT page_id) AS images, count(*) FILTER (label IN ({_K})) AS instances, count(*) FILTER (label NOT IN ({_K})) AS skipped FROM d_shapes GROUP BY 1")
 def a12_convert_stats(spark, sf_dir):
     shapes = views(spark, sf_dir, "d_shapes")

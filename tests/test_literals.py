@@ -154,3 +154,19 @@ def test_regions_cut_at_a_tile_seam_match(spark):
     flat = df.select("*", F.lit(0.5).alias("confidence"), "bbox.x", "bbox.y", F.col("bbox.width").alias("w"), F.col("bbox.height").alias("h"))
     merged = graph.merge_tiles(flat, spatial.tile_matches(df)).where("page_id = 1").collect()
     assert [(r["stitched_from"], r["x"], r["w"]) for r in merged] == [(2, 600.0, 130.0)]
+
+
+def test_validation_issues_has_every_code(spark):
+    pages = spark.createDataFrame([(1, "20_a"), (2, "21_a"), (3, "98_a"), (4, "x_a")], "page_id long, stem string")
+    ring = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0]]
+    rows = [
+        (1, " ", "polygon", ring), (1, "Ship", "polygon", ring), (1, "Room", "polygon", ring[:1]), (1, "Room", None, None), (1, "Room", "polygon", ring[::2]),
+        (1, "Room", "rectangle", ring[::2]), (2, "Room", "polygon", [[0.0, 0.0], [9.0], [9.0, 9.0]]), (2, "Room", "polygon", [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]), (3, "Room", "polygon", ring),
+    ]
+    shapes = spark.createDataFrame(rows, "page_id long, label string, shape_type string, points array<array<double>>")
+    check = lambda p, s: {r["code"]: (r["issues"], r["pages"], r["ok"]) for r in rollup.validation_issues(p, s, ["Room"], {"20": "b20", "21": "b21", "98": "b98"}, ({"b21"}, {"b20"})).collect()}
+    assert check(pages, shapes) == {
+        "EMPTY_LABEL": (1, 1, False), "UNKNOWN_LABEL": (1, 1, False), "BAD_GEOMETRY": (2, 1, False), "OPEN_POLYGON": (1, 1, False), "BAD_POINTS": (1, 1, False),
+        "TINY_SHAPE": (1, 1, False), "EMPTY_SHAPES": (1, 1, False), "UNKNOWN_BUILDING": (1, 1, False), "BUILDING_NOT_IN_FOLD": (1, 1, False), "FOLD_LEAKAGE": (1, 0, False),
+    }
+    assert check(pages.where("page_id <= 1"), shapes.where("page_id = 9")) == {"EMPTY_SHAPES": (1, 1, True)}
