@@ -166,6 +166,19 @@ def a15_crop_purposes(spark, sf_dir):
     return labels.crop_purpose(crops, catalog)
 
 
+CROP = 256
+
+
+@query(f"""WITH k AS (SELECT concat(page_id, '_', CAST(floor((x + w / 2) / {CROP}) AS BIGINT), '_', CAST(floor((y + h / 2) / {CROP}) AS BIGINT)) AS crop_id, type FROM d_entities),
+c AS (SELECT crop_id, count(*) AS regions, bool_and(type IN ('door', 'window')) AS a, bool_and(type IN ('door', 'window', 'wall', 'fixture')) AS b FROM k GROUP BY 1) SELECT crop_id, regions, CASE WHEN a THEN 'openings' WHEN b THEN 'structure' ELSE 'full' END AS category FROM c""")
+def a15_cell_crop_purposes(spark, sf_dir):
+    cell = lambda at, size: F.floor((C(at) + C(size) / 2) / CROP).cast("string")
+    df = entities(spark, sf_dir).withColumn("crop_id", F.concat_ws("_", C("page_id").cast("string"), cell("x", "w"), cell("y", "h")))
+    per = df.groupBy("crop_id").agg(F.collect_set("type").alias("labels"), F.count("*").alias("regions")).withColumn("source", F.lit("full"))
+    catalog = spark.createDataFrame([("openings", ["door", "window"], 1), ("structure", ["door", "window", "wall", "fixture"], 2)], "category string, legend array<string>, ord int")
+    return labels.crop_purpose(per, catalog).join(per.select("crop_id", "regions"), "crop_id")
+
+
 @query(f"WITH {ROOMS} SELECT r.page_id, p.level_index AS level, unit_label AS unit, label AS room, CASE WHEN is_common THEN 'yes' ELSE 'no' END AS shared, ord FROM g_rooms r JOIN d_pages p USING (page_id)")
 def w2_hierarchy_report(spark, sf_dir):
     from ..sources import writers

@@ -38,3 +38,9 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_every_region_falls_in_a_crop(spark, duck):
+    crops = registry.QUERIES["a15_cell_crop_purposes"](spark, SF).collect()
+    assert sum(r["regions"] for r in crops) == duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert {r["category"] for r in crops} == {"openings", "structure", "full"}
