@@ -61,8 +61,10 @@ def active_rules(rules: DataFrame, guidelines: DataFrame) -> DataFrame:
     one, by mapped kind."""
     if guidelines.isEmpty():
         return rules
-    accepted = guidelines.where("status = 'accepted'").select(C("rule_id").alias("_rule"), C("mapped_kind").alias("_kind"))
-    return rules.join(F.broadcast(accepted), (C("_rule") == C("code")) | (C("_rule").isNull() & (C("_kind") == C("kind"))), "left_semi")
+    accepted = guidelines.where("status = 'accepted'")
+    ids = accepted.where("rule_id IS NOT NULL").select(C("rule_id").alias("code"))
+    kinds = accepted.where("rule_id IS NULL").select(C("mapped_kind").alias("kind")).distinct()
+    return rules.join(ids, "code", "left_semi").select(rules.columns).unionByName(rules.join(ids, "code", "left_anti").join(kinds, "kind", "left_semi").select(rules.columns))
 
 
 def structural_pool(entities: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import filters, spatial
+from ..workspace import table
 from .fixtures import entities, views
 from .q_columns import CX, CY
 from .registry import query
@@ -66,6 +67,16 @@ def f5_active_rules(spark, sf_dir):
     return filters.active_rules(views(spark, sf_dir, "d_rules"), guidelines).select("code", "kind")
 
 
+@query("""WITH r AS (SELECT concat('R', p_partkey) AS code, concat('kind_', p_partkey % 97) AS kind FROM part), g AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN concat('R', p_partkey) END AS rule_id, concat('kind_', p_partkey % 97) AS mapped_kind FROM part WHERE p_size < 10 AND p_partkey % 4 <> 0)
+SELECT code, kind FROM r WHERE code IN (SELECT rule_id FROM g WHERE rule_id IS NOT NULL) OR kind IN (SELECT mapped_kind FROM g WHERE rule_id IS NULL)""")
+def f5_active_part_rules(spark, sf_dir):
+    key = C("p_partkey")
+    own = table(spark, sf_dir, "part").select(F.concat(F.lit("R"), key.cast("string")).alias("code"), F.concat(F.lit("kind_"), (key % 97).cast("string")).alias("kind"), key.alias("k"), "p_size")
+    status = F.when(C("k") % 4 != 0, "accepted").otherwise("pending")
+    guidelines = own.where("p_size < 10").select(F.when(C("k") % 5 != 0, C("code")).alias("rule_id"), C("kind").alias("mapped_kind"), status.alias("status"))
+    return filters.active_rules(own.select("code", "kind"), guidelines)
+
+
 @query("""WITH p AS (SELECT page_id, entity_id, CASE WHEN page_id % 3 = 0 AND type = 'wall' AND entity_id % 2 = 0 THEN 1 ELSE 0 END AS head FROM d_entities WHERE type IN ('wall', 'door')), m AS (SELECT page_id, max(head) AS any_head FROM p GROUP BY 1)
 SELECT page_id, entity_id FROM p JOIN m USING (page_id) WHERE any_head = 0 OR head = 1""")
 def f6_structural_pool(spark, sf_dir):
