@@ -1,19 +1,21 @@
 """Set-similarity join of documents on word n-grams by vertical partitioning.
 
-All n-grams have one global order, that of their hashes.  Cut into fragments of that order, a
-document's set becomes one segment a fragment:
-
-* many narrow fragments find candidates.  Two sets that may link differ in at most D n-grams, so
-  of K > D fragments at least K - D are the same in both; a document therefore writes a signature
-  of each of its segments, and documents that share K - D are candidates;
-* as many fragments as n-grams, a byte each, bound the differences of a candidate pair from below:
-  a fragment whose bytes differ holds one at least;
-* few wide fragments count.  The overlap of a remaining pair is counted in each fragment by
+All n-grams have one global order: by the number of sets that hold them, then by hash.  It is cut
+into fragments, and what a fragment tells about an overlap is counted by itself:
+
+* the first fragment, n-grams of one set only, adds nothing to any overlap, so it bounds what a
+  document can share at all.  It is counted twice: over a fixed share of the hash range first, which
+  already shows most documents to be without partners, then in full over those that are left;
+* the rarest of the other n-grams are a document's prefix.  Two sets that link share one of both
+  prefixes, at places that leave enough n-grams behind it in either; this finds candidates;
+* the other fragments count.  The overlap of a candidate pair is counted in each of them by
   itself, and the partial counts are summed per pair.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,14 +26,10 @@ from ..workspace import stage
 from .hashing import batches_of_bytes, mix, shingle_sets
 
 BITS = 25
-
-
-def size_levels(percent: int, most: int = 1 << 31) -> np.ndarray:
-    """Bounds of size classes such that sets that link lie in the same or in neighbouring ones."""
-    bounds = [1]
-    while bounds[-1] < most:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent)))
-    return np.array(bounds, np.int64)
+#: An n-gram of more sets than this belongs to the frequent fragments.
+FREQUENT = 16
+#: Frequent keys of a join: more rows than this, and more than one in ``SPREAD`` of all rows, so there are ``SPREAD`` of them at most.
+CROWD, SPREAD = 1000, 100_000
 
 
 def set_node(own: np.ndarray) -> int:
@@ -39,47 +37,6 @@ def set_node(own: np.ndarray) -> int:
     return int(mix(mix(own).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))).view(np.int64)[0])
 
 
-def fragments_of(level: int, levels: np.ndarray, percent: int) -> tuple[int, int]:
-    """(fragments, how many of them may be empty) at a level; no fragments where sets that link are equal."""
-    most = (100 - percent) * int(levels[level + 1] - 1 + levels[level + 2] - 1) // (100 + percent)
-    spare = 2 + most // 40
-    return (most + 1 + spare, spare) if most else (0, 0)
-
-
-def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set of hashes, for its own size class and the one below.
-
-    At level L, for sizes of the classes L and L + 1, D bounds the differences of a pair that
-    links.  There are D + 1 + s fragments, so s + 1 segments at least are equal in such a pair.  A set
-    with more than s empty segments also writes the empty ones, as the equal ones of a pair might
-    all be empty; otherwise one that is not empty is among them.  A signature has 49 bits, the last
-    of which tells the two levels apart; equal ones of different segments only add candidates.
-    """
-    at, out = int(np.searchsorted(levels, len(own), side="right")) - 1, [np.empty(0, np.uint64)]
-    high, mixed = own >> np.uint64(32), mix(own)
-    for level in (at, at - 1):
-        fragments, spare = fragments_of(level, levels, percent) if level >= 0 else (0, 0)
-        if not fragments:
-            continue
-        tag, step = mix(np.full(1, level + 1, np.uint64)), np.uint64(0x9E3779B97F4A7C15)
-        segment = (high * np.uint64(fragments)) >> np.uint64(32)
-        begins = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 40)))
-        found = [mix(np.add.reduceat(mixed, begins) + segment[begins] * step + tag)]
-        if fragments - len(begins) > spare:
-            found.append(mix(np.setdiff1d(np.arange(fragments, dtype=np.uint64), segment[begins]) * step + tag))
-        out += [(x >> np.uint64(15)) & ~np.uint64(1) | np.uint64(level & 1) for x in found]
-    return np.concatenate(out)
-
-
-def sketch(own: np.ndarray, level: int, levels: np.ndarray) -> bytes:
-    """A byte for each of a level's finest fragments, the sum of its segment's hashes."""
-    fragments = int(levels[level + 1])
-    segment = ((own >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-    sums = np.zeros(fragments, np.uint8)
-    np.add.at(sums, segment.astype(np.int64), (mix(own) >> np.uint64(40)).astype(np.uint8))
-    return sums.tobytes()
-
-
 def _bitmap(column: DataFrame) -> np.ndarray:
     """A fixed 2**BITS bits with those set whose numbers are the low bits of the one long column."""
     x = column.toDF("x").select(F.expr(f"x & {(1 << BITS) - 1}").alias("x"))
@@ -89,11 +46,6 @@ def _bitmap(column: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x & np.uint64((1 << BITS) - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _sets(batches, width: int):
     """(rows, set) of the texts, in parts of bounded size."""
     for batch in batches:
@@ -107,133 +59,187 @@ def _row_hash(key: str, text: str):
     return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
-def _placed(docs: DataFrame, key: str, text: str, width: int, percent: int, parts: int = 4, rounds: int = 8) -> DataFrame:
-    """One row per input row: id, h (``_row_hash``), n (shingles) and label, which is the same for the
-    rows of a component and null without words."""
-    spark = docs.sparkSession
-    levels = size_levels(percent)
-    base = docs.select(F.col(key).alias("id"), _row_hash(key, text).alias("h"), F.col(text).alias("text"))
+def frequent(rows: DataFrame, key: str) -> DataFrame | None:
+    """key, salts: the keys of very many rows of a written table (``SPREAD`` of them at most, so they may be
+    broadcast) and in how many parts of about the limit their rows fall; None if there are none."""
+    if (size := rows.count()) <= CROWD:
+        return None
+    limit = max(CROWD, size // SPREAD)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("salts")).where(F.col("salts") > limit)
+    found = stage(counts.select(key, F.ceil(F.col("salts") / limit).cast("int").alias("salts")), "frequent")
+    return None if found.isEmpty() else found
+
 
-    def write_signatures(batches):
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of a written table with one that has a row per key, safe against keys of very
+    many rows: the rows of ``table`` for those are broadcast, the other keys are shuffled."""
+    if (crowds := frequent(rows, key)) is None:
+        return rows.join(table, key, how)
+    hot = stage(crowds.select(key).join(table.withColumn("_found", F.lit(True)), key, "left"), "hot")
+    near = rows.join(F.broadcast(hot), key)
+    near = (near.where("_found") if how == "inner" else near).drop("_found")
+    return near.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, how))
+
+
+def _described(base: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, h, node, n of every row, and v, the whole set, of those that may have partners (once a task)."""
+    share = min(1.0, 1.75 * (100 - percent) / 100)
+    cut = np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+    def write_low(batches):
         seen: set[int] = set()
         for _, sets in _sets(batches, width):
-            nodes, found = [], []
+            s, nodes, n = [], [], []
             for own in sets:
                 if len(own) and (node := set_node(own)) not in seen:
                     seen.add(node)
-                    found.append(signatures(own, levels, percent))
-                    nodes.append(np.full(len(found[-1]), node & 0x7FFFFFFF, np.int32))
-            if found:
-                yield pd.DataFrame({"sig": np.concatenate(found).view(np.int64), "tag": np.concatenate(nodes)})
-
-    # A node's last 31 bits are enough to tell two nodes of one signature apart: they agree for one pair in 2**31.
-    written = base.select("text").mapInPandas(write_signatures, "sig long, tag int")
-    shared = stage(written.groupBy("sig").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo < hi").select("sig"), "signatures")
-    hot = spark.sparkContext.broadcast(_bitmap(shared))
+                    low = own[: int(np.searchsorted(own, cut))] >> np.uint64(16)
+                    s += [low.view(np.int64), np.array([node | -(1 << 63)], np.int64)]
+                    nodes.append(np.full(len(low) + 1, node, np.int64))
+                    n += [np.zeros(len(low), np.int32), np.array([len(own)], np.int32)]
+            if s:
+                yield pd.DataFrame({"s": np.concatenate(s), "node": np.concatenate(nodes), "n": np.concatenate(n)})
+
+    # An n-gram is its hash's upper 48 bits here: two that agree look like a shared one, which keeps a
+    # document too many at worst.  A row of negative s brings the size of its set.
+    low = base.select("text").mapInPandas(write_low, "s long, node long, n int")
+    alone = low.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("n").alias("n")).where("s < 0 OR node = other")
+    sizes = alone.groupBy("node").agg(F.max("n").alias("n"), F.count_if(F.col("s") >= 0).alias("u"))
+    live = stage(sizes.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent).select("node"), "live")
+    bits = base.sparkSession.sparkContext.broadcast(_bitmap(live))
 
     def describe(batches):
-        for rows, sets in _sets(batches, width):
-            nodes = pd.array([set_node(x) if len(x) else None for x in sets], dtype="Int64")
-            hits = [(s := signatures(x, levels, percent) if len(x) else np.empty(0, np.uint64))[_in_bitmap(hot.value, s)].view(np.int64) for x in sets]
-            n = np.array([len(x) for x in sets], np.int64)
-            classes = np.searchsorted(levels, n, side="right") - 1
-            yield pd.DataFrame({"id": rows["id"], "h": rows["h"], "node": nodes, "n": n, "level": classes, "hits": hits})
-
-    kind = docs.schema[key].dataType.simpleString()
-    described = stage(base.mapInPandas(describe, f"id {kind}, h long, node long, n long, level long, hits array<long>"), "documents")
-    members = described.where(F.size("hits") > 0).select(F.explode("hits").alias("sig"), "node", "n", "level").distinct()
-    members = stage(members.join(shared, "sig", "left_semi"), "members")
-    labels = stage(members.select("node", F.col("node").alias("label")).distinct(), "labels")
-
-    chosen = described.join(labels, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
-    wanted = spark.sparkContext.broadcast(_bitmap(chosen.select("h")))
-
-    def write_segments(batches):
         seen: set[int] = set()
-        batches = (b[_in_bitmap(wanted.value, b["h"].to_numpy(np.int64).view(np.uint64))] for b in batches)
-        for _, sets in _sets(batches, width):
-            out = []
-            for own in sets:
-                if len(own) and (node := set_node(own)) not in seen:
-                    seen.add(node)
-                    at = int(np.searchsorted(levels, len(own), side="right")) - 1
-                    below = sketch(own, at - 1, levels) if at else None
-                    out.append((node, -1, None, at, sketch(own, at, levels), below))
-                    part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                    out += [(node, int(k), own[part == k].view(np.int64), None, None, None) for k in np.unique(part)]
-            if out:
-                yield pd.DataFrame(out, columns=["node", "part", "v", "level", "own", "below"]).astype({"level": "Int64"})
-
-    segments = base.mapInPandas(write_segments, "node long, part int, v array<long>, level long, own binary, below binary").join(labels, "node", "left_semi")
-    segments = stage(segments.groupBy("node", "part").agg(*(F.first(c).alias(c) for c in ("v", "level", "own", "below"))), "segments")
-
-    def may_link(batches):
-        for batch in batches:
-            keep = []
-            for r in batch.itertuples(index=False):
-                level = min(r.level_a, r.level_b)
-                x, y = (np.frombuffer(one if at == level else two, np.uint8) for one, two, at in ((r.own_a, r.below_a, r.level_a), (r.own_b, r.below_b, r.level_b)))
-                keep.append(np.count_nonzero(x != y) * (100 + percent) <= (100 - percent) * (r.na + r.nb))
-            yield batch.loc[np.array(keep, bool), ["a", "b", "na", "nb"]]
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, na, nb): those that link.  The sketches leave out pairs of too many
-        differences; of the others the overlaps are counted part by part."""
-        sketches = segments.where("part = -1")
-        fine = lambda side: sketches.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("level", "own", "below")))
-        pairs = pairs.join(fine("a"), "a").join(fine("b"), "b").mapInPandas(may_link, "a long, b long, na long, nb long")
-        of = lambda side: segments.where("part >= 0").select(F.col("node").alias(side), "part", F.col("v").alias(f"v{side}"))
-        one = pairs.join(of("a"), "a").join(of("b"), ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("va", "vb")).alias("common"))
-        whole = one.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-        return whole.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
-
-    def pairs_of(joined: DataFrame, whole: bool) -> DataFrame:
-        """Pairs of (node, n, level, node2, n2, level2) whose sizes allow a link.  Where ``joined`` has a row for
-        each signature that a pair shares, those that share too few of their level go: of its
-        fragments at least K - D are equal, and the spare ones at most are empty and not written."""
-        near = joined.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("node") != F.col("node2")))
-        first = F.col("node") < F.col("node2")
-        found = near.withColumn("at", F.least("level", "level2"))
-        found = found.where(F.expr("sig & 1") == F.col("at") % 2).select(
-            F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("nb"), "at",
-        ).groupBy("a", "b", "na", "nb", "at").agg(F.count(F.lit(1)).alias("shared"))
-        if whole:
-            bound = F.element_at(F.lit([fragments_of(i, levels, percent)[0] - fragments_of(i, levels, percent)[1] for i in range(len(levels) - 2)]), (F.col("at") + 1).cast("int"))
-            differ = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
-            found = found.where(F.col("shared") >= bound - differ)
-        return found.select("a", "b", "na", "nb")
-
-    def merged(labels: DataFrame, linked: DataFrame) -> DataFrame:
-        of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-        edges = linked.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        new = components(edges, node="label", component="new")
-        return stage(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
-
-    before = None
-    for r in range(rounds):
-        labelled = members.join(labels, "node")
-        per = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("k"))
-        left = per.where("k > 1").agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not left["rows"] or left["pairs"] <= 16 * left["rows"] or before and left["pairs"] > 0.9 * before:
-            break
-        before = left["pairs"]
-        order = F.struct(F.xxhash64("node", F.lit(r)).alias("o"), F.col("node"), F.col("n"), F.col("level"), F.col("label"))
-        leader = labelled.groupBy("sig").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        leader = leader.select("sig", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"), F.col("lead.level").alias("level2"), F.col("lead.label").alias("label2"))
-        labels = merged(labels, links(pairs_of(labelled.join(leader, "sig").where("label <> label2"), False)))
-
-    labelled = stage(members.join(labels, "node"), "labelled")
-    sides = labelled.select("sig", "label").distinct()
-    across = sides.join(sides.select("sig", F.col("label").alias("label2")), "sig").where("label < label2")
-    other = labelled.select("sig", F.col("label").alias("label2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("level").alias("level2"))
-    labels = merged(labels, links(pairs_of(labelled.join(across, ["sig", "label"]).join(other, ["sig", "label2"]), True)))
-
-    return described.join(labels, "node", "left").select("id", "h", "n", F.coalesce("label", "node").alias("label"))
+        for rows, sets in _sets(batches, width):
+            nodes, v = [set_node(x) if len(x) else None for x in sets], []
+            for node, own in zip(nodes, sets, strict=True):
+                at = (node or 0) & ((1 << BITS) - 1)
+                first = node is not None and node not in seen and int(bits.value[at >> 6]) >> (at & 63) & 1
+                seen |= {node} if first else set()
+                v.append(own.view(np.int64) if first else None)
+            yield pd.DataFrame({"id": rows["id"], "h": rows["h"], "node": pd.array(nodes, dtype="Int64"), "n": [len(x) for x in sets], "v": v})
+
+    return stage(base.mapInPandas(describe, "id string, h long, node long, n long, v array<long>"), "documents")
+
+
+def _ordered(described: DataFrame, percent: int) -> DataFrame:
+    """node, n, own: the shared n-grams of the sets that may have partners, as (c, s) by frequency and then hash."""
+    rows = described.where("v IS NOT NULL").select("node", F.explode("v").alias("s"))
+    counts = rows.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).cast("int").alias("c"))
+    shared = stage(counts.where("lo < hi").select("s", "c"), "shared")
+    limit = max(CROWD, (shared.agg(F.sum("c")).first()[0] or 0) // SPREAD)
+    hot = F.broadcast(shared.where(F.col("c") > limit))
+    known = rows.join(hot, "s").unionByName(rows.join(hot.select("s"), "s", "left_anti").join(shared.where(F.col("c") <= limit), "s"))
+    sizes = described.where("v IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
+    own = known.groupBy("node").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("c", "s")))).alias("own"))
+    return stage(own.join(sizes, "node").where(F.size("own") * 100 >= F.col("n") * percent).select("node", "n", "own"), "ordered")
+
+
+def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
+    """s, node, n, j, hi: the prefix of each set.  A pair whose first common n-gram is s shares n - j of them
+    at most, so a partner has hi n-grams at most."""
+    unique = F.col("n") - F.size("own")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - unique
+    rows = ordered.select("node", "n", unique.alias("u"), F.posexplode(F.slice("own", F.lit(1), length.cast("int"))).alias("at", "x"))
+    rows = rows.select(F.col("x.s").alias("s"), "node", "n", (F.col("u") + F.col("at")).alias("j"))
+    return rows.withColumn("hi", F.floor((F.col("n") - F.col("j")) * (100 + percent) / percent) - F.col("n"))
+
+
+def _links(pairs: DataFrame, ordered: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Of a written table of pairs (a, b, na, nb, la, lb), nodes with their sizes and labels, the labels (la, lb) of
+    those that link: overlaps are counted fragment by fragment and summed."""
+    crowds = {side: frequent(pairs, side) for side in "ab"}
+
+    def cut(side: str) -> DataFrame:
+        """The sets of one side of the pairs in fragments, once for each salt of a node with very many pairs."""
+        own, salt = ordered.select(F.col("node").alias(side), "own"), F.lit(0)
+        if crowds[side] is not None:
+            own = own.join(F.broadcast(crowds[side]), side, "left")
+            salt = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        own = own.withColumn(f"salt_{side}", salt)
+        place = lambda x: F.when(x["c"] > FREQUENT, parts).otherwise(0) + F.shiftrightunsigned(x["s"], 64 - parts.bit_length() + 1).cast("int")
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2 * parts - 1))))
+        v = F.transform(F.filter("own", lambda x: place(x) == F.col("part")), lambda x: x["s"])
+        return own.select(side, f"salt_{side}", "part", v.alias(f"v{side}")).where(F.size(f"v{side}") > 0)
+
+    rows = pairs
+    for side, other in ("ab", "ba"):
+        if crowds[side] is not None:
+            rows = rows.join(F.broadcast(crowds[side]), side, "left")
+            rows = rows.withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        else:
+            rows = rows.withColumn(f"salt_{side}", F.lit(0))
+    both = rows.join(cut("a"), ["a", "salt_a"]).join(cut("b"), ["b", "salt_b", "part"])
+    one = both.select(*pairs.columns, F.size(F.array_intersect("va", "vb")).alias("common"))
+    whole = one.groupBy(*pairs.columns).agg(F.sum("common").alias("common"))
+    return whole.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("la", "lb").distinct()
+
+
+def _merged(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """Labels (node, label) after the links (la, lb) between labels."""
+    edges = stage(linked, "links")
+    if edges.isEmpty():
+        return labels
+    new = stage(components(edges, "la", "lb", node="label", component="new"), "components")
+    return stage(spread_join(labels, new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def _by_leaders(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
+    """a, b, na, nb, la, lb: for each node one pair at most, with the leader of one of its buckets.  A bucket's leader is
+    the node with the fewest rarer n-grams before, in later turns a random one."""
+    order = F.floor(F.col("j") * 1000 / F.col("n")) if turn == 0 else F.lit(0).cast("long")
+    lead = F.struct(order.alias("o"), F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "hi", "label")
+    best = labelled.groupBy("s").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("up")).where("lo < up")
+    met = spread_join(labelled, stage(best.select("s", "lead"), "leaders"), "s").where(
+        (F.col("label") != F.col("lead.label")) & (F.col("lead.n") <= F.col("hi")) & (F.col("n") <= F.col("lead.hi"))
+        & (F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
+    )
+    one = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")).agg(F.min("lead").alias("lead"))
+    return stage(one.select("a", F.col("lead.node").alias("b"), "na", F.col("lead.n").alias("nb"), "la", F.col("lead.label").alias("lb")), "pairs")
+
+
+def _across(labelled: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb, la, lb: every pair of two labels that shares a bucket and whose places and sizes allow a link.
+
+    The smaller set of such a pair has room for one of its own size, so it waits in the cell of its
+    bucket and size; the larger one asks the cells of the sizes that it has room for.  Labels meet
+    before nodes do, so nodes of one label never meet.
+    """
+    cell = lambda n: F.floor(F.log(n) / math.log(1.03)).cast("int")
+    waiting = labelled.where("hi >= n").select("s", cell(F.col("n")).alias("cell"), F.col("label").alias("label2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("hi").alias("hi2"))
+    kinds = waiting.groupBy("s", "cell", "label2").agg(F.min("n2").alias("least"), F.max("hi2").alias("room"))
+    key = F.struct("s", "cell").alias("key")
+    rivals = stage(kinds.groupBy("s", "cell").agg(F.min("label2").alias("lo"), F.max("label2").alias("up")).select(key, "lo", "up"), "rivals")
+    low, high = F.ceil(F.col("n") * percent / 100), F.least("n", "hi")
+    asking = labelled.where(low <= high).withColumn("cell", F.explode(F.sequence(cell(low), cell(high))))
+    asking = spread_join(stage(asking.select(key, "label", "node", "n", "hi"), "asking"), rivals, "key").where("label <> lo OR label <> up").select("key.*", "label", "node", "n", "hi")
+    fits = (F.col("label") != F.col("label2")) & (F.col("least") <= F.least("n", "hi")) & (F.col("n") <= F.col("room"))
+    met = asking.join(kinds, ["s", "cell"]).where(fits).drop("least", "room").join(waiting, ["s", "cell", "label2"])
+    met = met.where((F.col("n2") <= F.least("n", "hi")) & (F.col("n") <= F.col("hi2")) & (F.col("n2") * 100 >= F.col("n") * percent))
+    one, two = F.struct("node", "n", "label"), F.struct(F.col("node2").alias("node"), F.col("n2").alias("n"), F.col("label2").alias("label"))
+    pair = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+    return stage(pair.select(*(F.col(f"{side}.{c}").alias(to) for side, names in (("x", "a na la"), ("y", "b nb lb")) for c, to in zip(("node", "n", "label"), names.split(), strict=True))), "pairs")
+
+
+def _placed(docs: DataFrame, key: str, text: str, width: int, percent: int, parts: int = 4, rounds: int = 2) -> DataFrame:
+    """One row per input row, written: id, h (``_row_hash``), n (shingles) and label, which is the same for the
+    rows of a component and null without words."""
+    base = docs.select(F.col(key).cast("string").alias("id"), _row_hash(key, text).alias("h"), F.col(text).alias("text"))
+    described = _described(base, width, percent)
+    ordered = _ordered(described, percent)
+    prefixes = stage(_prefixes(ordered, percent), "prefixes")
+    labels = stage(ordered.select("node", F.col("node").alias("label")), "labels")
+    for turn in range(rounds + 1):
+        labelled = stage(prefixes.join(labels, "node"), "labelled")
+        pairs = _by_leaders(labelled, turn, percent) if turn < rounds else _across(labelled, percent)
+        if not pairs.isEmpty():
+            labels = _merged(labels, _links(pairs, ordered, percent, parts))
+    rows = spread_join(described.select(F.col("id").cast(docs.schema[key].dataType).alias("id"), "h", "node", "n"), labels, "node", "left")
+    return stage(rows.select("id", "h", "n", F.coalesce("label", "node").alias("label")), "placed")
 
 
 def similar_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, parts: int = 4, rounds: int = 8
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, parts: int = 4, rounds: int = 2
 ) -> DataFrame:
     """One row per input row: key, n_shingles, component_id.
 
@@ -242,18 +248,20 @@ def similar_groups(
     null and wordless texts have the empty set and link with nothing.  Two documents link when
     100 * intersection >= percent * union.  ``component_id`` is the smallest key reachable by links.
     Rows that repeat a key are documents of their own; null keys take part and get the smallest
-    key of their component (null if it has none).
-
-    Documents of equal sets are one node from the start, so copies never meet in pairs.  Nodes
-    that share signatures are joined to a leader of their bucket first, a random one each round,
-    and what is linked by then needs no pairs among itself; when few pairs across components
-    remain, all of those are counted.  So every link between components is found, yet a large
-    group of near copies costs a multiple of its size.  Two fixed-size bitmaps let the later scans pass
-    over rows without partners early; they drop nothing that matters and only save work.
+    key of their component (null if it has none).  Keys are integers or strings.  Very long texts
+    are hashed in parts and compared whole; an empty table gives an empty one.  ``parts`` is a power of two.
+
+    Documents of equal sets are one node from the start, so copies never meet in pairs.  In each of
+    ``rounds`` turns a node is compared with one leader of its buckets, and what is linked by then needs no
+    pairs among itself; the last turn compares all pairs of different components that the bounds
+    leave.  So every link between components is found, yet a large group of near copies costs a
+    multiple of its size.  A bitmap of fixed size lets the second scan keep the sets that may have
+    partners; it only saves work.  Hashes have 64 bits: sets, or shingles of a pair, that differ but agree in
+    theirs count as equal.
     """
     placed = _placed(docs, key, text, width, percent, parts, rounds)
     groups = stage(placed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
-    return placed.join(groups, "label", "left").select(
+    return spread_join(placed, groups, "label", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("size").isNotNull(), F.col("least")).otherwise(F.col("id")).alias("component_id")
     )
 
@@ -269,7 +277,7 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     groups = stage(rows.groupBy("label").agg(F.min(rank).alias("best"), F.sum("copies").alias("size")).where("size > 1"), "groups")
     lost = ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
     marked = stage(
-        placed.join(groups, "label").where(lost | (F.col("best.copies") > 1)).select(F.col("id").alias("_id"), F.col("h").alias("_h"), lost.alias("_lost")).distinct(), "dropped"
+        spread_join(placed, groups, "label").where(lost | (F.col("best.copies") > 1)).select(F.col("id").alias("_id"), F.col("h").alias("_h"), lost.alias("_lost")).distinct(), "dropped"
     )
     same = lambda of: docs[key].eqNullSafe(of["_id"]) & (_row_hash(key, text) == of["_h"])
     kept = docs.join(marked, same(marked), "left_anti")

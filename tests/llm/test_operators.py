@@ -144,19 +144,6 @@ def test_similar_groups_with_leaders_only_save_work(spark):
         assert tuples(ngram_join.similar_groups(near, width=4, percent=85, rounds=rounds), "doc_id", "n_shingles", "component_id") == want
 
 
-def test_signatures_never_miss_a_linked_pair():
-    r = np.random.default_rng(5)
-    levels = ngram_join.size_levels(85)
-    for _ in range(400):
-        n = int(r.integers(7, 400))
-        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-        d = int(r.integers(0, 1 + (15 * len(a)) // 100))
-        b = np.unique(np.concatenate([r.permutation(a)[d:], r.integers(0, 1 << 63, int(r.integers(0, 1 + d // 4)), dtype=np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 85 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-            assert np.intersect1d(ngram_join.signatures(a, levels, 85), ngram_join.signatures(b, levels, 85)).size
-
-
 @pytest.mark.parametrize("find", ["pii", "secrets"])
 def test_spans(spark, docs, odd, nothing, find):
     kinds = brute.PII if find == "pii" else brute.SECRETS
