@@ -122,8 +122,9 @@ def _described(base: DataFrame, width: int, percent: int) -> DataFrame:
     return stage(base.mapInPandas(describe, "id string, h long, node long, n long, v array<long>"), "documents")
 
 
-def _ordered(described: DataFrame, percent: int) -> DataFrame:
-    """node, n, own: the shared n-grams of the sets that may have partners, as (c, s) by frequency and then hash."""
+def _segments(described: DataFrame, percent: int, parts: int) -> DataFrame:
+    """node, n, unique, part, v of the sets that may have partners: their shared n-grams in the global order, cut
+    into fragments 0 to 2 * parts - 1 (``parts`` hash ranges, of rare ones and of frequent ones), and as part -1 the prefix."""
     rows = described.where("v IS NOT NULL").select("node", F.explode("v").alias("s"))
     counts = rows.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).cast("int").alias("c"))
     shared = stage(counts.where("lo < hi").select("s", "c"), "shared")
@@ -131,45 +132,50 @@ def _ordered(described: DataFrame, percent: int) -> DataFrame:
     hot = F.broadcast(shared.where(F.col("c") > limit))
     known = rows.join(hot, "s").unionByName(rows.join(hot.select("s"), "s", "left_anti").join(shared.where(F.col("c") <= limit), "s"))
     sizes = described.where("v IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
-    own = known.groupBy("node").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("c", "s")))).alias("own"))
-    return stage(own.join(sizes, "node").where(F.size("own") * 100 >= F.col("n") * percent).select("node", "n", "own"), "ordered")
-
-
-def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
+    own = known.groupBy("node").agg(F.collect_list("c").alias("c"), F.collect_list("s").alias("s"))
+
+    def cut(batches):
+        bits = np.uint64(64 - parts.bit_length() + 1)
+        for batch in batches:
+            out = []
+            for node, n, c, s in zip(batch["node"], batch["n"], batch["c"], batch["s"], strict=True):
+                s, at = np.unique(s, return_index=True)  # a set of several tasks brings each n-gram several times
+                c, unique = c[at], n - len(s)
+                if len(s) * 100 < n * percent:
+                    continue
+                prefix = np.lexsort((s, c))[: n + 1 - unique - -(-n * percent // 100)]
+                out.append((node, n, unique, -1, s[prefix]))
+                part = np.where(c > FREQUENT, parts, 0) + ((s.view(np.uint64) >> bits).astype(np.int64) if parts > 1 else 0)
+                out += [(node, n, unique, int(k), s[part == k]) for k in np.unique(part)]
+            yield pd.DataFrame(out, columns=["node", "n", "unique", "part", "v"])
+
+    return stage(own.join(sizes, "node").mapInPandas(cut, "node long, n long, unique long, part int, v array<long>"), "segments")
+
+
+def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
     """s, node, n, j, hi: the prefix of each set.  A pair whose first common n-gram is s shares n - j of them
     at most, so a partner has hi n-grams at most."""
-    unique = F.col("n") - F.size("own")
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - unique
-    rows = ordered.select("node", "n", unique.alias("u"), F.posexplode(F.slice("own", F.lit(1), length.cast("int"))).alias("at", "x"))
-    rows = rows.select(F.col("x.s").alias("s"), "node", "n", (F.col("u") + F.col("at")).alias("j"))
+    rows = segments.where("part = -1").select("node", "n", "unique", F.posexplode("v").alias("at", "s"))
+    rows = rows.select("s", "node", "n", (F.col("unique") + F.col("at")).alias("j"))
     return rows.withColumn("hi", F.floor((F.col("n") - F.col("j")) * (100 + percent) / percent) - F.col("n"))
 
 
-def _links(pairs: DataFrame, ordered: DataFrame, percent: int, parts: int) -> DataFrame:
+def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of a written table of pairs (a, b, na, nb, la, lb), nodes with their sizes and labels, the labels (la, lb) of
     those that link: overlaps are counted fragment by fragment and summed."""
-    crowds = {side: frequent(pairs, side) for side in "ab"}
-
-    def cut(side: str) -> DataFrame:
-        """The sets of one side of the pairs in fragments, once for each salt of a node with very many pairs."""
-        own, salt = ordered.select(F.col("node").alias(side), "own"), F.lit(0)
-        if crowds[side] is not None:
-            own = own.join(F.broadcast(crowds[side]), side, "left")
-            salt = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-        own = own.withColumn(f"salt_{side}", salt)
-        place = lambda x: F.when(x["c"] > FREQUENT, parts).otherwise(0) + F.shiftrightunsigned(x["s"], 64 - parts.bit_length() + 1).cast("int")
-        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2 * parts - 1))))
-        v = F.transform(F.filter("own", lambda x: place(x) == F.col("part")), lambda x: x["s"])
-        return own.select(side, f"salt_{side}", "part", v.alias(f"v{side}")).where(F.size(f"v{side}") > 0)
-
-    rows = pairs
+    rows, sides = pairs, {}
     for side, other in ("ab", "ba"):
-        if crowds[side] is not None:
-            rows = rows.join(F.broadcast(crowds[side]), side, "left")
-            rows = rows.withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        else:
+        own = segments.where("part >= 0").select(F.col("node").alias(side), "part", F.col("v").alias(f"v{side}"))
+        crowds = frequent(pairs, side)
+        if crowds is None:
+            sides[side] = own.withColumn(f"salt_{side}", F.lit(0))
             rows = rows.withColumn(f"salt_{side}", F.lit(0))
-    both = rows.join(cut("a"), ["a", "salt_a"]).join(cut("b"), ["b", "salt_b", "part"])
+            continue
+        # A node with very many pairs: its pairs are dealt to salts, its set is there once for each.
+        sides[side] = own.join(F.broadcast(crowds), side, "left").withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        salt = F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")
+        rows = rows.join(F.broadcast(crowds), side, "left").withColumn(f"salt_{side}", salt).drop("salts")
+    both = rows.join(sides["a"], ["a", "salt_a"]).join(sides["b"], ["b", "salt_b", "part"])
     one = both.select(*pairs.columns, F.size(F.array_intersect("va", "vb")).alias("common"))
     whole = one.groupBy(*pairs.columns).agg(F.sum("common").alias("common"))
     return whole.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("la", "lb").distinct()
@@ -226,14 +232,14 @@ def _placed(docs: DataFrame, key: str, text: str, width: int, percent: int, part
     rows of a component and null without words."""
     base = docs.select(F.col(key).cast("string").alias("id"), _row_hash(key, text).alias("h"), F.col(text).alias("text"))
     described = _described(base, width, percent)
-    ordered = _ordered(described, percent)
-    prefixes = stage(_prefixes(ordered, percent), "prefixes")
-    labels = stage(ordered.select("node", F.col("node").alias("label")), "labels")
+    segments = _segments(described, percent, parts)
+    prefixes = stage(_prefixes(segments, percent), "prefixes")
+    labels = stage(segments.where("part = -1").select("node", F.col("node").alias("label")), "labels")
     for turn in range(rounds + 1):
         labelled = stage(prefixes.join(labels, "node"), "labelled")
         pairs = _by_leaders(labelled, turn, percent) if turn < rounds else _across(labelled, percent)
         if not pairs.isEmpty():
-            labels = _merged(labels, _links(pairs, ordered, percent, parts))
+            labels = _merged(labels, _links(pairs, segments, percent))
     rows = spread_join(described.select(F.col("id").cast(docs.schema[key].dataType).alias("id"), "h", "node", "n"), labels, "node", "left")
     return stage(rows.select("id", "h", "n", F.coalesce("label", "node").alias("label")), "placed")
 
