@@ -10,9 +10,12 @@ import numpy as np
 import regex
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
-_PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+(?:\n[\x21-\x7e\xa1-\u024f]+)*")
+#: White space other than a space or a line end.
+_RARE_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 #: How this vocabulary cuts a word, given with the space before it, into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\n")
+_RARE_ASCII = [c for c in _RARE_SPACES if c.isascii()]
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -22,6 +25,13 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _plain_lines(text: str) -> bool:
+    """Whether words are parted by single spaces or single line ends only."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE_SPACES))
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if it is printable,
     else the next unused one from U+0100 on."""
@@ -47,19 +57,24 @@ class Encoder:
 
     A byte-level BPE never merges across the start of a word: the space before a word opens a new
     piece.  So a text is cut before each space that a non-space follows and words seen before are
-    looked up; the BPE model of the tokenizers library sees each new piece once.  ``keep`` bounds
-    the words held.
+    looked up; the BPE model of the tokenizers library sees each new piece once.  Where lines are parted
+    by single line ends, each line is cut by itself.  ``keep`` bounds the words held.
+
+    The strings of special tokens in a text are ordinary text, as the notes on these vocabularies set it
+    (``encode_special_tokens``); ``special_as_text=False`` gives them their special ids instead.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 600_000, special_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = None if special_as_text else re.compile("|".join(re.escape(a.content) for a in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.keep, self.words, self.pieces = keep, _Memo(self._word), _Memo(self._piece)
+        self.keep, self.words, self.pieces, self.firsts = keep, _Memo(self._word), _Memo(self._piece), _Memo(self._first)
+        self.line_end = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -74,22 +89,37 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
         if word.isalpha():
-            return self.pieces[" " + word]
+            return self._piece(" " + word)
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
+            return self.words[word[:-1]] + self.pieces[word[-1]]
         if not _PLAIN.fullmatch(word):
             return self._ids(" " + word)
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + word)))
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a word at the beginning of a line."""
+        if not _PLAIN.fullmatch(word):
+            return self._ids(word)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        look, out = self.words.__getitem__, []
+        look, first, out = self.words.__getitem__, self.firsts.__getitem__, []
         for t in texts:
-            words = (_BEFORE_WORD.split(t) if "  " in t else t.split(" ")) if t else [""]
-            out.append((self._ids(words[0]) if words[0] else b"") + b"".join(map(look, words[1:])))
-        if len(self.words) > self.keep:
+            if not t:
+                out.append(b"")
+            elif self.special is not None and self.special.search(t):
+                out.append(self._ids(t))
+            elif not _plain_lines(t):
+                words = _BEFORE_WORD.split(t) if "  " in t else t.split(" ")
+                out.append((self._ids(words[0]) if words[0] else b"") + b"".join(map(look, words[1:])))
+            else:
+                lines = [line.split(" ") for line in t.split("\n")]
+                out.append(self.line_end.join([first(words[0]) + b"".join(map(look, words[1:])) for words in lines]))
+        if len(self.words) + len(self.firsts) > self.keep:
             self.words.clear()
             self.pieces.clear()
+            self.firsts.clear()
         return out
 
 
