@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import stage
+from .batches import filtered
 from .hashing import batches_of_bytes, word_hashes
 from .sampling import bounded_sample
 
@@ -28,6 +30,8 @@ class Model:
     weights: np.ndarray  # (features + 1) x domains
 
     def posteriors(self, features: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.zeros((len(features), 0))
         z = (features - self.mean) / self.spread
         z = np.column_stack([z, np.ones(len(z))]) @ self.weights
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -64,22 +68,25 @@ def _shape(texts: list[bytes], evidence: np.ndarray | None) -> tuple[np.ndarray,
     return np.array(tokens, np.int64), np.array(rows, float).reshape(len(tokens), width)
 
 
-def _bytes(texts: pd.Series) -> list[bytes]:
+def _bytes(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id", text: str = "text", documents: int = 4000) -> Model:
     """Fit the classifier on a labelled table: ``domain`` is an expression over its columns.
 
-    Of each domain about ``documents`` labelled keys, drawn by hash, teach, so no more are gathered; rows without key or domain teach nothing.  Half of them (by hash)
-    give the evidence of words, in ``SLOTS`` hashed slots, the other half the softmax.
+    Of each domain about ``documents`` labelled keys, drawn by hash, teach, so no more are gathered; rows
+    without key or domain teach nothing, documents that repeat a key all teach.  Half of them (by hash)
+    give the evidence of words, in ``SLOTS`` hashed slots, the other half the softmax; whole texts
+    count, null ones as empty.  Labels that teach nothing give a model of no domains, whose
+    posteriors are empty and whose rates are 1.
     """
     known = labels.select(F.col(key).alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     picked = bounded_sample(known, F.col("domain"), F.col("id").cast("string"), documents).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)))
     names = sorted(r["domain"] for r in picked.select("domain").distinct().collect())
     sample = stage(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id"), "sample")
     if not names:
-        raise ValueError("no labelled rows")
+        return Model([], np.zeros((SLOTS, 0)), np.zeros(9), np.ones(9), np.zeros((10, 0)))
 
     def seen(batches):
         for batch in batches:
@@ -120,22 +127,24 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id
 @dataclass
 class Fit:
     """Rates as the projected gradient steps that lead to them: a document's rate follows from its
-    tokens, its posteriors and these few vectors."""
+    posteriors and these few vectors.  ``reached``: every domain's total is within the tolerance of its target."""
 
     steps: np.ndarray  # iterations x domains
     most: float
     totals: np.ndarray
     targets: np.ndarray
+    reached: bool = False
 
-    def rates(self, tokens: np.ndarray, posteriors: np.ndarray) -> np.ndarray:
-        own, r = tokens[:, None] * posteriors, np.ones(len(tokens))
+    def rates(self, posteriors: np.ndarray) -> np.ndarray:
+        r = np.ones(len(posteriors))
         for step in self.steps:
-            r = np.clip(r - own @ step, 0.0, self.most)
+            r = np.clip(r - posteriors @ step, 0.0, self.most)
         return r
 
 
 def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, tokens, p (posteriors) of every row."""
+    """id, tokens, p (posteriors) of every row; a null or empty text has 0 tokens, rows that repeat are
+    measured each by itself, whole texts count however long, an empty table gives an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -143,55 +152,72 @@ def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             tokens, x = _shape(_bytes(batch["text"]), sent.value.evidence)
             yield pd.DataFrame({"id": batch["id"], "tokens": tokens, "p": list(sent.value.posteriors(x))})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, tokens long, p array<double>")
+    rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(run, "id string, tokens long, p array<double>")
+    return rows.withColumn("id", F.col("id").cast(docs.schema[key].dataType))
 
 
-def fit(measured: DataFrame, domains: list[str], weights: dict[str, float], most: float = float("inf"), total: str = "corpus", iterations: int = 40) -> Fit:
+def fit(
+    measured: DataFrame, domains: list[str], weights: dict[str, float], most: float = float("inf"), total: str = "corpus", tolerance: float = 0.002
+) -> Fit:
     """Projected-gradient least squares over all documents: rates in [0, most] whose expected
     token totals by domain (sum of rate * tokens * posterior) match the targets.
 
     The target of a domain is its share of ``weights`` in a total: all tokens of the corpus, or,
-    with total="first", as many as leave the first domain named in ``weights`` whole.  Domains are scaled to equal
-    weight in the squares.  One pass gives the domains' products for the step size, and each step is
-    one pass that sums a row of domain totals a task; documents keep no state between them.
+    with total="first", as many as leave the first domain named in ``weights`` whole.  The squares of
+    domains are weighted by the inverse of S, the sum of tokens * p * p' over the documents, and the gradient of a
+    rate is taken per token, so a step is p * (inverse of S) * gap: it would close the gap at once
+    if no rate were cut off at 0 or ``most``.  S is taken over the documents that are not cut off, and over
+    all, which cannot overshoot, after a step that has not helped.  Each step is one pass that sums a row of domain totals a task;
+    documents keep no state between them.
+
+    Steps end when every total is within ``tolerance`` of its target, relative to it, or when ten of them
+    in a row have not brought the worst one nearer by a hundredth: then the targets
+    cannot be met with such rates, ``reached`` is false and a warning says so.  No documents, or
+    none with tokens, reach targets of 0.
     """
     d = len(domains)
+    if not d:
+        return Fit(np.empty((0, 0)), most, np.zeros(0), np.zeros(0), True)
 
     def pass_over(batches, steps):
-        acc, square = np.zeros(d), np.zeros((d, d))
+        acc, square, free = np.zeros(d), np.zeros((d, d)), np.zeros((d, d))
         for batch in batches:
             if len(batch):
                 t, p = batch["tokens"].to_numpy(float), np.array(batch["p"].tolist(), float)
-                own = t[:, None] * p
-                acc += Fit(steps, most, acc, acc).rates(t, p) @ own
-                square += own.T @ own
-        yield pd.DataFrame({"v": [[*acc, *square.ravel()]]})
+                own, r = t[:, None] * p, Fit(steps, most, acc, acc).rates(p)
+                inside = (r > 0) & (r < most)
+                acc += r @ own
+                square += own.T @ p
+                free += own[inside].T @ p[inside]
+        yield pd.DataFrame({"v": [[*acc, *square.ravel(), *free.ravel()]]})
 
     def totals(steps):
-        out = measured.mapInPandas(lambda b: pass_over(b, steps), "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-        found = np.zeros(d + d * d)
+        out = measured.select("tokens", "p").mapInPandas(lambda b: pass_over(b, steps), "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        found = np.zeros(d + 2 * d * d)
         for r in out.collect():
             found[r["i"]] = r["v"]
-        return found[:d], found[d:].reshape(d, d)
+        return found[:d], found[d : d + d * d].reshape(d, d), found[d + d * d :].reshape(d, d)
 
-    now, square = totals(np.empty((0, d)))
+    steps = np.empty((0, d))
+    now, square, free = totals(steps)
     share = np.array([weights.get(x, 0.0) for x in domains], float)
     share = share / max(share.sum(), 1e-12)
     first = domains.index(next(iter(weights))) if next(iter(weights), None) in domains else 0
     whole = now.sum() if total == "corpus" else now[first] / max(share[first], 1e-12)
     targets = share * whole
-    scale = 1.0 / np.maximum(np.diag(square), 1e-12)
-    root = np.sqrt(scale)
-    largest = max(float(np.linalg.eigvalsh(square * root[:, None] * root[None, :]).max()), 1e-12)
-    steps = np.empty((0, d))
-    for _ in range(iterations):
-        gap = now - targets
-        if np.abs(gap).max() <= 1e-4 * max(whole, 1.0):
-            break
-        steps = np.vstack([steps, gap * scale / largest])
-        now, _ = totals(steps)
-    return Fit(steps, most, now, targets)
+    worst = lambda: float((np.abs(now - targets) / np.maximum(targets, 1e-3 * max(whole, 1e-12))).max())
+    best, idle, metric = worst(), 0, free
+    while best > tolerance and idle < 10:
+        steps = np.vstack([steps, np.linalg.pinv(metric, rcond=1e-9, hermitian=True) @ (now - targets)])
+        before = worst()
+        now, square, free = totals(steps)
+        metric = free if worst() < 0.9 * before else square
+        idle = 0 if worst() < 0.99 * best else idle + 1
+        best = min(best, worst())
+    reached = worst() <= tolerance
+    if not reached:
+        warnings.warn(f"mixing targets not reached: {dict(zip(domains, np.round(now / np.maximum(targets, 1e-12), 3).tolist(), strict=True))} of them", stacklevel=2)
+    return Fit(steps, most, now, targets, reached)
 
 
 def rates(measured: DataFrame, fitted: Fit, domains: list[str], key: str = "doc_id") -> DataFrame:
@@ -200,23 +226,26 @@ def rates(measured: DataFrame, fitted: Fit, domains: list[str], key: str = "doc_
     def run(batches):
         for batch in batches:
             p = np.array(batch["p"].tolist(), float).reshape(len(batch), len(domains))
-            r = fitted.rates(batch["tokens"].to_numpy(float), p)
-            yield pd.DataFrame({key: batch["id"], "tokens": batch["tokens"], "rate": r} | {f"p_{x}": p[:, i] for i, x in enumerate(domains)})
+            yield pd.DataFrame({"id": batch["id"], "tokens": batch["tokens"], "rate": fitted.rates(p), "p": batch["p"]})
 
-    kind = measured.schema["id"].dataType.simpleString()
-    return measured.mapInPandas(run, f"`{key}` {kind}, tokens long, rate double, " + ", ".join(f"`p_{x}` double" for x in domains))
+    rows = measured.select(F.col("id").cast("string").alias("id"), "tokens", "p").mapInPandas(run, "id string, tokens long, rate double, p array<double>")
+    return rows.select(F.col("id").cast(measured.schema["id"].dataType).alias(key), "tokens", "rate", *(F.element_at("p", i + 1).alias(f"p_{x}") for i, x in enumerate(domains)))
 
 
 def thin(docs: DataFrame, model: Model, fitted: Fit, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that a draw at their rates (at most 1) keeps; the draw is a hash of the key, so it
-    is the same in every run.  Rows with a null key draw by their text."""
+    """The rows that a draw at their rates (at most 1) keeps, all columns as they are; the draw is a
+    hash of the key, so it is the same in every run and rows that repeat a key with one text stay or go together.
+    Rows with a null key draw by their text, those without either always draw alike."""
     sent = docs.sparkSession.sparkContext.broadcast((model, fitted))
     draw = (F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit(7)) / F.lit(2.0**64)) + 0.5
 
-    def run(batches):
+    def compute():
         own, steps = sent.value
-        for batch in batches:
-            tokens, x = _shape(_bytes(batch[text]), own.evidence)
-            yield batch[steps.rates(tokens.astype(float), own.posteriors(x)) > batch["_draw"].to_numpy()].drop(columns="_draw")
 
-    return docs.withColumn("_draw", draw).mapInPandas(run, docs.schema)
+        def of(texts, drawn):
+            _, x = _shape(_bytes(texts), own.evidence)
+            return [steps.rates(own.posteriors(x)) > drawn.to_numpy(zero_copy_only=False)]
+
+        return of
+
+    return filtered(docs, text, draw, compute)

@@ -69,7 +69,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     """One row per input row: key, base (spans of the four base kinds), found (all spans), each an
     array of (start, rank, end, kind, match, score), by start and then rank.
 
-    A null text is empty; repeated rows and null keys are rows like any other.  Base kinds are
+    A null text is empty; repeated rows and null keys are rows like any other; whole texts are
+    searched however long; an empty table gives an empty one.  Base kinds are
     decided by pattern and checksum alone and always stay; an IBAN needs its checksum, a phone
     number without country code a context word within ``window`` characters.
     """

@@ -113,26 +113,27 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_records(spark: SparkSession, folder: str, split: int = 20_000) -> DataFrame:
     """All records, in parts of at most ``split`` records: doc_id, start (tokens before it), ids
-    (little-endian unsigned 32-bit).  A part starts at its offset from the index; only the
-    token counts before it in the shard come from the lengths that the index gives."""
+    (little-endian unsigned 32-bit).  A part reads the one entry of the index
+    that it starts at: the offset also tells how many tokens the shard has before it."""
     parts = read_manifest(spark, folder).select(
-        "path", "first_token", "width", F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(split))).alias("from"),
+        "path", "first_token", "width", F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(split))).alias("begin"),
         F.col("records").alias("records"),
     )
-    spread = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "from")
+    spread = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "begin")
 
     def read(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 system, name = _file(row.path + ".idx")
-                with system.open_input_stream(name) as index:
-                    offsets = np.frombuffer(index.read(), "<u8").astype(np.int64)
-                begin, end = getattr(row, "_3"), min(getattr(row, "_3") + split, row.records)
-                counts = (np.diff(offsets) - 24) // row.width
-                start = int(row.first_token + counts[:begin].sum())
+                begin, end = row.begin, min(row.begin + split, row.records)
+                with system.open_input_file(name) as index:
+                    index.seek(8 * begin)
+                    place = int(np.frombuffer(index.read(8), "<u8")[0])
+                # Each record before this one is 24 bytes and its ids.
+                start = row.first_token + (place - 24 * begin) // row.width
                 system, name = _file(row.path)
                 with system.open_input_file(name) as source:
-                    source.seek(int(offsets[begin]))
+                    source.seek(place)
                     held: list[tuple] = []
                     size = 0
                     for _ in range(begin, end):

@@ -6,12 +6,14 @@ Native column expressions throughout.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import stage
 from .sampling import bounded_sample
-from .spans import matches, of_kind, written
+from .spans import let, matches, of_kind, written
 
 #: The patterns of the base kinds, in order of rank.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,20 +22,27 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 #: What the models judge: a run of key characters with a digit and a letter, of 20 characters or more.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 BASE = ("assign", "access", "hex")
-#: Character classes of the models: a letter or digit by itself, and one class for all signs.
-SIGN, START = "-", "^"
+#: Symbols of the models: the start of a string, one for all signs, and each letter or digit; others count as signs.
+SYMBOLS = "^-" + string.digits + string.ascii_letters
+START, SIGN = 1, 2
 #: Share of the random model that is uniform over the alphabet: secrets come in more alphabets than a sample shows.
 UNIFORM = 0.5
 
 
-def _signs(text: Column) -> Column:
-    return F.regexp_replace(text, "[+/_.=-]", SIGN)
+def _codes(text: Column) -> Column:
+    """The symbols of a string as their places in SYMBOLS (from 1), the start first."""
+    codes = F.transform(F.split(text, ""), lambda c: F.greatest(F.instr(F.lit(SYMBOLS), c), F.lit(SIGN)))
+    return F.concat(F.array(F.lit(START)), codes)
+
+
+def _cell(first: Column, second: Column) -> Column:
+    """The place (from 1) of a pair of symbols in a table of all pairs."""
+    return (first - 1) * len(SYMBOLS) + second
 
 
 def _pairs(text: Column) -> Column:
-    """The character pairs of a string, the first one with the start mark."""
-    marked = F.concat(F.lit(START), _signs(text))
-    return F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(marked, i, F.lit(2)))
+    """The cells of a string's pairs of symbols, from the start on."""
+    return let(_codes(text), lambda codes: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), _cell))
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -44,19 +53,20 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
     return assign, access, matches(text, HEX, "hex", 2)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = 20_000, alphabet: int = 64) -> dict[str, float]:
-    """Log-likelihood ratio of each character pair (and, by its first character, of unseen ones),
-    random strings against ordinary identifiers.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = 20_000) -> list[float]:
+    """Log-likelihood ratio of each pair of symbols, random strings against ordinary identifiers, by ``_cell``.
 
     Samples are labelled by the patterns: values of assignments, access keys and hex runs are
     random, runs of at least 4 letters or underscores between blanks are ordinary.  They come from
     about ``documents`` rows, drawn by hash, that seem to have a base match, and as many without,
-    which bounds the fit; the table has about alphabet**2 entries.
+    which bounds the fit.  A pair that was never seen counts what an unseen pair of its first symbol
+    counts; after a symbol that was never seen all pairs count 0.  Null texts and empty tables teach nothing.
     """
+    size = len(SYMBOLS)
     t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).cast("string").alias("id"), t.alias("text"))
     likely = F.col("text").rlike(f"(?i:password|passwd|secret|token|api_?key)|AKIA|{HEX}")
-    rows = docs.select(F.col(key).cast("string").alias("id"), t.alias("text")).withColumn("likely", likely)
-    sample = bounded_sample(rows, F.col("likely"), F.concat_ws(":", "id", F.substring("text", 1, 100)), documents).select("text", "likely")
+    sample = stage(bounded_sample(rows, likely, F.concat_ws(":", "id", F.xxhash64("text")), documents).select("text", likely.alias("likely")), "sample")
     assign, access, hexes = base_spans(F.col("text"))
     secrets = sample.where("likely").select(
         F.explode(
@@ -69,46 +79,38 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: i
     words = sample.where("NOT likely").select(
         F.explode(F.regexp_extract_all("text", F.lit(r"(?<![^\s])[A-Za-z_]{4,}(?![^\s])"), 0)).alias("s"), F.lit(0).alias("random")
     )
-    counts = (
+    found = (
         secrets.unionByName(words)
-        .select("random", F.explode(_pairs(F.col("s"))).alias("pair"))
-        .groupBy("pair")
+        .select("random", F.explode(_pairs(F.col("s"))).alias("cell"))
+        .groupBy("cell")
         .agg(F.sum("random").alias("random"), F.sum(1 - F.col("random")).alias("ordinary"))
-        .orderBy("pair")
         .collect()
     )
-    totals: dict[str, list[int]] = {}
-    for r in counts:
-        own = totals.setdefault(r["pair"][0], [0, 0])
-        own[0] += r["random"]
-        own[1] += r["ordinary"]
-    model = {}
-    for first, (random, ordinary) in totals.items():
-        chance = lambda n, own: math.log((1 - UNIFORM) * n / max(own, 1) + UNIFORM / alphabet)
-        model[first] = round(chance(0, random) - math.log(1 / (ordinary + alphabet)), 4)
-        for r in counts:
-            if r["pair"][0] == first:
-                model[r["pair"]] = round(chance(r["random"], random) - math.log((r["ordinary"] + 1) / (ordinary + alphabet)), 4)
+    counts = [[0, 0] for _ in range(size * size)]
+    for r in found:
+        counts[r["cell"] - 1] = [r["random"], r["ordinary"]]
+    model = []
+    for first in range(size):
+        row = counts[first * size : (first + 1) * size]
+        random, ordinary = (sum(c[k] for c in row) for k in (0, 1))
+        chance = lambda n, own: math.log((1 - UNIFORM) * n / max(own, 1) + UNIFORM / size)
+        model += [round(chance(n, random) - math.log((m + 1) / (ordinary + size)), 4) if random + ordinary else 0.0 for n, m in row]
     return model
 
 
-def ratio(text: Column, model: dict[str, float]) -> Column:
-    """Mean log-likelihood ratio a character.  A pair that the training never saw counts what an
-    unseen pair of its first character counts, or 0."""
-    if not model:
-        return F.lit(0.0)
-    table = F.from_json(F.lit("{" + ", ".join(f'"{k}": {v}' for k, v in model.items()) + "}"), "map<string,double>")
-    total = F.aggregate(_pairs(text), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.element_at(table, p), F.element_at(table, F.substring(p, 1, 1)), F.lit(0.0)))
-    return total / F.char_length(text)
+def ratio(text: Column, model: list[float]) -> Column:
+    """Mean log-likelihood ratio a character of a string that is not empty."""
+    table = F.from_json(F.lit(str(model)), "array<double>")
+    return F.aggregate(_pairs(text), F.lit(0.0), lambda acc, cell: acc + F.element_at(table, cell)) / F.char_length(text)
 
 
-def find(docs: DataFrame, model: dict[str, float], key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+def find(docs: DataFrame, model: list[float], key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """One row per input row: key, base (spans of the base kinds), found (those and the ``markov``
     spans), each an array of (start, rank, end, kind, match), by start and then rank.
 
     A ``markov`` span is a candidate that overlaps no base span and whose mean log-likelihood
     ratio is at least ``least``.  A null text is empty; repeated rows and null keys are rows like
-    any other.
+    any other; whole texts are searched however long; an empty table gives an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     assign, access, hexes = base_spans(t)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import stage
+
 PAIRS = "query_id long, vec_id long, score long"
 
 
@@ -107,20 +110,24 @@ def top_k(
     largest vector.  Scores are 64-bit integers, so results are exact while they fit.
 
     Queries go out in blocks of ``queries_at_once``, the only thing that is broadcast, so its size
-    has a bound; every block reads all candidates.  A task returns k rows a query at most, and one
+    has a bound; every block reads all candidates, and with several each is searched and written
+    before the next goes out, so one is held at a time.  A task returns k rows a query at most, and one
     window picks the best of them.
     """
     good = lambda df: df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), scaled(F.col(vector), scale).alias("x"))
     candidates = good(vectors)
     asked = good(queries).groupBy("vec_id").agg(F.max("x").alias("x"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     count = asked.count()
     blocks = max(1, -(-count // queries_at_once))
-    found = None
+    parts = []
     for i in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
         own = [(r["vec_id"], np.array(r["x"], np.int64)) for r in mine.orderBy("vec_id").toLocalIterator()]
         sent = vectors.sparkSession.sparkContext.broadcast(own)
         part = candidates.mapInPandas(lambda batches, sent=sent: _search(batches, sent.value, k, block), PAIRS)
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        parts.append(stage(best(part), "found") if blocks > 1 else best(part))
+        if blocks > 1:
+            sent.destroy()
+    return reduce(DataFrame.unionByName, parts)
