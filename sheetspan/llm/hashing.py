@@ -75,7 +75,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def batches_of_bytes(texts: list[bytes], most: int = 1 << 20):
+def batches_of_bytes(texts: list[bytes], most: int = 1 << 18):
     """Slices of the list whose texts have about ``most`` bytes together (one text at least)."""
     start, held = 0, 0
     for i, t in enumerate(texts):

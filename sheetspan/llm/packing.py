@@ -112,7 +112,7 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", waiting: int = 4_000_000
+    docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", waiting: int = 2_000_000
 ) -> DataFrame:
     """Pieces of the token sequences that hold all documents: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
@@ -138,8 +138,8 @@ def pack(
         yield from frames(packer.flush(0))
 
     def frames(rows):
-        for at in range(0, len(rows), 5000):
-            x = list(zip(*rows[at : at + 5000], strict=True))
+        for at in range(0, len(rows), 1000):
+            x = list(zip(*rows[at : at + 1000], strict=True))
             yield pd.DataFrame({"doc_id": pd.array(x[0], dtype="Int64")} | dict(zip(_NAMES[1:], x[1:], strict=True)))
 
     return docs.select(F.col(key).cast("long").cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)

@@ -64,7 +64,7 @@ class Encoder:
     (``encode_special_tokens``); ``special_as_text=False`` gives them their special ids instead.
     """
 
-    def __init__(self, path: str, keep: int = 600_000, special_as_text: bool = True):
+    def __init__(self, path: str, keep: int = 300_000, special_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -130,7 +130,7 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def text_batches(texts: list[str | None], most: int = 4 << 20):
+def text_batches(texts: list[str | None], most: int = 1 << 20):
     """Slices whose texts have about ``most`` characters together (one text at least)."""
     start, held = 0, 0
     for i, t in enumerate(texts):

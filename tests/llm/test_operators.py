@@ -213,7 +213,7 @@ def check_packing(df, waiting):
             assert {p[2] for p in pieces} == {len(own[0])}
 
 
-@pytest.mark.parametrize("waiting", [3000, 4_000_000])
+@pytest.mark.parametrize("waiting", [3000, 2_000_000])
 def test_packing(docs, odd, nothing, waiting):
     for df in (docs, odd, nothing):
         check_packing(df, waiting)
