@@ -2,29 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
 
 C = F.col
-#: Label aliases and their classes; exact spelling goes before the normalised one.
-CLASSES = {
-    "master_bedroom": "Bedroom", "Bed": "Bedroom", "Bedroom": "Bedroom", "Ensuite": "Bathroom", "Bathroom": "Bathroom", "Open Living": "Living", "Lobby": "Lobby", "Store": "Store",
-    "Balcony": "Balcony", "Main Door": "Main Door", "Single Door": "Door", "Window": "Window", "Wall": "Wall", "External Wall": "Wall", "Sink": "Fixture",
+#: The trained classes, in the order of their ids.
+CLASS_NAMES = (
+    "Unit", "Open Living", "Bedroom", "Bathroom", "Ensuite", "Laundry", "Closet", "Store", "Balcony", "Lobby", "Communal Space", "Wall", "External Wall", "Single Door",
+    "Sliding Door", "Main Door", "Window", "Stair", "Lift",
+)
+#: Other spellings of classes.
+ALIASES = {"Living": "Open Living", "Toilet": "Bathroom", "Double Door": "Single Door", "Home Office": "Bedroom"}
+#: Normalised labels of each entity type; any other label is "other".
+ENTITY_LABELS = {
+    "unit_boundary": "unit",
+    "room": "open living, bedroom, bathroom, ensuite, laundry, closet, store, balcony, lobby, communal space, gas stove, refrigerator, washing machine, sofa, bed, bedside cupboard, "
+    "tv cabinet, wardrobe, sink, bath, bath tub, squat toilet, urinal, toilet, floor, room, rooms, company area, conference, reception, rest room, restroom, waiting",
+    "wall": "wall, external wall, walls, partition, interior wall, internal wall",
+    "door": "single door, sliding door, main door, double door, opening symbol, door, doors",
+    "window": "window, bay window, blind window, windows",
+    "stair": "stair",
+    "fixture": "chair, table, half height cabinet, high cabinet",
+    "main_floorplan": "drawing area",
+    "legend": "legend block, legend",
+    "title_block": "title block",
+    "north_arrow": "north arrow, compass, north",
+}
+#: Normalised labels of room types that the label itself does not spell.
+ROOM_LABELS = {
+    "living": "open living, sofa, chair, table, tv cabinet", "bedroom": "bed, bedside cupboard", "bathroom": "ensuite, sink, bath, bath tub, squat toilet, urinal, toilet, rest room, restroom",
+    "common_corridor": "communal space", "legend": "legend block", "north_arrow": "compass, north", "kitchen": "gas stove, refrigerator", "laundry": "washing machine",
+    "closet": "wardrobe", "office": "company area", "lobby": "reception",
 }
 GENERIC = ("room", "space", "area", "unknown", "")
 
 
-def resolve_labels(entities: DataFrame, classes: dict[str, str] | None = None) -> DataFrame:
-    """Canonical class of each label, by exact alias, then by normalised alias, else "other"."""
-    spark, table = entities.sparkSession, classes or CLASSES
-    exact = F.broadcast(spark.createDataFrame(list(table.items()), "label string, exact string"))
-    normal = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(table.items())], "alias string, loose string, i int")
-    normal = normal.select(t.normalise_label(C("alias")).alias("norm"), "loose", "i").groupBy("norm").agg(F.min_by("loose", "i").alias("loose"))
-    own = entities.join(exact, "label", "left").withColumn("norm", t.normalise_label(C("label"))).join(F.broadcast(normal), "norm", "left")
-    return own.withColumn("canonical", F.coalesce("exact", "loose", F.lit("other"))).drop("exact", "loose", "norm")
+def _lookup(table: dict[str, str], key) -> Column:
+    """The name under whose comma-separated labels a normalised label is, or null."""
+    out = F.lit(None).cast("string")
+    for name, labels in table.items():
+        out = F.when(key.isin(labels.split(", ")), name).otherwise(out)
+    return out
+
+
+def resolve_labels(entities: DataFrame) -> DataFrame:
+    """Canonical (the class of a label or of its alias, spelled exactly, else null), entity_type and room_type (of
+    the normalised label, else "other" and the label itself with underscores)."""
+    norm, trimmed = t.normalise_label(C("label")), F.trim("label")
+    named = trimmed
+    for alias, name in ALIASES.items():
+        named = F.when(trimmed == alias, name).otherwise(named)
+    return entities.select(
+        "*", F.when(named.isin(*CLASS_NAMES), named).alias("canonical"), F.coalesce(_lookup(ENTITY_LABELS, norm), F.lit("other")).alias("entity_type"),
+        F.coalesce(_lookup(ROOM_LABELS, norm), F.replace(norm, F.lit(" "), F.lit("_"))).alias("room_type"),
+    )
 
 
 def label_rooms_from_detections(rooms: DataFrame, detected: DataFrame) -> DataFrame:
@@ -136,19 +170,36 @@ def merge_text_units(units: DataFrame, text_units: DataFrame) -> DataFrame:
     return units.select("page_id", t.unit_key(C("label")).alias("key"), F.lit("detected").alias("source")).distinct().unionByName(new.withColumn("source", F.lit("text")))
 
 
-#: Thresholds that a policy text names: code, pattern with the number, kind.
+_AREA = r"(\d+(?:\.\d+)?)\s*(?:m²|m2|sqm)"
+_LENGTH = r"(\d+(?:\.\d+)?)\s*m"
+#: The rules that a policy text may name: code, kind, bedrooms, pattern (its group is the number), and the number where the text has none.
 TEXT_RULES = (
-    ("STUDIO", r"(?i)studio[^0-9]{0,60}(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)", "apartment_min_internal"), ("BED1", r"(?i)(?:1|one)[- ]bed[^0-9]{0,60}(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)", "apartment_min_internal"),
-    ("BEDROOM", r"(?i)bedroom[^0-9]{0,60}(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)", "apartment_min_bedroom"), ("LIVING", r"(?i)living[^0-9]{0,60}(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)", "apartment_min_living"),
-    ("COMMUNAL", r"(?i)communal[^0-9]{0,60}(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)", "communal_open_space"),
+    ("RDS-APT-SIZE", "apartment_min_internal", 0, rf"studio[^.]{{0,80}}?{_LENGTH}", 35.0), ("RDS-APT-SIZE", "apartment_min_internal", 1, rf"1[-\s]?bed(?:room)?[^.]{{0,80}}?{_LENGTH}", 50.0),
+    ("RDS-APT-SIZE", "apartment_min_internal", 2, rf"2[-\s]?bed(?:room)?[^.]{{0,80}}?{_LENGTH}", 70.0), ("RDS-APT-SIZE", "apartment_min_internal", 3, rf"3[-\s]?bed(?:room)?[^.]{{0,80}}?{_LENGTH}", 90.0),
+    ("RDS-BED-MIN", "apartment_min_bedroom", None, rf"bedroom[^.]{{0,60}}?{_AREA}", 9.0), ("RDS-LIVING-MIN", "apartment_min_living", None, rf"living[^.]{{0,60}}?{_AREA}", 12.0),
+    *(("RDS-POS-MIN", "apartment_min_pos", n, rf"(?:private open space|balcony)[^.]{{0,80}}?{_AREA}", 8.0) for n in range(4)),
+    ("RDS-ASPECT-DUAL", "apartment_dual_aspect", None, r"dual aspect|windows on two sides|natural ventilation()", None),
+    ("RDS-HAB-WINDOW", "habitable_has_window", None, r"habitable.{0,50}window|bedroom.{0,40}window|each room.{0,30}window()", None),
+    ("RDS-STORAGE", "apartment_min_storage", None, r"storage|wardrobe|robe()", 1.0),
+    ("RDS-COMMUNAL", "communal_open_space", None, rf"communal[^.]{{0,80}}?{_AREA}.{{0,40}}(?:dwelling|apartment)", 2.5),
 )
 
 
 def threshold_rules_from_text(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, text) the first number that each pattern finds, as rule rows."""
+    """Per document (doc_id, text) the rules that its text names: code, kind, bedrooms, minimum.  A rule
+    by bedrooms has all its rows once one is named, with the usual numbers for the others."""
     flat = F.regexp_replace("text", r"\s+", " ")
-    rows = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(kind).alias("kind"), F.regexp_extract(flat, p, 1).alias("number")) for code, p, kind in TEXT_RULES))
-    return docs.select("doc_id", F.explode(rows).alias("r")).where("r.number <> ''").select("doc_id", "r.code", "r.kind", C("r.number").cast("double").alias("minimum"))
+
+    def row(code, kind, bedrooms, pattern, default):
+        number = F.regexp_extract(flat, "(?i)" + pattern, 1)
+        return F.struct(
+            F.lit(code).alias("code"), F.lit(kind).alias("kind"), F.lit(bedrooms).cast("int").alias("bedrooms"), flat.rlike("(?i)" + pattern).alias("named"),
+            F.coalesce(F.when(number != "", number).cast("double"), F.lit(default).cast("double")).alias("minimum"),
+        )
+
+    rows = docs.select("doc_id", F.array(*(row(*r) for r in TEXT_RULES)).alias("rows"))
+    rows = rows.withColumn("codes", F.transform(F.filter("rows", lambda r: r["named"]), lambda r: r["code"]))
+    return rows.select("doc_id", F.explode(F.filter("rows", lambda r: F.array_contains("codes", r["code"]))).alias("r")).select("doc_id", "r.code", "r.kind", "r.bedrooms", "r.minimum")
 
 
 def bridge_rules(rules: DataFrame, guidelines: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ _P, _W = f"(w + 2 * h + 2 * {EDGE})", "(x + w / 2) / 1300"
 def c23_region_features(spark, sf_dir):
     f = regions.region_features(C("bbox"), g.poly_area(C("points")), g.perimeter(C("points")), F.lit(1300.0), F.lit(1100.0))
     df = entities(spark, sf_dir).withColumn("f", f)
-    return df.select("entity_id", F.round("f.a", 8).alias("a"), r6(C("f.s")).alias("s"), r6(C("f.c")).alias("c"), r6(C("f.e")).alias("e"))
+    return df.select("entity_id", F.round("f.area_frac", 8).alias("a"), r6(C("f.aspect")).alias("s"), r6(C("f.compactness")).alias("c"), r6(C("f.edge_dist")).alias("e"))
 
 
 @query("""SELECT page_id, CASE WHEN vector_ops = 0 AND image_ops = 0 AND text_ops = 0 THEN 'unknown' WHEN image_ops > 0 AND vector_ops < 20 THEN 'raster'
@@ -200,14 +200,26 @@ def c24_graphics_kinds(spark, sf_dir):
     return views(spark, sf_dir, "d_pages").select("page_id", scale.graphics_kind(C("vector_ops"), C("image_ops"), C("text_ops")).alias("kind"))
 
 
-_Z = ", ".join(f"({sql}) AS z{i}" for i, sql in enumerate(regions.SCORES.values()))
-_N = len(regions.SCORES)
+_SCORED = {
+    "Unit": "3.4 * 12 * a + 1.2 * c + 1.6 * e + CASE WHEN a >= 0.1 AND e > 0.07 THEN 4.5 ELSE 0 END - CASE WHEN a < 0.007 THEN 4 ELSE 0 END",
+    "Open Living": "2.8 * 18 * a + 1.4 * c + CASE WHEN a >= 0.045 AND e > 0.08 THEN 2.2 ELSE 0 END - CASE WHEN a < 0.007 THEN 3 ELSE 0 END",
+    "Bedroom": "2.2 * 40 * (0.08 - abs(a - 0.035)) + 1.1 * c",
+    "Bathroom": "2.4 * 50 * (0.025 - abs(a - 0.012)) + 0.8 * (2.2 - s)",
+    "Ensuite": "2 * 45 * (0.02 - abs(a - 0.01))",
+    "Laundry": "1.6 * 40 * (0.02 - abs(a - 0.014)) + 0.6 * greatest(0, s - 1.4)",
+    "Closet": "2.6 * 80 * (0.012 - a) + 0.4 * s + CASE WHEN a < 0.007 THEN 3.5 ELSE 0 END + CASE WHEN d > 0.18 THEN 0.6 ELSE 0 END",
+    "Store": "1.8 * 50 * (0.015 - a) + CASE WHEN d > 0.18 THEN 0.4 ELSE 0 END",
+    "Balcony": "3.8 * 12 * (0.09 - e) + 1.2 * 30 * (0.05 - abs(a - 0.02)) + CASE WHEN e < 0.055 AND a < 0.09 THEN 5 ELSE 0 END",
+    "Lobby": "1.2 * 20 * (0.04 - abs(a - 0.03)) + 0.5 * (1 - y)",
+    "Communal Space": "1.4 * 10 * a + 0.8 * (1 - c)",
+}
+_Z, _N = ", ".join(f"({sql}) AS z{i}" for i, sql in enumerate(_SCORED.values())), len(_SCORED)
 
 
 @query(f"""WITH f AS (SELECT entity_id, {AREA} / 1430000 AS a, greatest(w, h) / greatest(least(w, h), 1) AS s, least(1.5, 4 * pi() * {AREA} / ({_P} * {_P})) AS c,
   least({_W}, (y + h / 2) / 1100, 1 - {_W}, 1 - (y + h / 2) / 1100) AS e, (y + h / 2) / 1100 AS y, 1 - confidence AS d FROM d_entities WHERE type = 'room'),
 z AS (SELECT entity_id, {_Z} FROM f), m AS (SELECT *, greatest({", ".join(f"z{i}" for i in range(_N))}) AS top FROM z)
-SELECT entity_id, CASE {" ".join(f"WHEN z{i} = top THEN '{n}'" for i, n in enumerate(regions.SCORES))} END AS label, round(1 / ({" + ".join(f"exp(z{i} - top)" for i in range(_N))}), 5) AS confidence FROM m""")
+SELECT entity_id, CASE {" ".join(f"WHEN z{i} = top THEN '{n}'" for i, n in enumerate(_SCORED))} END AS label, round(1 / ({" + ".join(f"exp(z{i} - top)" for i in range(_N))}), 5) AS confidence FROM m""")
 def z3_classify_regions(spark, sf_dir):
     df = entities(spark, sf_dir).where("type = 'room'")
     df = regions.classified(df, C("bbox"), g.poly_area(C("points")), g.perimeter(C("points")), F.lit(1300.0), F.lit(1100.0), 1 - C("confidence"))

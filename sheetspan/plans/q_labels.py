@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -15,14 +17,21 @@ from .q_text import policy_lines
 from .registry import query
 
 C = F.col
-_EXACT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.CLASSES.items())
-_LOOSE = " ".join(f"WHEN '{k.lower().replace('_', ' ')}' THEN '{v}'" for k, v in labels.CLASSES.items())
+_SPELLED = "['Living', 'Toilet', 'Double Door', 'Home Office', 'Compass', 'squat toilet', 'Rest-room', 'half_height cabinet', 'Company  Area', 'waiting', 'North arrow', 'elevator', 'Communal Space', 'TV_cabinet']"
 
 
-@query(f"""WITH l AS (SELECT CASE WHEN entity_id % 3 = 0 THEN upper(label) ELSE label END AS label FROM d_entities) SELECT label, CASE label {_EXACT} ELSE CASE trim(regexp_replace(lower(label), '[_\\-\\s]+', ' ', 'g')) {_LOOSE} ELSE 'other' END END AS canonical, count(*) AS regions FROM l GROUP BY 1, 2""")
+@query(f"""WITH l AS (SELECT CASE WHEN entity_id % 4 = 1 THEN {_SPELLED}[entity_id % 14 + 1] WHEN entity_id % 3 = 0 THEN upper(label) ELSE label END AS label FROM d_entities),
+n AS (SELECT label, trim(regexp_replace(lower(label), '[_\\-\\s]+', ' ', 'g')) AS k, count(*) AS regions FROM l GROUP BY 1)
+SELECT label, regions, CASE WHEN label = 'Living' THEN 'Open Living' WHEN label = 'Toilet' THEN 'Bathroom' WHEN label = 'Double Door' THEN 'Single Door' WHEN label = 'Home Office' THEN 'Bedroom'
+    WHEN label IN ('Bedroom', 'Bathroom', 'Ensuite', 'Open Living', 'Lobby', 'Balcony', 'Store', 'Communal Space', 'Wall', 'External Wall', 'Single Door', 'Sliding Door', 'Main Door', 'Window', 'Stair', 'Lift') THEN label END AS canonical,
+  CASE WHEN k IN ('bedroom', 'bathroom', 'ensuite', 'open living', 'lobby', 'balcony', 'store', 'room', 'communal space', 'toilet', 'squat toilet', 'rest room', 'company area', 'waiting', 'sink', 'tv cabinet') THEN 'room' WHEN k IN ('wall', 'external wall') THEN 'wall'
+    WHEN k IN ('single door', 'main door', 'double door') THEN 'door' WHEN k = 'window' THEN 'window' WHEN k IN ('compass', 'north arrow') THEN 'north_arrow' WHEN k = 'half height cabinet' THEN 'fixture' ELSE 'other' END AS entity_type,
+  CASE WHEN k IN ('open living', 'tv cabinet') THEN 'living' WHEN k IN ('ensuite', 'toilet', 'squat toilet', 'rest room', 'sink') THEN 'bathroom' WHEN k = 'compass' THEN 'north_arrow' WHEN k = 'company area' THEN 'office'
+    WHEN k = 'communal space' THEN 'common_corridor' ELSE replace(k, ' ', '_') END AS room_type FROM n""")
 def x2_resolved_labels(spark, sf_dir):
-    df = entities(spark, sf_dir).select(F.when(C("entity_id") % 3 == 0, F.upper("label")).otherwise(C("label")).alias("label"))
-    return labels.resolve_labels(df).groupBy("label", "canonical").agg(F.count("*").alias("regions"))
+    names = F.array(*(F.lit(x) for x in ast.literal_eval(_SPELLED)))
+    spelled = F.when(C("entity_id") % 4 == 1, F.element_at(names, (C("entity_id") % 14 + 1).cast("int"))).when(C("entity_id") % 3 == 0, F.upper("label")).otherwise(C("label"))
+    return labels.resolve_labels(entities(spark, sf_dir).groupBy(spelled.alias("label")).agg(F.count("*").alias("regions")))
 
 
 _FAR = "sqrt((r.cx - d.cx) * (r.cx - d.cx) + (r.cy - d.cy) * (r.cy - d.cy))"
@@ -105,14 +114,25 @@ def u3_merged_text_units(spark, sf_dir):
     return labels.merge_text_units(spatial.of_type(entities(spark, sf_dir), "unit_boundary"), found)
 
 
-_X19 = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, '{k}' AS kind, regexp_extract(t, '{p}', 1) AS number FROM f" for c, p, k in labels.TEXT_RULES)
+_SAYS = "[' Studio homes have 37 m of it.', ' A 2-bed home needs 68.5 m2. Three 3 bedroom flats.', ' Each bedroom is 9.5 sqm. The living room has 14 m2 or more.', ' A balcony of 8.25 m2; dual aspect. Communal gardens of 3 sqm for a dwelling. A wardrobe.', ' Every habitable room has a window.']"
+_NUM = r"(\d+(?:\.\d+)?)\s*"
 
 
-@query(f"WITH f AS (SELECT doc_id, regexp_replace(concat(text, ' Studio of 35 m2. One bed ', doc_id % 50 + 30, ' sqm; living room ', doc_id % 9 + 4, '.5 m2'), '\\s+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), r AS ({_X19}) SELECT doc_id, code, kind, CAST(number AS DOUBLE) AS minimum FROM r WHERE number <> ''")
+@query(rf"""WITH f AS (SELECT doc_id, regexp_replace(concat(text, {_SAYS}[doc_id % 5 + 1], {_SAYS}[doc_id % 3 + 1]), '\s+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p(code, kind, bedrooms, pattern, usual) AS (VALUES ('RDS-APT-SIZE', 'apartment_min_internal', 0, '(?i)studio[^.]{{0,80}}?{_NUM}m', 35.0), ('RDS-APT-SIZE', 'apartment_min_internal', 1, '(?i)1[-\s]?bed(?:room)?[^.]{{0,80}}?{_NUM}m', 50.0),
+  ('RDS-APT-SIZE', 'apartment_min_internal', 2, '(?i)2[-\s]?bed(?:room)?[^.]{{0,80}}?{_NUM}m', 70.0), ('RDS-APT-SIZE', 'apartment_min_internal', 3, '(?i)3[-\s]?bed(?:room)?[^.]{{0,80}}?{_NUM}m', 90.0),
+  ('RDS-BED-MIN', 'apartment_min_bedroom', NULL, '(?i)bedroom[^.]{{0,60}}?{_NUM}(?:m²|m2|sqm)', 9.0), ('RDS-LIVING-MIN', 'apartment_min_living', NULL, '(?i)living[^.]{{0,60}}?{_NUM}(?:m²|m2|sqm)', 12.0),
+  ('RDS-ASPECT-DUAL', 'apartment_dual_aspect', NULL, '(?i)dual aspect|windows on two sides|natural ventilation()', NULL), ('RDS-STORAGE', 'apartment_min_storage', NULL, '(?i)storage|wardrobe|robe()', 1.0),
+  ('RDS-HAB-WINDOW', 'habitable_has_window', NULL, '(?i)habitable.{{0,50}}window|bedroom.{{0,40}}window|each room.{{0,30}}window()', NULL),
+  ('RDS-COMMUNAL', 'communal_open_space', NULL, '(?i)communal[^.]{{0,80}}?{_NUM}(?:m²|m2|sqm).{{0,40}}(?:dwelling|apartment)', 2.5),
+  ('RDS-POS-MIN', 'apartment_min_pos', 0, '(?i)(?:private open space|balcony)[^.]{{0,80}}?{_NUM}(?:m²|m2|sqm)', 8.0), ('RDS-POS-MIN', 'apartment_min_pos', 1, '(?i)(?:private open space|balcony)[^.]{{0,80}}?{_NUM}(?:m²|m2|sqm)', 8.0),
+  ('RDS-POS-MIN', 'apartment_min_pos', 2, '(?i)(?:private open space|balcony)[^.]{{0,80}}?{_NUM}(?:m²|m2|sqm)', 8.0), ('RDS-POS-MIN', 'apartment_min_pos', 3, '(?i)(?:private open space|balcony)[^.]{{0,80}}?{_NUM}(?:m²|m2|sqm)', 8.0)),
+r AS (SELECT doc_id, code, kind, bedrooms, usual, regexp_matches(t, pattern) AS named, nullif(regexp_extract(t, pattern, 1), '') AS number FROM f, p)
+SELECT doc_id, code, kind, bedrooms, coalesce(CAST(number AS DOUBLE), usual::DOUBLE) AS minimum FROM (SELECT *, bool_or(named) OVER (PARTITION BY doc_id, code) AS have FROM r) w WHERE have""")
 def x19_rules_from_text(spark, sf_dir):
-    tail = F.concat(F.lit(" Studio of 35 m2. One bed "), (C("doc_id") % 50 + 30).cast("string"), F.lit(" sqm; living room "), (C("doc_id") % 9 + 4).cast("string"), F.lit(".5 m2"))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", tail).alias("text"))
-    return labels.threshold_rules_from_text(docs)
+    says = F.array(*(F.lit(x) for x in ast.literal_eval(_SAYS)))
+    said = F.concat("text", *(F.element_at(says, (C("doc_id") % n + 1).cast("int")) for n in (5, 3)))
+    return labels.threshold_rules_from_text(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", said.alias("text")))
 
 
 @query("SELECT code, kind, requires_scale FROM d_rules UNION ALL SELECT concat('R', p_partkey), CASE p_partkey % 3 WHEN 0 THEN 'apartment_dual_aspect' ELSE 'apartment_min_pos' END, p_partkey % 3 <> 0 FROM part WHERE p_partkey % 3 <> 2 AND p_size < 10")

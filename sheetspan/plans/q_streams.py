@@ -110,7 +110,10 @@ def t3_tile_progress(spark, sf_dir):
     return _plain(jobs.tile_progress(_progress(spark, sf_dir)), "hour")
 
 
-@query(f"""WITH a AS (SELECT page_id AS analysis_id, [{", ".join(f"'{s}'" for s in (*jobs.STAGES, "completed", "failed"))}][page_id % 15 + 1] AS stage FROM d_pages) SELECT analysis_id, stage, CASE stage {" ".join(f"WHEN '{s}' THEN {int((i + 1) * 100 / 13 + 0.5)}" for i, s in enumerate(jobs.STAGES))} WHEN 'completed' THEN 100 ELSE 0 END::BIGINT AS percent FROM a""")
+@query("""WITH s AS (SELECT * FROM (VALUES (1, 'queued', 8), (2, 'rendering_pdf', 15), (3, 'identifying_floor_plan_pages', 23), (4, 'preprocessing', 31), (5, 'running_structural_models', 38),
+  (6, 'running_ocr', 46), (7, 'reconstructing_geometry', 54), (8, 'inferring_corridors', 62), (9, 'inferring_units', 69), (10, 'calculating_measurements', 77), (11, 'running_policy_checks', 85),
+  (12, 'generating_outputs', 92), (13, 'review_required', 100), (14, 'completed', 100), (15, 'failed', 0)) v(n, stage, percent))
+SELECT page_id AS analysis_id, stage, percent::BIGINT AS percent FROM d_pages JOIN s ON n = page_id % 15 + 1""")
 def t4_stage_progress(spark, sf_dir):
     names = F.array(*(F.lit(s) for s in (*jobs.STAGES, "completed", "failed")))
     return jobs.stage_progress(views(spark, sf_dir, "d_pages").select(C("page_id").alias("analysis_id"), F.element_at(names, (C("page_id") % 15 + 1).cast("int")).alias("stage")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import functions as F
 
 from ..functions import policy_text
@@ -29,9 +31,16 @@ def x3_opening_types(spark, sf_dir):
     return entities(spark, sf_dir).where("type IN ('door', 'window')").select("entity_id", t.opening_type(C("type"), C("label")).alias("opening"))
 
 
-@query("""SELECT label, label IN ('Lobby', 'Communal Outdoor Garden') AS shared, count(*) AS regions FROM d_entities GROUP BY 1, 2""")
+_SHARED = "['stairs', 'Stairwell A', 'HALL', 'Hallway 2', 'Foyer', 'Main_Lobby', 'common-corridor B', 'Service Lift', 'lift', 'Stair', 'vestibule', 'Elevator']"
+
+
+@query(f"""WITH l AS (SELECT CASE WHEN entity_id % 5 = 1 THEN {_SHARED}[entity_id % 12 + 1] ELSE label END AS label FROM d_entities), v AS (SELECT label, lower(label) IN ('communal outdoor garden', 'lobby', 'main_lobby', 'common-corridor b') AS everywhere,
+  lower(label) IN ('stair', 'lift', 'elevator') AS exact, lower(label) IN ('stairs', 'stairwell a', 'hall', 'foyer', 'vestibule') AS inferred FROM l)
+SELECT label, everywhere OR exact AS server, everywhere OR exact OR inferred AS inference, count(*) AS regions FROM v GROUP BY 1, 2, 3""")
 def x4_shared_areas(spark, sf_dir):
-    return entities(spark, sf_dir).groupBy("label", t.is_common(C("label"), "inference").alias("shared")).agg(F.count("*").alias("regions"))
+    names = F.array(*(F.lit(x) for x in ast.literal_eval(_SHARED)))
+    df = entities(spark, sf_dir).withColumn("label", F.when(C("entity_id") % 5 == 1, F.element_at(names, (C("entity_id") % 12 + 1).cast("int"))).otherwise(C("label")))
+    return df.groupBy("label", t.is_common(C("label")).alias("server"), t.is_common(C("label"), "inference").alias("inference")).agg(F.count("*").alias("regions"))
 
 
 _KIND = """CASE WHEN label IN ('Bathroom', 'Ensuite') THEN 'bathroom' WHEN label IN ('Bedroom', 'master_bedroom') THEN 'bedroom' WHEN label = 'Balcony' THEN 'balcony'

@@ -19,7 +19,10 @@ LEASE_S, MAX_ATTEMPTS = 120, 3
 STATE = "status string, attempt int, worker_id long, lease_ms long"
 OUT = "job_id long, status string, attempt int, worker_id long, last_ts timestamp"
 #: The processing stages of an analysis in order.
-STAGES = ("queued", "preprocessing", "detecting", "reading_text", "scaling", "building_geometry", "inferring_units", "building_graph", "building_hierarchy", "measuring", "evaluating_policy", "summarising", "review")
+STAGES = (
+    "queued", "rendering_pdf", "identifying_floor_plan_pages", "preprocessing", "running_structural_models", "running_ocr", "reconstructing_geometry", "inferring_corridors",
+    "inferring_units", "calculating_measurements", "running_policy_checks", "generating_outputs", "review_required",
+)
 
 
 def transition(state: tuple, kind: str, worker: int, at_ms: int, most: int = MAX_ATTEMPTS) -> tuple:

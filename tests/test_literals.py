@@ -40,8 +40,8 @@ def test_square_and_ribbon(spark):
 
 def test_apartment_of_two_rooms(spark):
     rows = [
-        region(1, "unit_boundary", "Unit A", 0, 0, 200, 200), region(2, "room", "Bedroom", 20, 20, 80, 80), region(3, "room", "Bathroom", 110, 20, 70, 70),
-        region(4, "door", "Door", 40, 50, 10, 10), region(5, "room", "Communal Space", 40, 210, 120, 40),
+        region(1, "unit_boundary", "Unit A", 300, 90, 260, 170), region(2, "room", "Bedroom", 312, 104, 96, 88), region(3, "room", "Bathroom", 416, 104, 64, 75),
+        region(4, "door", "Door", 340, 140, 12, 8), region(5, "room", "Communal Space", 310, 280, 150, 36),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     assert [(r["kind"], r["from_id"], r["to_id"]) for r in spatial.opening_room(df).collect()] == [("room_door_access", 2, 4)]
@@ -49,7 +49,7 @@ def test_apartment_of_two_rooms(spark):
     assert (2, 3) in {(r["from_id"], r["to_id"]) for r in spatial.room_adjacency(df).collect()}
 
 
-@pytest.mark.parametrize(("text", "want"), [("SCALE 1:100 @ A1", 100), ("1 to 50", 50), ("Scale 1-200", 200), ("1:5O", 50), ("no scale", None)])
+@pytest.mark.parametrize(("text", "want"), [("SCALE 1:100 @ A1", 100), ("1 to 50", 50), ("Scale 1-200", 200), ("1:5O", 50), ("no scale", None), ("１：１００", 100), ("SCALE l : 75", 75), ("scale 1.100", 100), ("1-200 @ A1", 200), ("1:2OO", 200), ("1:O", None)])
 def test_scales(spark, text, want):
     assert one(spark, t.parse_scale(F.lit(text))) == want
 
