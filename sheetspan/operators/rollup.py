@@ -254,7 +254,7 @@ def vision_pages(pages: DataFrame, most: int = 16) -> DataFrame:
     """K2: up to ``most`` pages of a document by score (image 10, under 400 characters 5, under 80 also 4), in page order."""
     score = F.when(C("has_image"), 10).otherwise(0) + F.when(C("chars") < 400, 5).otherwise(0) + F.when(C("chars") < 80, 4).otherwise(0)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(score.desc(), "page_number"))
-    return pages.withColumn("_n", n).where(C("_n") <= most).drop("_n").orderBy("doc_id", "page_number")
+    return pages.withColumn("_n", n).where(C("_n") <= most).drop("_n")
 
 
 def drawing_area(entities: DataFrame) -> DataFrame:
