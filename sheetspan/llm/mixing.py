@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import stage
-from .batches import filtered
+from .batches import filtered, small_batches
 from .hashing import batches_of_bytes, word_hashes
 from .sampling import bounded_sample
 
@@ -81,6 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id
     count, null ones as empty.  Labels that teach nothing give a model of no domains, whose
     posteriors are empty and whose rates are 1.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(key).alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     picked = bounded_sample(known, F.col("domain"), F.col("id").cast("string"), documents).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)))
     names = sorted(r["domain"] for r in picked.select("domain").distinct().collect())
@@ -145,6 +146,7 @@ class Fit:
 def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, tokens, p (posteriors) of every row; a null or empty text has 0 tokens, rows that repeat are
     measured each by itself, whole texts count however long, an empty table gives an empty one."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..workspace import stage
+from .batches import small_batches
 from .hashing import batches_of_bytes, mix, shingle_sets
 
 BITS = 25
@@ -230,6 +231,7 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
 def _placed(docs: DataFrame, key: str, text: str, width: int, percent: int, parts: int = 4, rounds: int = 2) -> DataFrame:
     """One row per input row, written: id, h (``_row_hash``), n (shingles) and label, which is the same for the
     rows of a component and null without words."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("string").alias("id"), _row_hash(key, text).alias("h"), F.col(text).alias("text"))
     described = _described(base, width, percent)
     segments = _segments(described, percent, parts)

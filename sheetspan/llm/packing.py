@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .batches import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -142,6 +143,7 @@ def pack(
             x = list(zip(*rows[at : at + 1000], strict=True))
             yield pd.DataFrame({"doc_id": pd.array(x[0], dtype="Int64")} | dict(zip(_NAMES[1:], x[1:], strict=True)))
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
 
 

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheetspan.llm import exact_dedup, language_id, mixing, ngram_join, packing, pii, queries, records, secrets, tokens, topk, toxicity
+from sheetspan.llm.batches import small_batches
 
 from . import brute
 
@@ -498,3 +500,20 @@ def test_repeated_words_are_counted_over_the_whole_text(spark):
     model.weights[[*range(7), *range(8, len(model.weights) - 1)]] = 0.0
     found = {r["id"]: r["p"][model.domains.index("poor")] for r in mixing.measure(docs, model).collect()}
     assert min(p for d, p in found.items() if d >= 100) > 0.5 > max(p for d, p in found.items() if d < 100)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        small_batches(spark)
+        df = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("word "), F.when(F.col("id") == 7, 1_000_000).otherwise(50_000).cast("int")).alias("text"))
+        sizes = df.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)], "c": [b["text"].str.len().sum()]}) for b in batches), "n long, c long").collect()
+        assert sum(r["n"] for r in sizes) == 40 and sum(r["c"] for r in sizes) == 39 * 250_000 + 5_000_000
+        assert all(r["c"] <= 3_000_000 for r in sizes if r["n"] > 1 and r["c"] < 5_000_000) and len(sizes) > 4
+        spark.conf.set(name, "5m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "5m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
