@@ -402,7 +402,7 @@ BIG = [2**60 + 1, None, 2**60 + 3]
 
 
 def test_large_ids_beside_nulls_and_odd_columns_survive(spark):
-    text = "the reader wrote several ordinary words about the same subject here"
+    text = "the reader wrote several ordinary words about the same subject here and then again later"
     df = spark.createDataFrame([(d, f"{text} {i}", i, "x", 0.5) for i, d in enumerate(BIG)], "doc_id long, text string, `a``b` long, score string, `_draw` double")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = mixing.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), queries.domain_of())
