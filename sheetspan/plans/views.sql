@@ -88,3 +88,13 @@ UNION ALL SELECT 'POS-MIN', 'room_min_area', 'balcony', CAST(8 AS DOUBLE), true,
 UNION ALL SELECT 'TYPES-BED', 'required_labels', 'bedroom', CAST(NULL AS DOUBLE), false, false
 UNION ALL SELECT 'TYPES-BATH', 'required_labels', 'bathroom', CAST(NULL AS DOUBLE), false, false
 UNION ALL SELECT 'WALL-PRESENT', 'min_wall_count', CAST(NULL AS VARCHAR(12)), CAST(1 AS DOUBLE), false, false
+
+-- view d_node_entities
+SELECT *, CASE WHEN ord % 11 = 0 THEN entity_id + 1 END AS unit_ref, CASE WHEN ord % 7 = 0 THEN concat('Unit ', CAST(entity_id % 40 AS VARCHAR(12))) END AS unit_text,
+       CASE WHEN ord % 13 = 0 THEN CAST(14.04 AS DOUBLE) END AS printed_m2
+FROM d_entities
+
+-- view d_scale_lines
+SELECT page_id, ord, confidence, x, y, w, h, CASE WHEN page_id % 4 <> 0 AND text LIKE 'SCALE%' THEN CASE WHEN ord % 2 = 0 THEN 'Scale' ELSE 'SCALE 1:50' END
+       WHEN page_id % 4 = 3 AND text = '@ A3' THEN 'Notes' ELSE text END AS text
+FROM d_ocr_lines
