@@ -33,6 +33,8 @@ def oracle(sql: str) -> str:
     sql, parts = sql.strip(), [f"{n} AS (\n{VIEWS[n]})" for n in needed]
     if "JOIN both_ways" in sql:
         return "WITH RECURSIVE " + ",\n".join([*parts, sql.removeprefix("WITH ")])
+    if sql.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*parts, sql.removeprefix("WITH RECURSIVE ")])
     if parts and sql.startswith("WITH "):
         return "WITH " + ",\n".join([*parts, sql.removeprefix("WITH ")])
     return "WITH " + ",\n".join(parts) + "\n" + sql if parts else sql

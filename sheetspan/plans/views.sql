@@ -98,3 +98,8 @@ FROM d_entities
 SELECT page_id, ord, confidence, x, y, w, h, CASE WHEN page_id % 4 <> 0 AND text LIKE 'SCALE%' THEN CASE WHEN ord % 2 = 0 THEN 'Scale' ELSE 'SCALE 1:50' END
        WHEN page_id % 4 = 3 AND text = '@ A3' THEN 'Notes' ELSE text END AS text
 FROM d_ocr_lines
+
+-- view d_number_lines
+SELECT page_id, ord, x, y, CAST(40 AS DOUBLE) AS w, h, CASE CAST(entity_id % 5 AS INT) WHEN 0 THEN 'Unit' WHEN 1 THEN concat('# ', CAST(entity_id % 300 AS VARCHAR(12)), 'a')
+       WHEN 2 THEN CAST(entity_id % 90 AS VARCHAR(12)) WHEN 3 THEN 'APT.' ELSE text END AS text
+FROM d_ocr_lines l JOIN (SELECT page_id AS p, ord AS o, entity_id FROM d_entities) e ON e.p = l.page_id AND e.o = l.ord
