@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sheetspan.functions import geometry as g
 from sheetspan.operators import entrances as en
 from sheetspan.operators import hierarchy as hi
+from sheetspan.operators import text_rows as tr
 
 LINE = "page_id long, ord long, text string, confidence double, x double, y double, w double, h double"
 REGION = "page_id long, entity_id long, ord long, type string, label string, status string, confidence double, unit_ref long, unit_text string, printed_m2 double, x double, y double, w double, h double"
@@ -92,3 +93,12 @@ def test_entrances_fall_back_from_width_to_place(spark):
     shared = spark.createDataFrame([(p, -10.0, -5.0, 5.0, 10.0) for p in (1, 2, 3, 5)], "page_id long, x double, y double, w double, h double").withColumn("points", g.rect_points(*(F.col(c) for c in "xywh")))
     got = {(r["entity_id"], r["rule"]) for r in en.entrances(df, shared, 16.0).collect()}
     assert got == {(1, "wide_near"), (3, "wide"), (4, "wide"), (7, "near_2"), (8, "wide"), (10, "near_2.5"), (12, "near")}
+
+
+def test_text_rows_compare_with_the_first_piece_of_a_row(spark):
+    rows = [
+        (1, 1, "b  c", 1.0, 50.0, 5.0, 20.0, 10.0), (1, 2, "a", 1.0, 0.0, 0.0, 10.0, 10.0), (1, 3, "d", 1.0, 90.0, 10.0, 10.0, 10.0), (1, 4, " ", 1.0, 0.0, 0.0, 900.0, 10.0), (1, 5, None, 1.0, 0.0, 0.0, 1.0, 1.0),
+        (2, 1, "x", 1.0, 5.0, 0.0, 4.0, 1.0), (2, 2, "y", 1.0, 5.0, 0.0, 4.0, 1.0), (3, 1, "", 1.0, 0.0, 0.0, 1.0, 1.0),
+    ]
+    got = sorted((r["page_id"], r["row"], r["text"], r["x"], r["y"], r["w"], r["h"]) for r in tr.text_rows(lines(spark, rows)).collect())
+    assert got == [(1, 1, "a b c", 0.0, 0.0, 70.0, 15.0), (1, 2, "d", 90.0, 10.0, 10.0, 10.0), (2, 1, "x y", 5.0, 0.0, 4.0, 1.0)]
