@@ -426,7 +426,8 @@ def test_registered_queries_return_their_contract(spark, name):
         "op1": "doc_id tokens rate", "op2": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3": "doc_id held_out lang_pred score",
         "op4": "query_id rank vec_id score", "op5": "doc_id start n_tokens ids_crc32", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
         "op7": "doc_id n_shingles component_id", "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
-        "op9": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id held_out score predicted",
+        "op9": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id held_out score predicted", "op11": "doc_id n_lines n_dropped kept_sha256",
+        "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256", "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
     }[name.split("_")[0]].split()
     found = queries.QUERIES[name](spark, SF)
     assert set(needs) <= set(found.columns)
