@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
+from .rollup import wide_doors
 from .spatial import box_pairs
 
 C = F.col
@@ -15,26 +16,26 @@ UNIT_WORD = r"(?i)^(?:unit|apt|apartment|dwelling|tenancy|flat|suite|u)\.?$"
 UNIT_NUMBER = r"^#?\s*(\d{1,4}[A-Za-z]?)$"
 
 
-def entrances(doors: DataFrame, shared: DataFrame, pad: float) -> DataFrame:
+def entrances(doors: DataFrame, shared: DataFrame, pad: float, mode: str = "auto", least: float = 29.0) -> DataFrame:
     """Entrance doors of each page and the rule that found them; the first rule with any door wins.
 
-    doors: page_id, entity_id, label, points, wide (null: no); shared: page_id, points of shared areas.  Rules: wide doors within 2.5 pads of a
-    shared area; two or more wide doors; doors labelled main door or within one pad, then two, of a shared area; the wide door
-    where nothing is shared, else doors within 2.5 pads.
+    doors: page_id, entity_id, ord, label, points, span; shared: page_id, points of shared areas.  Wide doors are those of N9.  Rules: with mode
+    "threshold", the wide doors; wide doors within 2.5 pads of a shared area; two or more wide doors; on pages with a shared area, doors labelled main door
+    or within one pad, then two, of it; the wide door where nothing is shared, else doors within 2.5 pads.
     """
-    d = doors.withColumn("m", g.vertex_mean(C("points"))).withColumn("reach", g.expand(g.box(C("m.x"), C("m.y"), F.lit(0.0), F.lit(0.0)), 2.5 * pad))
+    d = wide_doors(doors, mode, least).withColumn("m", g.vertex_mean(C("points"))).withColumn("reach", g.expand(g.box(C("m.x"), C("m.y"), F.lit(0.0), F.lit(0.0)), 2.5 * pad))
     areas = shared.select("page_id", C("points").alias("ring"), g.bbox_of(C("points")).alias("rbox"))
     near = box_pairs(d.select("page_id", "entity_id", "m", "reach"), areas, "reach", "rbox").groupBy("page_id", "entity_id").agg(F.min(g.dist_to_ring(C("m.x"), C("m.y"), C("ring"))).alias("away"))
-    main, wide = t.normalise_label(F.coalesce("label", F.lit(""))).endswith("main door"), F.coalesce("wide", F.lit(False))
     within = lambda k: F.coalesce(C("away") <= k * pad, F.lit(False))
+    main, some = t.is_main_door(C("label")), C("_any").isNotNull()
     flags = d.join(near, ["page_id", "entity_id"], "left").join(shared.select("page_id", F.lit(True).alias("_any")).distinct(), "page_id", "left").select(
-        "page_id", "entity_id", wide.alias("wide"), (wide & within(2.5)).alias("spine"), (main | within(1)).alias("one"), (main | within(2)).alias("two"), within(2.5).alias("far"), C("_any").isNotNull().alias("any_area"),
+        "page_id", "entity_id", "wide", (C("wide") & within(2.5)).alias("spine"), (some & (main | within(1))).alias("one"), (some & (main | within(2))).alias("two"), within(2.5).alias("far"), some.alias("any_area"),
     )
     page = Window.partitionBy("page_id")
     n = {k: F.count_if(C(k)).over(page) for k in ("spine", "wide", "one", "two")}
     rule = (
-        F.when(n["spine"] > 0, "wide_near").when(n["wide"] > 1, "wide").when(n["one"] > 0, "near").when(n["two"] > 0, "near_2")
-        .when(~C("any_area"), "wide").otherwise("near_2.5")
+        F.when((n["wide"] > 0) & F.lit(mode == "threshold"), "wide").when(n["spine"] > 0, "wide_near").when(n["wide"] > 1, "wide")
+        .when(n["one"] > 0, "near").when(n["two"] > 0, "near_2").when(~C("any_area"), "wide").otherwise("near_2.5")
     )
     flag = {"wide_near": "spine", "wide": "wide", "near": "one", "near_2": "two", "near_2.5": "far"}
     kept = F.lit(False)

@@ -236,12 +236,31 @@ def sections(lines: DataFrame) -> DataFrame:
 
 
 def door_width_split(doors: DataFrame) -> DataFrame:
-    """The span that parts a page's doors into wide and narrow: the largest gap between sorted
-    spans, if it is at least max(2, 12 % of the smallest); null otherwise."""
+    """The span that parts a page's doors into wide and narrow (page_id, split), from doors of a span above 0.
+
+    It is the middle of the largest gap between sorted spans (the first of equal ones), if that gap is at least max(2, 12 % of the smallest
+    span); else, where the largest span is over 1.12 times the smallest, 35 % of the way between them; else null, as for one door."""
+    real = F.when(C("span") > 0, C("span"))
     w = Window.partitionBy("page_id").orderBy("span", "ord")
-    gaps = doors.withColumn("next", F.lead("span").over(w)).withColumn("gap", C("next") - C("span"))
-    per = gaps.groupBy("page_id").agg(F.min("span").alias("low"), F.max("gap").alias("gap"), F.max_by(C("next"), F.struct("gap", -C("span"))).alias("at"))
-    return per.select("page_id", F.when(C("gap") >= F.greatest(F.lit(2.0), C("low") * 0.12), C("at")).alias("split"))
+    gaps = doors.withColumn("span", real).withColumn("gap", F.lead("span").over(w) - C("span"))
+    per = gaps.groupBy("page_id").agg(F.min("span").alias("low"), F.max("span").alias("high"), F.max("gap").alias("gap"), F.max_by("span", F.struct("gap", -C("span"))).alias("at"))
+    by_gap, by_ratio = C("gap") >= F.greatest(F.lit(2.0), C("low") * 0.12), C("high") > C("low") * 1.12
+    return per.select("page_id", F.when(by_gap, C("at") + C("gap") / 2).when(by_ratio, C("low") + (C("high") - C("low")) * 0.35).alias("split"))
+
+
+def wide_doors(doors: DataFrame, mode: str = "auto", least: float = 29.0) -> DataFrame:
+    """The doors (page_id, ord, label, span and more) with ``wide``: whether a door passes for an entrance by its width.
+
+    Doors labelled main door do, whatever their width; with mode "auto" a page's only door and those from the page's split
+    on; with "threshold" those from ``least`` px on.  Doors of no span never do."""
+    if mode not in ("auto", "threshold"):
+        raise ValueError(f"no such mode: {mode}")
+    real = F.coalesce(C("span") > 0, F.lit(False))
+    if mode == "threshold":
+        return doors.withColumn("wide", real & (t.is_main_door(C("label")) | F.coalesce(C("span") >= least, F.lit(False))))
+    split = door_width_split(doors.select("page_id", "ord", "span"))
+    only = F.count_if(real).over(Window.partitionBy("page_id")) == 1
+    return doors.join(split, "page_id", "left").withColumn("wide", real & (t.is_main_door(C("label")) | only | F.coalesce(C("span") >= C("split"), F.lit(False)))).drop("split")
 
 
 def overfit_hints(metrics: DataFrame, back: int = 3, rise: float = 1.08) -> DataFrame:

@@ -198,12 +198,13 @@ def seed_unit(seeds: DataFrame, units: DataFrame, reach: float = 1500.0) -> Data
 
 
 def doors_on_shared_area(doors: DataFrame, regions: DataFrame, pad: float = 24.0) -> DataFrame:
-    """Doors that are labelled main door or lie within pad of a shared area."""
+    """Doors that are labelled main door or lie within pad of a shared area, on pages that have one."""
     d = doors.withColumn("m", g.vertex_mean(C("points"))).withColumn("obox", g.expand(_point_box(C("m")), pad))
-    main = t.normalise_label(C("label")).endswith("main door")
+    main = t.is_main_door(C("label"))
     r = regions.select("page_id", C("points").alias("ring"), g.bbox_of(C("points")).alias("rbox"))
     near = box_pairs(d.where(~main).select("page_id", "entity_id", "m", "obox"), r, "obox", "rbox").where(g.dist_to_ring(C("m.x"), C("m.y"), C("ring")) <= pad)
-    return d.where(main).select("page_id", "entity_id", F.lit("label").alias("reason")).unionByName(near.select("page_id", "entity_id", F.lit("near").alias("reason")).distinct())
+    named = d.where(main).join(regions.select("page_id").distinct(), "page_id", "left_semi")
+    return named.select("page_id", "entity_id", F.lit("label").alias("reason")).unionByName(near.select("page_id", "entity_id", F.lit("near").alias("reason")).distinct())
 
 
 def touches_external(rooms: DataFrame, walls: DataFrame, pad: float = 24.0) -> DataFrame:

@@ -12,23 +12,21 @@ from .q_spatial import COMMON, _vertex_to_box, rects
 from .registry import query
 
 C = F.col
-#: SQL: doors with their middle and whether they are at least as wide as the page's split.
+#: SQL: doors with their middle and whether they pass for entrances by their width.
 _DOORS = """d AS (SELECT page_id, entity_id, ord, label, x + w / 2 AS px, y + h / 2 AS py, least(w, h) AS span FROM d_entities WHERE type = 'door'),
-g AS (SELECT *, lead(span) OVER (PARTITION BY page_id ORDER BY span, ord) AS nx, min(span) OVER (PARTITION BY page_id) AS low FROM d),
-s AS (SELECT page_id, CASE WHEN nx - span >= greatest(2, low * 0.12) THEN nx END AS split FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY nx - span DESC NULLS LAST, span) AS k FROM g) z WHERE k = 1),
-wd AS (SELECT d.*, coalesce(span >= split, false) AS wide FROM d JOIN s USING (page_id))"""
+g AS (SELECT page_id, span, lead(span) OVER (PARTITION BY page_id ORDER BY span, ord) - span AS gap FROM d), m AS (SELECT page_id, count(*) AS n, min(span) AS low, max(span) AS high, max(gap) AS gap FROM g GROUP BY 1),
+s AS (SELECT m.page_id, n, CASE WHEN gap >= greatest(2, low * 0.12) THEN (SELECT min(span) FROM g WHERE g.page_id = m.page_id AND g.gap = m.gap) + gap / 2 WHEN high > low * 1.12 THEN low + (high - low) * 0.35 END AS split FROM m),
+wd AS (SELECT d.*, label = 'Main Door' OR n = 1 OR coalesce(span >= split, false) AS wide FROM d JOIN s USING (page_id))"""
 
 
 def _doors(spark, sf_dir):
     df = rects(entities(spark, sf_dir))
-    doors = spatial.of_type(df, "door").withColumn("span", g.opening_span(C("points")))
-    split = rollup.door_width_split(doors.select("page_id", "ord", "span"))
-    return df, doors.join(split, "page_id", "left").withColumn("wide", F.coalesce(C("span") >= C("split"), F.lit(False)))
+    return df, spatial.of_type(df, "door").withColumn("span", g.opening_span(C("points")))
 
 
 @query(f"""WITH {_DOORS}, r AS (SELECT * FROM d_entities WHERE type = 'room' AND {COMMON} AND page_id % 3 <> 0), a AS (SELECT wd.page_id, entity_id, wide, label = 'Main Door' AS main, page_id IN (SELECT page_id FROM r) AS has_area,
   (SELECT min({_vertex_to_box("wd.px", "wd.py", "r")}) FROM r WHERE r.page_id = wd.page_id) AS away FROM wd),
-f AS (SELECT page_id, entity_id, has_area, wide, wide AND coalesce(away <= 60, false) AS spine, main OR coalesce(away <= 24, false) AS one, main OR coalesce(away <= 48, false) AS two, coalesce(away <= 60, false) AS far FROM a),
+f AS (SELECT page_id, entity_id, has_area, wide, wide AND coalesce(away <= 60, false) AS spine, has_area AND (main OR coalesce(away <= 24, false)) AS one, has_area AND (main OR coalesce(away <= 48, false)) AS two, coalesce(away <= 60, false) AS far FROM a),
 n AS (SELECT page_id, count(*) FILTER (spine) AS spines, count(*) FILTER (wide) AS wides, count(*) FILTER (one) AS ones, count(*) FILTER (two) AS twos FROM f GROUP BY 1),
 z AS (SELECT f.*, CASE WHEN spines > 0 THEN 'wide_near' WHEN wides > 1 THEN 'wide' WHEN ones > 0 THEN 'near' WHEN twos > 0 THEN 'near_2' WHEN NOT has_area THEN 'wide' ELSE 'near_2.5' END AS rule FROM f JOIN n USING (page_id))
 SELECT page_id, entity_id, rule FROM z WHERE CASE rule WHEN 'wide_near' THEN spine WHEN 'wide' THEN wide WHEN 'near' THEN one WHEN 'near_2' THEN two ELSE far END""")
@@ -38,6 +36,13 @@ def n10_entrances(spark, sf_dir):
     return op.entrances(doors, shared, 24.0)
 
 
+@query("SELECT page_id, entity_id, 'wide' AS rule FROM d_entities WHERE type = 'door' AND (label = 'Main Door' OR least(w, h) >= 90)")
+def n10_entrances_by_threshold(spark, sf_dir):
+    """On the pages where no door passes, shared areas would decide; none are given here."""
+    df, doors = _doors(spark, sf_dir)
+    return op.entrances(doors, df.where("false"), 24.0, mode="threshold", least=90.0)
+
+
 @query(f"""WITH {_DOORS}, o AS (SELECT * FROM (SELECT *, count(*) FILTER (wide) OVER (PARTITION BY page_id) AS wides FROM wd) z WHERE wides = 0 OR wide),
 b AS (SELECT page_id, 'h' AS axis, max(px) - min(px) AS span, min(ord) AS first, min(px) AS lx, avg(px) AS mx, max(px) AS hx, min(py) AS ly, avg(py) AS my, max(py) AS hy, count(*) AS n FROM o GROUP BY page_id, floor(py / 48 + 0.5)
   UNION ALL SELECT page_id, 'v', max(py) - min(py), min(ord), min(px), avg(px), max(px), min(py), avg(py), max(py), count(*) FROM o GROUP BY page_id, floor(px / 48 + 0.5)),
@@ -45,7 +50,7 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY
 SELECT page_id, CAST(k AS INT) AS k, round(CASE WHEN axis = 'v' THEN mx + CASE WHEN k % 2 = 0 THEN -60 ELSE 60 END WHEN k < 2 THEN lx WHEN k < 4 THEN mx ELSE hx END, 6) AS x, round(CASE WHEN axis = 'h' THEN my + CASE WHEN k % 2 = 0 THEN -60 ELSE 60 END WHEN k < 2 THEN ly WHEN k < 4 THEN my ELSE hy END, 6) AS y FROM c CROSS JOIN range(6) r(k)
 UNION ALL SELECT page_id, 0, round(min(px), 6), round(min(py) - 48, 6) FROM o GROUP BY page_id HAVING count(*) = 1""")
 def n12_corridor_seeds(spark, sf_dir):
-    doors = _doors(spark, sf_dir)[1].select("page_id", "ord", (C("x") + C("w") / 2).alias("x"), (C("y") + C("h") / 2).alias("y"), "wide")
+    doors = rollup.wide_doors(_doors(spark, sf_dir)[1]).select("page_id", "ord", (C("x") + C("w") / 2).alias("x"), (C("y") + C("h") / 2).alias("y"), "wide")
     return op.corridor_seeds(doors, 24.0)
 
 

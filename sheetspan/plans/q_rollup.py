@@ -161,8 +161,9 @@ def n8_text_budget(spark, sf_dir):
     return rollup.text_budget(policy_lines(spark, sf_dir), 2000).select("doc_id", C("line_no").cast("long").alias("line_no"))
 
 
-@query("""WITH d AS (SELECT page_id, least(w, h * 1.25) AS span, ord FROM d_entities WHERE type = 'door'), n AS (SELECT *, lead(span) OVER (PARTITION BY page_id ORDER BY span, ord) AS nx FROM d), g AS (SELECT *, nx - span AS gap FROM n),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY gap DESC NULLS LAST, span) AS k, min(span) OVER (PARTITION BY page_id) AS low FROM g) SELECT page_id, CASE WHEN gap >= greatest(2, low * 0.12) THEN nx END AS split FROM r WHERE k = 1""")
+@query("""WITH d AS (SELECT page_id, least(w, h * 1.25) AS span, ord FROM d_entities WHERE type = 'door'), g AS (SELECT page_id, span, lead(span) OVER (PARTITION BY page_id ORDER BY span, ord) - span AS gap FROM d),
+m AS (SELECT page_id, min(span) AS low, max(span) AS high, max(gap) AS gap FROM g GROUP BY 1), f AS (SELECT g.page_id, min(g.span) AS below FROM g JOIN m ON g.page_id = m.page_id AND g.gap = m.gap GROUP BY 1)
+SELECT page_id, CASE WHEN gap >= greatest(2, low * 0.12) THEN (below + below + gap) / 2 WHEN high > low * 1.12 THEN low + (high - low) * 0.35 END AS split FROM m LEFT JOIN f USING (page_id)""")
 def n9_door_width_split(spark, sf_dir):
     doors = spatial.of_type(entities(spark, sf_dir), "door").select("page_id", "ord", g.opening_span(C("points")).alias("span"))
     return rollup.door_width_split(doors)

@@ -195,7 +195,7 @@ def j11_units_of_seeds(spark, sf_dir):
 
 
 @query(f"""WITH d AS (SELECT page_id, entity_id, label, x + w / 2 AS px, y + h / 2 AS py FROM d_entities WHERE type = 'door')
-SELECT page_id, entity_id, 'label' AS reason FROM d WHERE label = 'Main Door' UNION ALL
+SELECT page_id, entity_id, 'label' AS reason FROM d WHERE label = 'Main Door' AND page_id IN (SELECT page_id FROM d_entities WHERE type = 'room' AND {COMMON}) UNION ALL
 SELECT DISTINCT d.page_id, d.entity_id, 'near' FROM d JOIN d_entities r ON r.page_id = d.page_id AND r.type = 'room' AND r.{COMMON} WHERE d.label <> 'Main Door' AND {_vertex_to_box("d.px", "d.py", "r")} <= 24""")
 def j21_entrance_doors(spark, sf_dir):
     df = rects(entities(spark, sf_dir))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sheetspan.functions import geometry as g
 from sheetspan.operators import entrances as en
+from sheetspan.operators import rollup
 from sheetspan.operators import hierarchy as hi
 from sheetspan.operators import text_rows as tr
 
@@ -83,16 +84,34 @@ def test_corridor_seeds(spark):
     assert got == {1: [(0.0, -20.0)], 2: [(0.0, -25.0), (0.0, 25.0), (45.0, -25.0), (45.0, 25.0), (90.0, -25.0), (90.0, 25.0)], 3: [(0.0, -20.0)]}
 
 
+def spans(spark, rows):
+    return spark.createDataFrame([(p, i, i, label, float(n)) for p, i, n, label in rows], "page_id long, entity_id long, ord long, label string, span double")
+
+
+def test_widths_part_at_the_middle_of_the_largest_gap(spark):
+    rows = [(1, 1, 20, "Door"), (1, 2, 21, "Door"), (1, 3, 40, "Door"), *((2, 10 + k, 20 + k, "Door") for k in range(4)), (3, 20, 30, "Door"), (4, 30, 30, None), (4, 31, 0, "Main Door")]
+    rows += [(5, 40, 20, "Door"), (5, 41, 20.5, "main_door"), (5, 42, 21, "Sub Main Door"), (6, 50, 10, "Door"), (6, 51, 14, "Door"), (6, 52, 18, "Door"), (7, 60, 0, "Door")]
+    df = spans(spark, rows)
+    assert {r["page_id"]: r["split"] and round(r["split"], 6) for r in rollup.door_width_split(df).collect()} == {1: 30.5, 2: 21.05, 3: None, 4: None, 5: None, 6: 12.0, 7: None}
+    auto = {r["entity_id"] for r in rollup.wide_doors(df).where("wide").collect()}
+    assert auto == {3, 12, 13, 20, 30, 41, 51, 52}
+    fixed = {r["entity_id"] for r in rollup.wide_doors(df, "threshold").where("wide").collect()}
+    assert fixed == {3, 20, 30, 41}
+
+
 def test_entrances_fall_back_from_width_to_place(spark):
-    door = lambda page, i, x, wide=None, label="Door": (page, i, label, wide, x, 0.0, 2.0, 2.0)
+    door = lambda page, i, x, span, label="Door": (page, i, i, label, float(span), x, 0.0, 2.0, 2.0)
     rows = [
-        door(1, 1, 20.0, True), door(1, 2, 2.0), door(2, 3, 500.0, True), door(2, 4, 600.0, True), door(2, 5, 2.0), door(3, 6, 500.0, True), door(3, 7, 12.0),
-        door(4, 8, 0.0, True), door(4, 9, 5.0), door(5, 10, 28.0), door(5, 11, 90.0), door(6, 12, 0.0, None, "Main Door"), door(7, 13, 0.0, None, None),
+        door(1, 1, 20.0, 40), door(1, 2, 2.0, 20), door(2, 3, 500.0, 40), door(2, 4, 600.0, 40), door(2, 5, 2.0, 20), door(3, 6, 500.0, 40), door(3, 7, 12.0, 20),
+        door(4, 8, 0.0, 40), door(4, 9, 5.0, 20), door(5, 10, 28.0, 20), door(5, 11, 90.0, 20), door(6, 12, 0.0, 20, "Main Door"), door(6, 14, 0.0, 40), door(7, 13, 0.0, 20),
+        door(8, 15, 90.0, 20), door(8, 16, 90.0, 20), door(9, 17, 500.0, 20, "Main Door"), door(9, 18, 500.0, 20), door(9, 19, 2.0, 0),
     ]
-    df = spark.createDataFrame(rows, "page_id long, entity_id long, label string, wide boolean, x double, y double, w double, h double").withColumn("points", g.rect_points(*(F.col(c) for c in "xywh")))
-    shared = spark.createDataFrame([(p, -10.0, -5.0, 5.0, 10.0) for p in (1, 2, 3, 5)], "page_id long, x double, y double, w double, h double").withColumn("points", g.rect_points(*(F.col(c) for c in "xywh")))
+    df = spark.createDataFrame(rows, "page_id long, entity_id long, ord long, label string, span double, x double, y double, w double, h double").withColumn("points", g.rect_points(*(F.col(c) for c in "xywh")))
+    shared = spark.createDataFrame([(p, -10.0, -5.0, 5.0, 10.0) for p in (1, 2, 3, 5, 9)], "page_id long, x double, y double, w double, h double").withColumn("points", g.rect_points(*(F.col(c) for c in "xywh")))
     got = {(r["entity_id"], r["rule"]) for r in en.entrances(df, shared, 16.0).collect()}
-    assert got == {(1, "wide_near"), (3, "wide"), (4, "wide"), (7, "near_2"), (8, "wide"), (10, "near_2.5"), (12, "near")}
+    assert got == {(1, "wide_near"), (3, "wide"), (4, "wide"), (7, "near_2"), (8, "wide"), (10, "near_2.5"), (12, "wide"), (14, "wide"), (13, "wide"), (17, "near"), (19, "near")}
+    by_least = {(r["entity_id"], r["rule"]) for r in en.entrances(df, shared, 16.0, "threshold").collect()}
+    assert by_least == {(1, "wide"), (3, "wide"), (4, "wide"), (6, "wide"), (8, "wide"), (12, "wide"), (14, "wide"), (10, "near_2.5"), (17, "wide")}
 
 
 def test_text_rows_compare_with_the_first_piece_of_a_row(spark):
