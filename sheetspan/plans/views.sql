@@ -103,3 +103,11 @@ FROM d_ocr_lines
 SELECT page_id, ord, x, y, CAST(40 AS DOUBLE) AS w, h, CASE CAST(entity_id % 5 AS INT) WHEN 0 THEN 'Unit' WHEN 1 THEN concat('# ', CAST(entity_id % 300 AS VARCHAR(12)), 'a')
        WHEN 2 THEN CAST(entity_id % 90 AS VARCHAR(12)) WHEN 3 THEN 'APT.' ELSE text END AS text
 FROM d_ocr_lines l JOIN (SELECT page_id AS p, ord AS o, entity_id FROM d_entities) e ON e.p = l.page_id AND e.o = l.ord
+
+-- view d_tile_lines
+SELECT l.page_id, l.ord * 2 + k.k AS line_id, l.confidence - k.k * 0.05 AS confidence, greatest(l.x, k.t0) AS x, l.y + k.k AS y, least(l.x + l.w, k.t1) - greatest(l.x, k.t0) AS w, l.h,
+       l.x < k.t0 AS cut_left, l.x + l.w > k.t1 AS cut_right,
+       substr(l.text, CAST(floor(length(l.text) * (greatest(l.x, k.t0) - l.x) / l.w + 0.5) AS INT) + 1,
+              CAST(floor(length(l.text) * (least(l.x + l.w, k.t1) - l.x) / l.w + 0.5) AS INT) - CAST(floor(length(l.text) * (greatest(l.x, k.t0) - l.x) / l.w + 0.5) AS INT)) AS text
+FROM d_ocr_lines l CROSS JOIN (SELECT 0 AS k, CAST(0 AS DOUBLE) AS t0, CAST(660 AS DOUBLE) AS t1 UNION ALL SELECT 1, CAST(600 AS DOUBLE), CAST(1300 AS DOUBLE)) k
+WHERE least(l.x + l.w, k.t1) - greatest(l.x, k.t0) > 4
