@@ -47,7 +47,7 @@ def j14_labels_from_detections(spark, sf_dir):
 @query("""WITH u AS (SELECT page_id, entity_id AS unit_id, label[6:] AS key, count(*) OVER (PARTITION BY page_id) AS n FROM d_entities WHERE type = 'unit_boundary'), h AS (SELECT page_id, ord, CASE WHEN ord % 2 = 0 THEN CAST(ord % 40 AS VARCHAR) END AS unit_key, ord % 4 AS bedrooms FROM d_ocr_lines WHERE ord % 13 IN (10, 11)),
 x AS (SELECT page_id, unit_key, arg_min(bedrooms, ord) AS b FROM h WHERE unit_key IS NOT NULL GROUP BY 1, 2), f AS (SELECT page_id, arg_min(bedrooms, ord) AS b FROM h GROUP BY 1) SELECT u.page_id, u.unit_id, coalesce(x.b, CASE WHEN n = 1 THEN f.b END) AS bedrooms FROM u LEFT JOIN x ON x.page_id = u.page_id AND x.unit_key = u.key LEFT JOIN f ON f.page_id = u.page_id""")
 def j19_types_of_units(spark, sf_dir):
-    lines = views(spark, sf_dir, "d_ocr_lines").where("ord % 13 IN (10, 11)")
+    lines = views(spark, sf_dir, "d_ocr_lines").where("text IN ('Type 2B', 'LIFT LOBBY')")
     hits = lines.select("page_id", "ord", F.when(C("ord") % 2 == 0, (C("ord") % 40).cast("string")).alias("unit_key"), (C("ord") % 4).alias("bedrooms"))
     return labels.type_to_unit(spatial.of_type(entities(spark, sf_dir), "unit_boundary").select("page_id", C("entity_id").alias("unit_id"), "label"), hits)
 
@@ -179,9 +179,9 @@ def a14_class_legends(spark, sf_dir):
     return labels.class_legend(data, spark.createDataFrame(_STOCK, "purpose string, class_name string"), ["Room"])
 
 
-@query("""WITH c AS (SELECT page_id AS crop_id, bool_and(type IN ('door', 'window')) AS a, bool_and(type IN ('door', 'window', 'wall', 'fixture')) AS b FROM d_entities WHERE entity_id % 5 = 0 GROUP BY 1) SELECT crop_id, CASE WHEN a THEN 'openings' WHEN b THEN 'structure' ELSE 'full' END AS category FROM c""")
+@query("""WITH c AS (SELECT page_id AS crop_id, bool_and(type IN ('door', 'window')) AS a, bool_and(type IN ('door', 'window', 'wall', 'fixture')) AS b FROM d_entities GROUP BY 1) SELECT crop_id, CASE WHEN a THEN 'openings' WHEN b THEN 'structure' ELSE 'full' END AS category FROM c""")
 def a15_crop_purposes(spark, sf_dir):
-    crops = entities(spark, sf_dir).where("entity_id % 5 = 0").groupBy(C("page_id").alias("crop_id")).agg(F.collect_set("type").alias("labels")).withColumn("source", F.lit("full"))
+    crops = entities(spark, sf_dir).groupBy(C("page_id").alias("crop_id")).agg(F.collect_set("type").alias("labels")).withColumn("source", F.lit("full"))
     catalog = spark.createDataFrame([("openings", ["door", "window"], 1), ("structure", ["door", "window", "wall", "fixture"], 2)], "category string, legend array<string>, ord int")
     return labels.crop_purpose(crops, catalog)
 

@@ -61,12 +61,6 @@ def f4_regions_in_tiles(spark, sf_dir):
     return filters.drop_padding(df).groupBy("page_id").agg(F.count("*").alias("regions"))
 
 
-@query("SELECT code, kind FROM d_rules WHERE code = 'TYPES-BED' OR kind = 'min_wall_count'")
-def f5_active_rules(spark, sf_dir):
-    guidelines = spark.createDataFrame([("TYPES-BED", None, "accepted"), (None, "min_wall_count", "accepted"), ("TYPES-BATH", None, "pending")], "rule_id string, mapped_kind string, status string")
-    return filters.active_rules(views(spark, sf_dir, "d_rules"), guidelines).select("code", "kind")
-
-
 @query("""WITH r AS (SELECT concat('R', p_partkey) AS code, concat('kind_', p_partkey % 97) AS kind FROM part), g AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN concat('R', p_partkey) END AS rule_id, concat('kind_', p_partkey % 97) AS mapped_kind FROM part WHERE p_size < 10 AND p_partkey % 4 <> 0)
 SELECT code, kind FROM r WHERE code IN (SELECT rule_id FROM g WHERE rule_id IS NOT NULL) OR kind IN (SELECT mapped_kind FROM g WHERE rule_id IS NULL)""")
 def f5_active_part_rules(spark, sf_dir):
@@ -190,7 +184,7 @@ def j10_nearest_seed(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY CASE WHEN held THEN 0 WHEN d <= 300 THEN 1 ELSE 2 END, CASE WHEN held THEN area ELSE d END, ord) AS n FROM p)
 SELECT page_id, seed_id, CASE WHEN held OR d <= 300 THEN unit_id END AS unit_id, CASE WHEN held OR d <= 300 THEN held END AS inside FROM r WHERE n = 1""")
 def j11_units_of_seeds(spark, sf_dir):
-    seeds = views(spark, sf_dir, "d_ocr_lines").where("ord % 13 IN (8, 9)").select("page_id", C("ord").alias("seed_id"), (C("x") + C("w") / 2).alias("sx"), (C("y") + 7).alias("sy"))
+    seeds = views(spark, sf_dir, "d_ocr_lines").where("text IN ('BED 2', 'KITCHEN / DINING')").select("page_id", C("ord").alias("seed_id"), (C("x") + C("w") / 2).alias("sx"), (C("y") + 7).alias("sy"))
     return spatial.seed_unit(seeds, spatial.of_type(entities(spark, sf_dir), "unit_boundary"), 300.0)
 
 

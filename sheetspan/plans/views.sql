@@ -111,3 +111,8 @@ SELECT l.page_id, l.ord * 2 + k.k AS line_id, l.confidence - k.k * 0.05 AS confi
               CAST(floor(length(l.text) * (least(l.x + l.w, k.t1) - l.x) / l.w + 0.5) AS INT) - CAST(floor(length(l.text) * (greatest(l.x, k.t0) - l.x) / l.w + 0.5) AS INT)) AS text
 FROM d_ocr_lines l CROSS JOIN (SELECT 0 AS k, CAST(0 AS DOUBLE) AS t0, CAST(660 AS DOUBLE) AS t1 UNION ALL SELECT 1, CAST(600 AS DOUBLE), CAST(1300 AS DOUBLE)) k
 WHERE least(l.x + l.w, k.t1) - greatest(l.x, k.t0) > 4
+
+-- view d_type_lines
+SELECT page_id, ord, x, y, w, h, CASE CAST(ord % 11 AS INT) WHEN 0 THEN concat('Apartment ', CAST(ord % 90 AS VARCHAR(12))) WHEN 1 THEN 'Type' WHEN 2 THEN '3B' WHEN 3 THEN 'Studio' WHEN 4 THEN 'Type: 2 Bed'
+       WHEN 5 THEN concat('Unit ', CAST(ord % 70 AS VARCHAR(12)), ' Type 2B') WHEN 6 THEN 'UNIT' WHEN 7 THEN CAST(ord % 80 AS VARCHAR(12)) WHEN 8 THEN '1BR' WHEN 9 THEN 'types.' ELSE text END AS text
+FROM d_ocr_lines WHERE text NOT LIKE 'SCALE%'

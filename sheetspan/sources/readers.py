@@ -34,7 +34,7 @@ def read_yolo_labels(spark: SparkSession, path: str, sizes: DataFrame) -> DataFr
     """Label lines with pixel boxes; sizes has image_id (file stem), width, height.  Lines under five
     tokens, with words for numbers, or without extent are dropped."""
     lines = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("image_id"), F.split(F.trim("value"), r"\s+").alias("t"))
-    rows = lines.where(F.size("t") >= 5).select("image_id", F.expr("try_cast(t[0] as int)").alias("class_id"), F.expr("transform(slice(t, 2, 1000), v -> try_cast(v as double))").alias("c"))
+    rows = lines.where(F.size("t") >= 5).select("image_id", F.expr("try_cast(t[0] as int)").alias("class_id"), F.expr("transform(slice(t, 2, size(t) - 1), v -> try_cast(v as double))").alias("c"))
     rows = rows.where(C("class_id").isNotNull() & ~F.exists("c", lambda v: v.isNull())).join(sizes, "image_id")
     xs, ys = F.filter("c", lambda v, i: i % 2 == 0), F.filter("c", lambda v, i: i % 2 == 1)
     poly = g.box(F.array_min(xs) * C("width"), F.array_min(ys) * C("height"), (F.array_max(xs) - F.array_min(xs)) * C("width"), (F.array_max(ys) - F.array_min(ys)) * C("height"))
