@@ -116,3 +116,6 @@ WHERE least(l.x + l.w, k.t1) - greatest(l.x, k.t0) > 4
 SELECT page_id, ord, x, y, w, h, CASE CAST(ord % 11 AS INT) WHEN 0 THEN concat('Apartment ', CAST(ord % 90 AS VARCHAR(12))) WHEN 1 THEN 'Type' WHEN 2 THEN '3B' WHEN 3 THEN 'Studio' WHEN 4 THEN 'Type: 2 Bed'
        WHEN 5 THEN concat('Unit ', CAST(ord % 70 AS VARCHAR(12)), ' Type 2B') WHEN 6 THEN 'UNIT' WHEN 7 THEN CAST(ord % 80 AS VARCHAR(12)) WHEN 8 THEN '1BR' WHEN 9 THEN 'types.' ELSE text END AS text
 FROM d_ocr_lines WHERE text NOT LIKE 'SCALE%'
+
+-- view d_name_lines
+SELECT page_id, ord, x, y, w, h, CASE text WHEN 'LIFT LOBBY' THEN 'Living' WHEN '@ A3' THEN 'Bathroom' ELSE text END AS text FROM d_ocr_lines WHERE text IN ('BED 2', 'KITCHEN / DINING', 'LIFT LOBBY', '@ A3')
