@@ -3,7 +3,8 @@
 Five transducers each read the words of a clause and change what they pass on: *negation* and
 *reported speech* mark the words in their scope, *target* remembers whether a person is meant, *insult* and
 *threat* put weights on the words that the marks leave.  They are composed into one machine before
-any text is read, so a clause is scored in one walk.  Its output is a vector: how much insult and
+any text is read, so a clause is scored in one walk; a walk from its end tells that one at each word whether a person or
+a report is still to come.  Its output is a vector: how much insult and
 threat it holds in each setting (plain, negated, reported, aimed at a person).  What each of these is worth is learned
 from labelled texts, and so is which words insult and how much.
 """
@@ -29,13 +30,16 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 #: Words of the closed classes, in the languages of the corpus.
 CLOSED = {
-    "threat": "kill hurt destroy beat burn shoot stab die töten schlagen tuer frapper matar golpear",
+    "threat": "kill hurt destroy beat burn shoot stab töten schlagen tuer frapper matar golpear",
     "target": "you your yourself he she they him her them people du dich dir ihr sie tu te toi vous tú usted ustedes",
     "negation": "not never no nobody nicht nie kein keine ne pas jamais nunca jamás ningún",
     "report": "said says wrote writes claimed quoted told sagte schrieb dit écrit dijo escribió",
 }
 #: Input symbols: a word's class.  An insult is any other word with a learned weight.
 SYMBOLS = ("other", "insult", *CLOSED)
+#: What a symbol that stands later in the clause means for a word before it, as marks; a word's column in the tables is its symbol's, plus
+#: ``len(SYMBOLS)`` times the sum of the places (1, 2) of those that are to come.
+LATER = {"target": (1, "aimed"), "report": (2, "reported")}
 #: How many words after a negation it reaches.
 REACH = 3
 
@@ -74,14 +78,13 @@ def _target(state, symbol, marks):
 
 
 def _insult(state, symbol, marks):
-    """An insult counts where it stands; once a person has been named before it, as aimed."""
-    if symbol != "insult":
-        return state, marks
-    return 1, marks | {"insult"}
+    """An insult counts where it stands, in the setting that the marks tell."""
+    return state, marks | {"insult"} if symbol == "insult" else marks
 
 
 def _threat(state, symbol, marks):
-    """A threat needs a person: one named before it, or named after it in the same clause."""
+    """A threat needs a person, named before or after it in the same clause.  Read without the walk from the end, it counts at the
+    person that follows."""
     if symbol == "threat":
         return (state, marks | {"threat"}) if "aimed" in marks else (1, marks)
     if symbol == "target" and state:
@@ -107,15 +110,15 @@ def setting(marks: frozenset[str]) -> int | None:
 
 
 def compiled(machines: Iterable[Transducer] = MACHINES) -> tuple[np.ndarray, np.ndarray]:
-    """The composed machine as tables: next state and setting (-1: none) by (state, symbol)."""
+    """The composed machine as tables: next state and setting (-1: none) by (state, symbol and what is to come)."""
     first, *rest = machines
     for other in rest:
         first = first.then(other)
     number, queue, arcs = {first.start: 0}, [first.start], []
     for state in queue:
         row = []
-        for symbol in SYMBOLS:
-            to, marks = first.step(state, symbol, frozenset())
+        for later, symbol in ((later, symbol) for later in range(4) for symbol in SYMBOLS):
+            to, marks = first.step(state, symbol, frozenset(mark for bit, mark in LATER.values() if later & bit))
             if to not in number:
                 number[to] = len(number)
                 queue.append(to)
@@ -151,6 +154,7 @@ class Scorer:
         to, at = compiled()
         self.to, self.at, self.grammar, self.keep = to.tolist(), at.tolist(), grammar, keep
         self.closed = {w: SYMBOLS.index(kind) for kind, ws in CLOSED.items() for w in ws.split()}
+        self.later = {SYMBOLS.index(s): bit for s, (bit, _) in LATER.items()}
         self.seen: dict[str, tuple[int, float]] = {}
 
     def symbol(self, word: str) -> tuple[int, float]:
@@ -163,12 +167,15 @@ class Scorer:
 
     def clause(self, words: list[str]) -> np.ndarray:
         """The clause's output by setting: summed insult weights, and 1 for each threat."""
-        out, state = np.zeros(len(SETTINGS)), 0
-        for w in words:
-            symbol, weight = self.symbol(w)
-            if (at := self.at[state][symbol]) >= 0:
+        out, state, read = np.zeros(len(SETTINGS)), 0, [self.symbol(w) for w in words]
+        later, to_come = 0, []
+        for symbol, _ in reversed(read):
+            to_come.append(later * len(SYMBOLS))
+            later |= self.later.get(symbol, 0)
+        for (symbol, weight), more in zip(read, reversed(to_come), strict=True):
+            if (at := self.at[state][symbol + more]) >= 0:
                 out[at] += weight
-            state = self.to[state][symbol]
+            state = self.to[state][symbol + more]
         return out
 
     def text(self, text: str | None) -> np.ndarray:
@@ -180,7 +187,7 @@ class Scorer:
             if any(self.symbol(w)[0] for w in words) and (out := self.clause(words)).any():
                 outs.append(out)
         outs.sort(key=lambda o: -float(o @ self.grammar.settings))
-        return sum((o * 0.5**k for k, o in enumerate(outs[:40])), np.zeros(len(SETTINGS)))
+        return 0.5 ** np.arange(len(outs)) @ np.array(outs) if outs else np.zeros(len(SETTINGS))
 
     def score(self, text: str | None) -> float:
         """1 / (1 + exp(-(bias + weighted output))): 0 to 1; no matched clause scores the bias alone."""

@@ -315,7 +315,8 @@ def test_composed_machine_equals_the_cascade():
     r = random.Random(4)
     for _ in range(300):
         words = [r.choice(toxicity.SYMBOLS) for _ in range(r.randrange(12))]
-        passed = [frozenset()] * len(words)
+        marks_to_come = lambda i: frozenset(mark for s, (_, mark) in toxicity.LATER.items() if s in words[i + 1 :])  # noqa: E731,B023
+        passed = [marks_to_come(i) for i in range(len(words))]
         for m in toxicity.MACHINES:
             state, out = m.start, []
             for w, marks in zip(words, passed, strict=True):
@@ -323,8 +324,8 @@ def test_composed_machine_equals_the_cascade():
                 out.append(marks)
             passed = out
         state, walked = 0, []
-        for w in words:
-            k = toxicity.SYMBOLS.index(w)
+        for i, w in enumerate(words):
+            k = toxicity.SYMBOLS.index(w) + len(toxicity.SYMBOLS) * sum(bit for s, (bit, _) in toxicity.LATER.items() if s in words[i + 1 :])
             walked.append(int(at[state, k]))
             state = int(to[state, k])
         assert walked == [-1 if (x := toxicity.setting(m)) is None else x for m in passed]
@@ -339,6 +340,11 @@ def test_clause_grammar():
     assert out("it said moron")["insult reported"] == 4.0
     assert out("i kill you")["threat"] == 1.0 and out("you i kill")["threat"] == 1.0 and not scorer.clause("i kill time".split()).any()
     assert out("he said i kill you")["threat damped"] == 1.0
+    assert out("moron you are")["insult aimed"] == 4.0 and out("moron he said")["insult reported"] == 4.0 and out("i kill he said you")["threat"] == 0.0
+    assert not scorer.clause("ich sah die frau und ihr hund schlief".split()).any()
+    many = toxicity.Scorer(toxicity.Grammar({"moron": 4.0}, {}, bias=-2.0))
+    many.grammar.settings = np.array([1.0, 1.2, 0.5, 0.6, 3.0, 1.5])
+    assert many.text("you moron. " * 60)[1] == pytest.approx(8.0 - 8.0 * 0.5**60, abs=0) and many.text("moron. " * 41)[0] > many.text("moron. " * 40)[0]
     assert scorer.score("nothing here") == scorer.score(None) < scorer.score("it said moron") < scorer.score("a moron") < scorer.score("you moron")
     assert scorer.score("moron. " * 2000) <= 1.0
 
