@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import digits, matches, of_kind, written
+from .spans import digits, let, matches, of_kind, written
 
 #: Kind, pattern, a cheap condition, in order of rank.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -65,7 +65,7 @@ def _ip_parts(match: Column) -> Column:
     return F.forall(F.split(match, "\\."), lambda p: (F.char_length(plain(p)) <= 3) & (F.lpad(plain(p), 3, "0") <= "255"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 40) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 40, block: int = 64) -> DataFrame:
     """One row per input row: key, base (spans of the four base kinds), found (all spans), each an
     array of (start, rank, end, kind, match, score), by start and then rank.
 
@@ -86,9 +86,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     local = matches(t, LOCAL_PHONE, "local_phone", 5, r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]")
 
     def scored(spans: Column, kind: str) -> Column:
-        near = lambda s: F.lower(F.substring(t, F.greatest(s["start"] - window + 1, F.lit(1)), s["end"] - s["start"] + 2 * window)).rlike(CONTEXT[kind])
         checked = CHECKED if kind in ("card", "iban") else 0.0
-        return F.transform(spans, lambda s: s.withField("score", F.round(F.lit(SHAPE[kind] + checked) + F.when(near(s), NEAR).otherwise(0.0), 3)))
+
+        def of(s: Column, piece: Column, before: Column) -> Column:
+            """The score of a span by the context in the piece of text that follows ``before`` code points."""
+            begin = F.greatest(s["start"] - window, F.lit(0))
+            near = F.lower(F.substring(piece, begin - before + 1, s["end"] + window - begin)).rlike(CONTEXT[kind])
+            return s.withField("score", F.round(F.lit(SHAPE[kind] + checked) + F.when(near, NEAR).otherwise(0.0), 3))
+
+        def over_block(own: Column) -> Column:
+            """A place in a text is counted from its start, so the text around a block of spans is cut out first."""
+            before = F.greatest(own[0]["start"] - window, F.lit(0))
+            cut = F.struct(F.substring(t, before + 1, F.element_at(own, -1)["end"] + window - before).alias("piece"), before.alias("before"))
+            return let(cut, lambda c: F.transform(own, lambda s: of(s, c["piece"], c["before"])))
+
+        def over_blocks(found: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int")), lambda i: F.slice(found, i * block + 1, F.lit(block)))
+            return F.flatten(F.transform(blocks, over_block))
+
+        none = lambda found: F.transform(found, lambda s: s.withField("score", F.lit(0.0)))
+        return let(spans, lambda found: F.when(F.size(found) > 0, over_blocks(found)).otherwise(none(found)))
 
     kinds = {"email": email, "ip": ip, "card": card, "phone": phone, "iban": iban, "local_phone": local}
     own = {k: scored(v, k) for k, v in kinds.items()}
