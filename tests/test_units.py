@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sheetspan.functions import geometry as g
-from sheetspan.operators import grid, text_tiles, units
+from sheetspan.operators import grid, room_text, text_tiles, types, units
 
 
 def box_columns():
@@ -134,3 +134,35 @@ def test_enclosed_spaces_equal_flood_fill(spark):
     joined = grid.grid_regions(pages, df, none, room, gaps=open_gap).where("page_id = 1").collect()
     want = flood({(y, c) for y in range(30) for c in range(40)} - (walls - {(9, 12), (9, 13)}))
     assert sorted(x["cells"] for x in joined) == sorted(n for n in want if n >= 8)
+
+
+def test_type_hits_carry_units_and_wait_for_types(spark):
+    line = lambda page, i, text, x=None, y=None: (page, i, text, x, y, 40.0, 10.0)
+    rows = [
+        line(1, 1, "Apartment", 0.0, 0.0), line(1, 2, "56", 50.0, 0.0), line(1, 3, "Type", 0.0, 30.0), line(1, 4, "3B", 0.0, 60.0), line(1, 5, "3B", 0.0, 60.0), line(1, 6, "Studio", 0.0, 900.0),
+        line(2, 1, "Unit 29 Type 2B"), line(2, 2, "Type: 1 Bed"), line(2, 3, None), line(2, 4, " "), line(3, 1, "Type"), line(3, 2, "Unit 4"), line(3, 3, "Studio"), line(3, 4, "2B"), line(4, 1, "3B"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, ord long, text string, x double, y double, w double, h double").withColumn("bbox", F.when(F.col("x").isNotNull(), g.box(*box_columns())))
+    got = sorted((r["page_id"], r["unit"], r["apartment_type"], r["bedrooms"]) for r in types.type_hits(df).collect())
+    assert got == [(1, "56", "3B", 3), (2, "29", "1B", 1), (2, "29", "2B", 2), (3, "4", "Studio", 0)]
+    assert types.type_hits(df.limit(0)).count() == 0
+
+
+def test_rooms_are_named_by_text(spark):
+    room = lambda page, i, label, x, unit=None, w=100.0: (page, i, i, label, unit, x, 0.0, w, 100.0)
+    rows = [room(1, 1, "Room", 0.0, 9), room(1, 2, "Bedroom", 200.0, 9), room(1, 3, "Open Living", 400.0, 9), room(1, 4, "Lobby", 600.0, 9), room(2, 5, "Room", 0.0), room(2, 6, "Room", 5000.0)]
+    rooms = spark.createDataFrame(rows, "page_id long, room_id long, ord long, label string, unit_id long, x double, y double, w double, h double").withColumn("points", g.rect_points(*box_columns())).drop("x", "y", "w", "h")
+    seeds = [
+        (1, 11, "Bedroom 2", 9, 250.0, 50.0), (1, 12, "Kitchen", 9, 450.0, 50.0), (1, 13, "Bathroom", 9, 650.0, 50.0), (1, 14, "Laundry", 9, 50.0, 40.0), (1, 15, "Dining", 9, 460.0, 60.0), (1, 16, "Study", 8, 50.0, 50.0),
+        (2, 17, "Study", None, 150.0, 50.0), (2, 18, "Laundry", None, 160.0, 50.0), (2, 19, "Bedroom", None, 2500.0, 50.0),
+    ]
+    df = spark.createDataFrame(seeds, "page_id long, seed_id long, label string, unit_id long, x double, y double")
+    units_ = rooms.limit(0).select("page_id", "unit_id", "points")
+    merged = {r["seed_id"]: (r["label"], r["x"], r["merged"]) for r in room_text.cluster_open_plan(df, units_).collect()}
+    assert merged[12] == ("Kitchen / Dining", 455.0, 2) and 15 not in merged and merged[11] == ("Bedroom 2", 250.0, 1) and len(merged) == 8
+    found = room_text.label_rooms_from_text(rooms, df)
+    got = {r["seed_id"]: (r["room_id"], r["label"]) for r in found.collect()}
+    assert got == {11: (2, "Bedroom 2"), 15: (3, "Living / Dining"), 14: (1, "Laundry"), 18: (5, "Laundry")}
+    anchors = {r["seed_id"]: r["area"] for r in room_text.text_anchor_rooms(df, found, rooms).collect()}
+    assert anchors == {13: 5184.0, 16: 5184.0}
+    assert room_text.label_rooms_from_text(rooms.limit(0), df).count() == 0 == room_text.label_rooms_from_text(rooms, df.limit(0)).count()
