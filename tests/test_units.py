@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetspan.functions import geometry as g
 from sheetspan.operators import grid, room_text, text_tiles, types, units
+from sheetspan.sources import keypoints
 
 
 def box_columns():
@@ -166,3 +167,16 @@ def test_rooms_are_named_by_text(spark):
     anchors = {r["seed_id"]: r["area"] for r in room_text.text_anchor_rooms(df, found, rooms).collect()}
     assert anchors == {13: 5184.0, 16: 5184.0}
     assert room_text.label_rooms_from_text(rooms.limit(0), df).count() == 0 == room_text.label_rooms_from_text(rooms, df.limit(0)).count()
+
+
+def test_keypoints_of_three_encodings(spark):
+    rows = [
+        (1, '{"a": {"x": 1, "y": 2, "class": "tip"}, "tail": {"cx": 3, "cy": 4, "visible": "0"}}', None), (2, '[{"x": 1, "y": 2}, {"x": 3, "y": 4, "confidence": 90}]', None), (3, "[1, 2, 1, 3, 4, 0]", ["head", "s"]),
+        (4, "[1, 2, 2]", None), (5, '[{"x": 1, "y": 2, "name": "point"}, {"x": 5, "y": 6, "name": "tip"}, {"y": 1, "name": "base"}]', None), (6, None, None), (7, "[]", None), (8, "{}", None), (9, "words", None), (10, '"x"', None),
+    ]
+    df = spark.createDataFrame(rows, "entity_id long, keypoints string, names array<string>")
+    got = sorted((r["entity_id"], r["role"], r["x"], r["y"], r["visibility"], r["confidence"]) for r in keypoints.read_keypoints(df).collect())
+    assert got == [
+        (1, "base", 3.0, 4.0, "not_labeled", None), (1, "tip", 1.0, 2.0, "visible", None), (2, "base", 1.0, 2.0, "visible", None), (2, "tip", 3.0, 4.0, "visible", 0.9),
+        (3, "base", 3.0, 4.0, "not_labeled", None), (3, "tip", 1.0, 2.0, "occluded", None), (5, "tip", 5.0, 6.0, "visible", None),
+    ]
