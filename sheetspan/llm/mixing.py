@@ -165,7 +165,9 @@ def fit(
     token totals by domain (sum of rate * tokens * posterior) match the targets.
 
     The target of a domain is its share of ``weights`` in a total: all tokens of the corpus, or,
-    with total="first", as many as leave the first domain named in ``weights`` whole.  The squares of
+    with total="first", as many as leave the first domain named in ``weights`` whole.  With total="largest" the total begins there and
+    shrinks, by half of the worst domain's relative gap, for as long as steps end without reaching it: documents of the other domains
+    hold a little of the first one too, so that it can seldom stay whole.  The squares of
     domains are weighted by the inverse of S, the sum of tokens * p * p' over the documents, and the gradient of a
     rate is taken per token, so a step is p * (inverse of S) * gap: it would close the gap at once
     if no rate were cut off at 0 or ``most``.  S is taken over the documents that are not cut off, and over
@@ -174,7 +176,8 @@ def fit(
 
     Steps end when every total is within ``tolerance`` of its target, relative to it, or when ten of them
     in a row have not brought the worst one nearer by a hundredth: then the targets
-    cannot be met with such rates, ``reached`` is false and a warning says so.  No documents, or
+    cannot be met with such rates; ``reached`` is false then and a warning says so, with total="largest" only if a
+    tenth of the total does not do either.  No documents, or
     none with tokens, reach targets of 0.
     """
     d = len(domains)
@@ -206,16 +209,21 @@ def fit(
     share = share / max(share.sum(), 1e-12)
     first = domains.index(next(iter(weights))) if next(iter(weights), None) in domains else 0
     whole = now.sum() if total == "corpus" else now[first] / max(share[first], 1e-12)
-    targets = share * whole
+    targets, least = share * whole, 0.1 * whole
     worst = lambda: float((np.abs(now - targets) / np.maximum(targets, 1e-3 * max(whole, 1e-12))).max())
-    best, idle, metric = worst(), 0, free
-    while best > tolerance and idle < 10:
-        steps = np.vstack([steps, np.linalg.pinv(metric, rcond=1e-9, hermitian=True) @ (now - targets)])
-        before = worst()
-        now, square, free = totals(steps)
-        metric = free if worst() < 0.9 * before else square
-        idle = 0 if worst() < 0.99 * best else idle + 1
-        best = min(best, worst())
+    while True:
+        best, idle, metric = worst(), 0, free
+        while best > tolerance and idle < 10:
+            steps = np.vstack([steps, np.linalg.pinv(metric, rcond=1e-9, hermitian=True) @ (now - targets)])
+            before = worst()
+            now, square, free = totals(steps)
+            metric = free if worst() < 0.9 * before else square
+            idle = 0 if worst() < 0.99 * best else idle + 1
+            best = min(best, worst())
+        if worst() <= tolerance or total != "largest" or whole <= least:
+            break
+        whole *= 1 - min(0.5, max(tolerance, worst() / 2))
+        targets = share * whole
     reached = worst() <= tolerance
     if not reached:
         warnings.warn(f"mixing targets not reached: {dict(zip(domains, np.round(now / np.maximum(targets, 1e-12), 3).tolist(), strict=True))} of them", stacklevel=2)

@@ -395,6 +395,23 @@ def test_fit_equals_a_plain_solver(spark):
         assert fitted.reached == (least <= 0.002)
 
 
+def test_largest_total_is_reached_where_the_first_domain_cannot_stay_whole(spark):
+    r = np.random.default_rng(5)
+    p = np.concatenate([r.dirichlet([9.0, 0.2, 0.2], 300), r.dirichlet([1.0, 3.0, 0.2], 100), r.dirichlet([1.0, 0.2, 3.0], 100)])
+    t = r.integers(1, 3000, 500)
+    measured = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(500)], "id long, tokens long, p array<double>").cache()
+    weights = {"a": 0.9, "b": 0.06, "c": 0.04}
+    whole, own = (t * p[:, 0]).sum(), t[:, None] * p
+    with pytest.warns(UserWarning, match="not reached"):
+        first = mixing.fit(measured, ["a", "b", "c"], weights, most=1.0, total="first")
+    largest = mixing.fit(measured, ["a", "b", "c"], weights, most=1.0, total="largest")
+    rates = largest.rates(p)
+    assert not first.reached and largest.reached and rates.min() >= 0 and rates.max() <= 1
+    got = rates @ own
+    assert np.abs(got / largest.targets - 1).max() <= 0.002 + 1e-9 and (largest.targets / largest.targets.sum()).tolist() == pytest.approx([0.9, 0.06, 0.04])
+    assert 0.8 * whole < got[0] < whole
+
+
 def test_mixing_without_labels_keeps_all(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet").limit(0)
     model = mixing.train(docs, labels, queries.domain_of())
