@@ -8,8 +8,8 @@ from sheetspan.llm import exact_dedup, language_id, mixing, ngram_join, packing,
 from sheetspan.llm.queries import domain_of
 from sheetspan.workspace import new_path, stage, table
 
-#: Target weights of the mixing stage; the first domain stays whole, the others thin out towards theirs.  Documents have soft
-#: memberships, so a target below what the good ones hold of a domain could only be met by dropping good ones.
+#: Target weights of the mixing stage: shares of the largest total that documents can reach at rates up to 1.  The first domain stays all
+#: but whole, the others thin out towards theirs; memberships are soft, so that thinning them takes a little of the first one too.
 WEIGHTS = {"good": 0.89, "poor": 0.06, "toxic": 0.05}
 
 
@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key draws by its text, null and empty texts have no tokens and a rate all the same; without labels all stay."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain_of())
     measured = stage(mixing.measure(docs, model), "measured")
-    fitted = mixing.fit(measured, model.domains, WEIGHTS, most=1.0, total="first")
+    fitted = mixing.fit(measured, model.domains, WEIGHTS, most=1.0, total="largest")
     return mixing.thin(docs, model, fitted)
 
 
