@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sheetspan.plans import q_columns, q_entrances, q_graph, q_grid, q_hierarchy, q_keypoints, q_labels, q_policy, q_policy_lines, q_rollup, q_room_text, q_spatial, q_streams, q_text, q_text_rows, q_text_tiles, q_types, q_units  # noqa: F401
+from sheetspan.plans import q_columns, q_entrances, q_graph, q_grid, q_hierarchy, q_keypoints, q_labels, q_policy, q_policy_lines, q_policy_packs, q_rollup, q_room_text, q_spatial, q_streams, q_text, q_text_rows, q_text_tiles, q_types, q_units  # noqa: F401
 from sheetspan.plans import registry
 
 SF = "/root/testdata/sf0.001"

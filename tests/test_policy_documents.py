@@ -4,6 +4,7 @@ import random
 import re
 
 from sheetspan.operators import policy_lines
+from sheetspan.sources import policy_packs
 
 LINES = "doc_id long, line_id string, ord int, page long, x double, y double, width double, height double, text string"
 GUIDELINES = "doc_id long, guideline_id string, page long, line_ids array<string>, source_text string, text string, rects array<struct<page:long,x:double,y:double,width:double,height:double>>"
@@ -70,3 +71,33 @@ def test_guidelines_are_placed_by_ids_then_text_then_their_own_rectangles(spark)
     }
     assert policy_lines.guideline_lines(spark.createDataFrame([], GUIDELINES), lines, pages).count() == 0
     assert policy_lines.guideline_lines(spark.createDataFrame(rows, GUIDELINES), lines.limit(0), pages.limit(0)).count() == 6
+
+
+def test_packs_of_every_shape(spark):
+    packs = [
+        ("rules", '{"rules": [{"requiresScale": "0", "kind": "room_min_area", "minAreaM2": "9.5", "roomLabels": []}, null, "text", {"minCommunalM2": 0}, {"byBedrooms": {}, "name": "POS"}, {"byBedrooms": {"3": 4}}]}'),
+        ("mixed", '{"rules": [{"kind": "room_min_area", "guideline_id": ""}], "guidelines": [{"text": "t", "mappedKind": "room_min_area", "sourceText": "s"}, {"id": 7, "name": "n", "mapped_kind": "room_min_area", "rects": [{"page": 1, "x": 0, "y": 0, "width": 1, "height": 1}, {"page": 2}], "policy": ["A", ""]}], "groups": [{"items": [{"text": "unused"}]}]}'),
+        ("catalogue", '{"rules": [{"id": "a", "design_element": "d", "variable": "v"}]}'), ("no list", '{"rules": {"kind": "room_min_area"}, "guidelines": "x", "groups": 3}'), ("list", "[1, 2]"), ("broken", '{"rules": ['), ("empty", ""), ("null", None), (None, '{"rules": [{}]}'),
+    ]
+    df = spark.createDataFrame(packs, "pack_id string, pack string")
+    rules = {(r["pack_id"], r["n"]): (r["code"], r["kind"], r["guideline_id"], r["requires_scale"], r["min_area_m2"], r["by_bedrooms"]) for r in policy_packs.read_policy_rules(df).collect()}
+    assert rules == {
+        ("rules", 0): ("RULE-1", "room_min_area", None, False, 9.5, None), ("rules", 3): ("RULE-4", "communal_open_space", None, False, None, None), ("rules", 4): ("RULE-5", "apartment_min_pos", None, False, None, None),
+        ("rules", 5): ("RULE-6", "apartment_min_internal", None, False, None, {"3": 4.0}), ("mixed", 0): ("RULE-1", "room_min_area", "7", False, None, None), (None, 0): ("RULE-1", "room_min_area", None, False, None, None),
+    }
+    got = {r["guideline_id"]: (r["pack_id"], r["name"], r["text"], r["group"], len(r["rects"] or []), r["policies"]) for r in policy_packs.read_guidelines(df).collect()}
+    assert got == {"g-1": ("mixed", "t", "t", "General", 0, None), "7": ("mixed", "n", "n", "General", 1, ["A"])}
+    for none in (df.limit(0), df.where("pack_id = 'broken'")):
+        assert policy_packs.read_policy_rules(none).count() == 0 == policy_packs.read_guidelines(none).count()
+
+
+def test_packs_of_a_document_are_numbered_anew(spark):
+    parts = [
+        (1, 2, '{"guidelines": [{"id": "x", "text": "third", "kind": "apartment_min_storage", "minCount": 2, "code": "S", "requiresScale": false}]}'), (1, 1, '{"guidelines": [{"name": "first", "mapped_kind": "null"}, 5, {"mappedKind": "apartment_dual_aspect"}]}'),
+        (2, 1, '{"rules": [{"kind": "room_min_area"}]}'), (3, 1, None),
+    ]
+    guidelines, rules = policy_packs.merge_packs(spark.createDataFrame(parts, "doc_id long, part int, pack string"))
+    assert [(r["doc_id"], r["guideline_id"], r["name"], r["text"], r["mapped_kind"]) for r in guidelines.orderBy("n").collect()] == [
+        (1, "g-1", "first", "first", None), (1, "g-2", "Guideline 2", "Guideline 2", "apartment_dual_aspect"), (1, "g-3", "third", "third", "apartment_min_storage"),
+    ]
+    assert [(r["code"], r["kind"], r["requires_scale"], r["min_count"]) for r in rules.orderBy("n").collect()] == [("G-2", "apartment_dual_aspect", False, None), ("S", "apartment_min_storage", False, 2.0)]
