@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import stage
 from .sampling import bounded_sample
-from .spans import let, matches, of_kind, written
+from .spans import blocks, let, matches, of_kind, overlaps, written
 
 #: The patterns of the base kinds, in order of rank.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,12 +117,9 @@ def find(docs: DataFrame, model: list[float], key: str = "doc_id", text: str = "
     rows = docs.select(
         F.col(key).alias(key), assign.alias("_a"), access.alias("_b"), hexes.alias("_c"), matches(t, CANDIDATE, "markov", 3).alias("_m")
     )
-    base = F.concat("_a", "_b", "_c")
-    more = F.filter(
-        "_m",
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (ratio(s["match"], model) >= least),
-    )
-    return rows.select(key, F.array_sort(base).alias("base"), F.array_sort(F.concat(base, more)).alias("found"))
+    rows = rows.select(key, F.array_sort(F.concat("_a", "_b", "_c")).alias("base"), "_m")
+    more = let(blocks(F.col("base")), lambda own: F.filter("_m", lambda s: ~overlaps(s, own) & (ratio(s["match"], model) >= least)))
+    return rows.select(key, "base", F.when(F.size("_m") > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base")).alias("found"))
 
 
 def digest_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:

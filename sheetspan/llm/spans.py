@@ -57,6 +57,19 @@ def matches(text: Column, pattern: str, kind: str, rank: int, needs: str | None
     return F.when(text.rlike(needs or pattern), whole).otherwise(none)
 
 
+def blocks(spans: Column, size: int = 128) -> Column:
+    """Sorted spans in blocks, each with its least start and greatest end, so that a search looks into few of them."""
+    block = lambda s: F.struct(F.get(s, F.lit(0))["start"].alias("start"), F.array_max(F.transform(s, lambda x: x["end"])).alias("end"), s.alias("spans"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int")), lambda i: block(F.slice(spans, i * size + 1, F.lit(size))))
+    return F.when(F.size(spans) > 0, cut).otherwise(F.slice(F.array(block(spans)), 1, 0))
+
+
+def overlaps(span: Column, own: Column) -> Column:
+    """Whether a span overlaps one of those in blocks."""
+    meets = lambda x: (x["start"] < span["end"]) & (span["start"] < x["end"])
+    return F.exists(own, lambda b: meets(b) & F.exists(b["spans"], meets))
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 

@@ -541,3 +541,14 @@ def test_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(name) == "5m"
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_overlaps_in_blocks_equal_all_pairs(spark):
+    from sheetspan.llm import spans
+
+    r = np.random.default_rng(2)
+    pair = lambda n: sorted((int(s), 0, int(s + w), "k", "") for s, w in zip(r.integers(0, 4000, n), r.integers(1, 40, n), strict=True))
+    rows = [(i, pair(n), pair(50)) for i, n in enumerate([0, 1, 3, 4, 5, 40, 127])]
+    df = spark.createDataFrame(rows, f"id long, base {spans.SPAN}, asked {spans.SPAN}")
+    found = df.select("id", spans.let(spans.blocks(F.col("base"), 4), lambda own: F.transform("asked", lambda s: spans.overlaps(s, own))).alias("hits")).collect()
+    assert {x["id"]: x["hits"] for x in found} == {i: [any(b[0] < s[2] and s[0] < b[2] for b in base) for s in asked] for i, base, asked in rows}
