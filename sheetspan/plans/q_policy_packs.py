@@ -22,7 +22,8 @@ _PACKS = (
 
 
 def packs(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    # A part is a small row and a large pack: a file that one task reads would keep all its packs in that task.
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", "p_type").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     pack = F.lit("")
     for k, text in enumerate(_PACKS):
         t = F.lit(text)

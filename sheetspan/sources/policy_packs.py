@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+from ..workspace import stage
+
 C = F.col
 #: The kinds of rules, those made of guidelines that need no scale, severities and states besides the usual ones.
 KINDS = (
@@ -42,8 +45,7 @@ def _raw(o: str, *names: str) -> Column:
 
 
 def _filled(c: Column) -> Column:
-    s = _strip(c)
-    return F.when(s != "", s)
+    return once(_strip(c), lambda s: F.when(s != "", s))
 
 
 def _text(o: str, *names: str) -> Column:
@@ -51,19 +53,18 @@ def _text(o: str, *names: str) -> Column:
 
 
 def _number(o: str, name: str) -> Column:
-    n = _text(o, name).try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
+    return once(_text(o, name).try_cast("double"), lambda n: F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n))
 
 
 def _items(text: Column) -> Column:
     """The elements of a JSON array as texts; none of anything else."""
-    t = _strip(text)
-    return F.coalesce(F.when(t.startswith("["), F.from_json(t, "array<string>")), F.array().cast("array<string>"))
+    listed = once(_strip(text), lambda t: F.when(t.startswith("["), F.from_json(t, "array<string>")))
+    return F.coalesce(listed, F.array().cast("array<string>"))
 
 
 def _list(o: str, *names: str) -> Column:
     found = F.filter(F.transform(_items(_raw(o, *names)), lambda x: _strip(x)), lambda x: x != "")
-    return F.when(F.size(found) > 0, found)
+    return once(found, lambda x: F.when(F.size(x) > 0, x))
 
 
 def _true(c: Column) -> Column:
@@ -72,10 +73,12 @@ def _true(c: Column) -> Column:
 
 def _bands(o: str) -> Column:
     """Values by number of bedrooms, the last band for three and more; null if there are none."""
-    given = F.from_json(_raw(o, "by_bedrooms"), "map<string,string>")
-    value = lambda k: F.coalesce(F.try_element_at(given, F.lit(k)), *([F.try_element_at(given, F.lit("3+"))] if k == "3" else [])).try_cast("double")
-    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), value(k).alias("value")) for k in "0123")), lambda e: e["value"].isNotNull())
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+    def tell(given: Column) -> Column:
+        value = lambda k: F.coalesce(F.try_element_at(given, F.lit(k)), *([F.try_element_at(given, F.lit("3+"))] if k == "3" else [])).try_cast("double")
+        entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), value(k).alias("value")) for k in "0123")), lambda e: e["value"].isNotNull())
+        return once(entries, lambda e: F.when(F.size(e) > 0, F.map_from_entries(e)))
+
+    return once(F.from_json(_raw(o, "by_bedrooms"), "map<string,string>"), tell)
 
 
 def rule_kind(o: str) -> Column:
@@ -99,9 +102,12 @@ def _opened(packs: DataFrame) -> DataFrame:
     """pack_id and the texts of a pack's rules, guidelines and groups.  A catalogue, whose first rule names an element and a variable but no kind, is no pack."""
     doc = F.from_json(_strip(C("pack")), "struct<rules:string,guidelines:string,groups:string>")
     rows = packs.select("pack_id", doc.alias("d")).select("pack_id", _items(C("d.rules")).alias("rules"), _items(C("d.guidelines")).alias("guidelines"), _items(C("d.groups")).alias("groups"))
-    first = F.from_json(F.get("rules", F.lit(0)), "map<string,string>")
-    catalogue = F.map_contains_key(first, "design_element") & F.map_contains_key(first, "variable") & ~F.map_contains_key(first, "kind")
-    return rows.where(~F.coalesce(catalogue, F.lit(False)))
+    catalogue = once(
+        F.from_json(F.get("rules", F.lit(0)), "map<string,string>"),
+        lambda first: F.map_contains_key(first, "design_element") & F.map_contains_key(first, "variable") & ~F.map_contains_key(first, "kind"),
+    )
+    # Written: rules, guidelines and groups are read from it, and JSON is not parsed again for each.
+    return stage(rows.where(~F.coalesce(catalogue, F.lit(False))), "packs")
 
 
 def _guidelines(items: DataFrame) -> DataFrame:
@@ -128,10 +134,13 @@ def read_guidelines(packs: DataFrame) -> DataFrame:
     packs: pack_id, pack (JSON text, one row a pack).  A pack lists guidelines; where none of them holds a name or text those of its groups count, under the group's
     title.  Without an id a guideline takes its place: in the list, or among those of the groups that count.  What is no object, null, or no JSON gives nothing.
     """
-    opened = _opened(packs)
+    return _read_guidelines(_opened(packs))
+
+
+def _read_guidelines(opened: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     flat = opened.select("pack_id", F.posexplode("guidelines").alias("n", "t")).select("pack_id", C("n").cast("long").alias("n"), (C("n") + 1).alias("at"), none.alias("title"), _parsed(C("t"), _GUIDELINE_FIELDS).alias("g"))
-    flat = _guidelines(flat)
+    flat = stage(_guidelines(flat), "guidelines")
     group = F.from_json("t", "struct<title:string,name:string,group:string,guidelines:string,items:string>")
     groups = opened.join(flat.select("pack_id").distinct(), "pack_id", "left_anti").select("pack_id", F.posexplode("groups").alias("i", "t")).where(C("t").startswith("{")).select("pack_id", "i", group.alias("o"))
     inner = F.when(_strip(C("o.guidelines")).startswith("["), C("o.guidelines")).otherwise(C("o.items"))
@@ -147,7 +156,8 @@ def read_policy_rules(packs: DataFrame) -> DataFrame:
     packs as for ``read_guidelines``.  Rules keep a guideline that they name; another one takes the pack's first guideline of its kind with its source text (or
     none either) or its name.  A pack without rules makes one of each guideline that is mapped to a kind.  False, 0 and an empty text are false.
     """
-    texts = _opened(packs).select("pack_id", F.posexplode("rules").alias("n", "t")).select("pack_id", C("n").cast("long").alias("n"), _parsed(C("t"), _RULE_FIELDS).alias("r")).where("r IS NOT NULL")
+    opened = _opened(packs)
+    texts = opened.select("pack_id", F.posexplode("rules").alias("n", "t")).select("pack_id", C("n").cast("long").alias("n"), _parsed(C("t"), _RULE_FIELDS).alias("r")).where("r IS NOT NULL")
     code = F.coalesce(_text("r", "code"), F.concat(F.lit("RULE-"), (C("n") + 1).cast("string")))
     severity = _text("r", "severity")
     own = texts.select(
@@ -155,7 +165,8 @@ def read_policy_rules(packs: DataFrame) -> DataFrame:
         F.when(severity.isin(*SEVERITIES), severity).otherwise("fail").alias("severity"), _true(_raw("r", "requires_scale")).alias("requires_scale"), _text("r", "explanation").alias("explanation"),
         _text("r", "source_text").alias("source_text"), _true(_raw("r", "optional_if_absent")).alias("optional_if_absent"), *_amounts("r"),
     )
-    guidelines = read_guidelines(packs).where("mapped_kind IS NOT NULL")
+    own = stage(own, "rules")
+    guidelines = stage(_read_guidelines(opened).where("mapped_kind IS NOT NULL").select("pack_id", "n", "guideline_id", "name", "text", "clause", "source_text", "mapped_kind"), "mapped")
     known = guidelines.select("pack_id", C("mapped_kind").alias("kind"), C("n").alias("at"), C("guideline_id").alias("linked"), C("name").alias("g_name"), C("source_text").alias("g_source"))
     fits = C("source_text").eqNullSafe(C("g_source")) | (C("name") == C("g_name"))
     links = own.where("guideline_id IS NULL").select("pack_id", "n", "kind", "name", "source_text").join(known, ["pack_id", "kind"]).where(fits).groupBy("pack_id", "n").agg(F.min_by("linked", "at").alias("linked"))
