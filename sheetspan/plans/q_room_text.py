@@ -70,6 +70,6 @@ def j12_rooms_named_by_text(spark, sf_dir):
 SELECT page_id, seed_id, label, unit_id, round(px - 36, 6) AS x, round(py - 36, 6) AS y, 5184::DOUBLE AS area FROM sd WHERE unit_id IS NOT NULL AND seed_id NOT IN (SELECT seed_id FROM ma) AND NOT (label IN ('Kitchen / Dining', 'Open Living') AND EXISTS (
   SELECT 1 FROM nw WHERE nw.page_id = sd.page_id AND nw.unit_id = sd.unit_id AND nw.label IN ('Open Living', 'Kitchen / Dining', 'Living / Dining / Kitchen') AND sd.px >= nw.x AND sd.px < nw.x + nw.w AND sd.py >= nw.y AND sd.py < nw.y + nw.h))""")
 def j13_anchor_rooms(spark, sf_dir):
-    rooms, (seeds, _) = _rooms(spark, sf_dir), _seeds(spark, sf_dir)
-    found = room_text.text_anchor_rooms(seeds, room_text.label_rooms_from_text(rooms, seeds), rooms)
+    rooms, seeds = stage(_rooms(spark, sf_dir), "rooms"), stage(_seeds(spark, sf_dir)[0], "seeds")  # written, with the matches: all three are read twice
+    found = room_text.text_anchor_rooms(seeds, stage(room_text.label_rooms_from_text(rooms, seeds), "matches"), rooms)
     return found.select("page_id", "seed_id", "label", "unit_id", F.round(C("points")[0]["x"], 6).alias("x"), F.round(C("points")[0]["y"], 6).alias("y"), "area")
