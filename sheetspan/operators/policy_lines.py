@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import stage
+
 C = F.col
 #: White space and quotes that comparisons leave out; the least length of a text that may be held in another one, and what is added
 #: where the line or the excerpt is held; the length over which a word counts, how many words are needed and the least share of them that a line
@@ -24,71 +26,92 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), SPACE, " "), QUOTES, ""))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: F.char_length(w) > SHORT_WORD)
-
-
-def _pieces(text: Column, size: int) -> Column:
-    """All stretches of ``size`` characters, each once; none of a shorter text."""
-    n = F.char_length(text)
-    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
-
-
-def line_score(line: Column, excerpt: Column) -> Column:
-    """How well a line fits an excerpt, both plain: by what share of the longer one is held, else by the share of the excerpt's words in it; 0 if it does not."""
-    a, b = F.char_length(line), F.char_length(excerpt)
-    words = _words(excerpt)
-    share = F.size(F.filter(words, lambda w: F.contains(line, w))) / F.size(words)
-    fits = (F.size(words) >= LEAST_WORDS) & (share >= LEAST_SHARE)
-    return (
-        F.when((a == 0) | (b == 0), 0.0).when(F.contains(excerpt, line) & (a >= HELD_LENGTH), a / b + LINE_HELD)
-        .when(F.contains(line, excerpt) & (b >= HELD_LENGTH), b / a + EXCERPT_HELD).when(fits, share).otherwise(0.0)
-    )
-
-
-def _sharing_words(lines: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """doc_id, guideline_id, ord of lines that hold one of an excerpt's rarest words: so many of these that a line without any of them holds too few."""
-    tokens = lines.select("doc_id", "ord", F.explode(F.array_distinct(_words(C("a")))).alias("token"))
-    vocabulary = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    words = excerpts.select("doc_id", "guideline_id", F.explode(_words(C("b"))).alias("word")).groupBy("doc_id", "guideline_id", "word").agg(F.count("*").alias("m"))
-    looked = words.select("doc_id", "word", F.substring("word", 1, GRAM).alias("gram")).distinct()
-    # A word is held in a line if it is held in one of its tokens, as it has no blank.
-    holders = looked.join(vocabulary.select("doc_id", "token", "n", F.explode(_pieces(C("token"), GRAM)).alias("gram")), ["doc_id", "gram"]).where(F.contains("token", "word"))
-    counted = words.join(holders.groupBy("doc_id", "word").agg(F.sum("n").alias("n")), ["doc_id", "word"], "left")
-    all_words = Window.partitionBy("doc_id", "guideline_id")
-    commoner = all_words.orderBy(F.coalesce("n", F.lit(0)).desc(), "word").rowsBetween(Window.unboundedPreceding, 0)
-    rare = counted.select("doc_id", "guideline_id", "word", (F.sum("m").over(commoner) / F.sum("m").over(all_words)).alias("rest")).where(C("rest") >= LEAST_SHARE)
-    asked = rare.join(holders.select("doc_id", "word", "token"), ["doc_id", "word"]).select("doc_id", "guideline_id", "token").distinct()
-    return asked.join(tokens, ["doc_id", "token"]).select("doc_id", "guideline_id", "ord")
-
-
-def _held(lines: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """doc_id, guideline_id, ord of lines whose beginning an excerpt holds, and of lines that hold the beginning of an excerpt without words that count."""
-    begins = lambda c: F.substring(c, 1, HELD_LENGTH)
-    long = lambda c: F.char_length(c) >= HELD_LENGTH
-    inside = excerpts.select("doc_id", "guideline_id", F.explode(_pieces(C("b"), HELD_LENGTH)).alias("piece"))
-    first = lines.where(long("a")).select("doc_id", "ord", begins("a").alias("piece")).join(inside, ["doc_id", "piece"])
-    bare = excerpts.where(long("b") & (F.size(_words(C("b"))) == 0)).select("doc_id", "guideline_id", begins("b").alias("piece"))
-    pieces = lines.join(bare.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "ord", F.explode(_pieces(C("a"), HELD_LENGTH)).alias("piece"))
-    keys = ("doc_id", "guideline_id", "ord")
-    return first.select(*keys).unionByName(pieces.join(bare, ["doc_id", "piece"]).select(*keys))
+def line_score(line: str, excerpt: str, words: list[str]) -> float:
+    """How well a line fits an excerpt with these words, both plain: by what share of the longer one is held, else by the share of the words in it; 0 if it does not."""
+    if len(line) >= HELD_LENGTH and line in excerpt:
+        return len(line) / len(excerpt) + LINE_HELD
+    if len(excerpt) >= HELD_LENGTH and excerpt in line:
+        return len(excerpt) / len(line) + EXCERPT_HELD
+    share = sum(w in line for w in words) / len(words) if len(words) >= LEAST_WORDS else 0.0
+    return share if share >= LEAST_SHARE else 0.0
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in text.split(" ") if len(w) > SHORT_WORD]
+
+
+class _Lines:
+    """The plain lines of one document, found by their words, by their beginnings and by given stretches of characters."""
+
+    def __init__(self, texts: list[str], stretches: set[str]):
+        self.of_token, self.of_gram, self.of_beginning, self.of_stretch = {}, {}, {}, {}
+        for i, text in enumerate(texts):
+            for token in set(_words(text)):
+                self.of_token.setdefault(token, []).append(i)
+            if len(text) >= HELD_LENGTH:
+                self.of_beginning.setdefault(text[:HELD_LENGTH], []).append(i)
+            for k in range(len(text) - HELD_LENGTH + 1) if stretches else ():
+                if text[k : k + HELD_LENGTH] in stretches:
+                    self.of_stretch.setdefault(text[k : k + HELD_LENGTH], set()).add(i)
+        for token in self.of_token:
+            for gram in {token[k : k + GRAM] for k in range(len(token) - GRAM + 1)}:
+                self.of_gram.setdefault(gram, []).append(token)
+        self.of_word = {}
+
+    def holders(self, word: str) -> tuple[int, list[str]]:
+        """How many lines hold a word, and the tokens that do: a word is held in a line if it is held in one of its tokens, as it has no blank."""
+        if word not in self.of_word:
+            tokens = [t for t in self.of_gram.get(word[:GRAM], ()) if word in t]
+            self.of_word[word] = sum(len(self.of_token[t]) for t in tokens), tokens
+        return self.of_word[word]
+
+    def near(self, excerpt: str, words: list[str]) -> set[int]:
+        """Lines that may fit: those that hold one of the excerpt's rarest words, so many of these that a line without any of them holds too few; those whose
+        beginning the excerpt holds; and those that hold the beginning of an excerpt without words."""
+        found, left = set(), len(words)
+        for word in sorted(set(words), key=lambda w: (self.holders(w)[0], w)):
+            if left / len(words) < LEAST_SHARE:
+                break
+            found.update(i for t in self.holders(word)[1] for i in self.of_token[t])
+            left -= words.count(word)
+        for k in range(len(excerpt) - HELD_LENGTH + 1):
+            found.update(self.of_beginning.get(excerpt[k : k + HELD_LENGTH], ()))
+        return found if words else found | self.of_stretch.get(excerpt[:HELD_LENGTH], set())
+
+
+def _best_of_document(excerpts, lines, schema):
+    """The best lines of one document's excerpts, from and to Arrow tables."""
+    import pyarrow as pa
+
+    out = []
+    if excerpts.num_rows and lines.num_rows:
+        own, asked = lines.to_pylist(), excerpts.to_pylist()
+        index = _Lines([x["a"] for x in own], {e["b"][:HELD_LENGTH] for e in asked if len(e["b"]) >= HELD_LENGTH and not _words(e["b"])})
+        for e in asked:
+            words = _words(e["b"])
+            scored = ((line_score(own[i]["a"], e["b"], words), own[i]) for i in index.near(e["b"], words))
+            best = sorted(((-score, x["ord"], x["page"]) for score, x in scored if score > 0), key=lambda x: x[:2])
+            near = [(n, score) for score, n, page in best if page == best[0][2] and -score >= -best[0][0] * NEAR_BEST]
+            out += [(e["doc_id"], e["guideline_id"], n, -score, k + 1) for k, (n, score) in enumerate(near[:MOST_LINES])]
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
 def best_lines(guidelines: DataFrame, lines: DataFrame) -> DataFrame:
     """The lines of a document that fit an excerpt best: doc_id, guideline_id, ord, score, n (1 for the best).
 
     guidelines: doc_id, guideline_id, excerpt; lines: doc_id, ord, page, text.  Lines on the page of the best one count, of at least 0.7 of its score and
-    at most four; of equals the earlier.  A line is scored only if it shares one of the excerpt's rarest words or 16 characters with it, so a
-    document's lines and guidelines are never all paired.  Null and empty texts fit nothing; a null document has no lines.
+    at most four; of equals the earlier.  Lines and excerpts are shuffled once, by document, and a document's lines are indexed in its task: a line is scored
+    only if it shares one of the excerpt's rarest words or 16 characters with it, so a document's lines and guidelines are never all paired.  Null and empty
+    texts fit nothing; a null document has no lines.
     """
-    excerpts = guidelines.select("doc_id", "guideline_id", plain(C("excerpt")).alias("b")).where("b <> ''")
-    own = lines.select("doc_id", "ord", "page", plain(C("text")).alias("a")).where("a <> ''")
-    found = _sharing_words(own, excerpts).unionByName(_held(own, excerpts)).distinct()
-    scored = found.join(own, ["doc_id", "ord"]).join(excerpts, ["doc_id", "guideline_id"]).withColumn("score", line_score(C("a"), C("b"))).where("score > 0")
-    w = Window.partitionBy("doc_id", "guideline_id").orderBy(C("score").desc(), "ord")
-    best = scored.select("doc_id", "guideline_id", "ord", "score", "page", F.first(F.struct("page", "score")).over(w).alias("top"))
-    near = best.where(C("page").eqNullSafe(C("top.page")) & (C("score") >= C("top.score") * NEAR_BEST))
-    return near.select("doc_id", "guideline_id", "ord", "score", F.row_number().over(w).alias("n")).where(C("n") <= MOST_LINES)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, IntegerType, StructType
+
+    excerpts = guidelines.select("doc_id", "guideline_id", plain(C("excerpt")).alias("b")).where("doc_id IS NOT NULL AND b <> ''")
+    own = lines.select("doc_id", "ord", "page", plain(C("text")).alias("a")).where("doc_id IS NOT NULL AND ord IS NOT NULL AND a <> ''")
+    found = StructType([*excerpts.schema.fields[:2], own.schema["ord"]]).add("score", DoubleType()).add("n", IntegerType())
+    schema = to_arrow_schema(found)
+    return excerpts.groupBy("doc_id").cogroup(own.groupBy("doc_id")).applyInArrow(lambda e, a: _best_of_document(e, a, schema), found)
 
 
 def _unions(placed: DataFrame) -> DataFrame:
@@ -112,13 +135,14 @@ def guideline_lines(guidelines: DataFrame, lines: DataFrame, pages: DataFrame) -
     A page that a guideline has stays, else its first line's counts.
     """
     keys = ["doc_id", "guideline_id"]
+    guidelines = stage(guidelines, "guidelines")
     at = ("page", "x", "y", "width", "height")
     named = guidelines.select(*keys, F.posexplode("line_ids").alias("n", "line_id"))
     last = lines.join(named.select("doc_id", "line_id").distinct(), ["doc_id", "line_id"], "left_semi").groupBy("doc_id", "line_id").agg(F.max_by(F.struct(*at), "ord").alias("at"))
     by_id = _unions(named.join(last, ["doc_id", "line_id"]).select(*keys, "n", "line_id", "at.*"))
     left = guidelines.join(by_id, keys, "left_anti").select(*keys, F.coalesce(F.when(C("source_text") != "", C("source_text")), C("text")).alias("excerpt"))
     by_text = _unions(best_lines(left, lines).join(lines.select("doc_id", "ord", "line_id", *at), ["doc_id", "ord"]))
-    found = by_id.withColumn("source", F.lit("ids")).unionByName(by_text.withColumn("source", F.lit("text")))
+    found = stage(by_id.withColumn("source", F.lit("ids")).unionByName(by_text.withColumn("source", F.lit("text"))), "found")
     stated = F.when(C("page") != 0, C("page"))
     own = guidelines.join(found, keys, "left_anti").select(*keys, stated.alias("stated"), F.posexplode("rects").alias("n", "r")).select(*keys, "n", F.coalesce(F.when(C("r.page") != 0, C("r.page")), "stated", F.lit(1)).alias("page"), "r")
     sizes = pages.groupBy("doc_id", "page").agg(F.max(F.struct("width", "height")).alias("size"))
