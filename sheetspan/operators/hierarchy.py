@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
+from ..workspace import stage
 from .spatial import box_pairs, of_type
 
 C = F.col
@@ -124,14 +125,15 @@ def scale_of_page(lines: DataFrame) -> DataFrame:
     first.  Ties go to the earlier line; pages without a ratio are left out; null texts say nothing."""
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))
     text = F.coalesce("text", F.lit(""))
-    read = lines.select(
-        "page_id", place.alias("at"), "bbox", F.coalesce("confidence", F.lit(0.0)).alias("conf"), F.lower(text).contains("scale").alias("named"),
-        t.parse_scale(text).alias("ratio"), t.parse_paper(text).alias("paper"), t.clean_scale_text(text).rlike(r"(?i)1\s*:\s*\d{1,5}\s*@\s*(iso\s*)?[ab][0-5]\b").alias("both"),
-    ).where("named OR ratio IS NOT NULL OR paper IS NOT NULL")
+    said = lines.select(
+        "page_id", place.alias("at"), "bbox", F.coalesce("confidence", F.lit(0.0)).alias("conf"), F.lower(text).contains("scale").alias("named"), t.read_scale(text).alias("s")
+    )
+    read = said.select("page_id", "at", "bbox", "conf", "named", "s.ratio", "s.paper", "s.both").where("named OR ratio IS NOT NULL OR paper IS NOT NULL")
+    read = stage(read, "scales")
     words = read.where("named").select("page_id", "at", "bbox")
     tokens = read.where("ratio IS NOT NULL OR paper IS NOT NULL")
     labelled = nearby(tokens.select("page_id", "at", "bbox"), words).select("page_id", C("a_at").alias("at")).distinct().withColumn("labelled", F.lit(True))
-    tokens = tokens.join(labelled, ["page_id", "at"], "left").withColumn("labelled", C("named") | C("labelled").isNotNull())
+    tokens = stage(tokens.join(labelled, ["page_id", "at"], "left").withColumn("labelled", C("named") | C("labelled").isNotNull()), "tokens")
     ratios, papers = tokens.where("ratio IS NOT NULL"), tokens.where("paper IS NOT NULL")
     middle = lambda p, a, s: C(f"{p}_bbox")[a] + C(f"{p}_bbox")[s] / 2
     apart = F.sqrt(F.pow(middle("a", "x", "width") - middle("b", "x", "width"), 2) + F.pow(middle("a", "y", "height") - middle("b", "y", "height"), 2)) / 40
