@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
+from ..workspace import stage
 from .entrances import UNIT_WORD
 from .spatial import box_pairs
 
@@ -82,6 +83,8 @@ def type_hits(lines: DataFrame) -> DataFrame:
         "page_id", "ord", "bbox", "label", "token", "beds", "beds_unit", "named", "unit", F.row_number().over(order).alias("at"), F.last("unit", ignorenulls=True).over(order).alias("known"),
         F.last(event, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("waits"), F.last("unit", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final"),
     )
+    # Lines that say nothing give no hit; the others are read four times.
+    scan = stage(scan.where("label OR token IS NOT NULL OR unit IS NOT NULL OR beds IS NOT NULL OR named IS NOT NULL"), "type_lines")
     waited = F.when(C("waits") & ~C("label"), C("token"))
     count = F.when(C("beds").isNotNull(), C("beds")).when(C("named").isNotNull(), C("named")).otherwise(waited)
     read_hits = scan.select("page_id", F.when(C("beds").isNotNull(), C("beds_unit")).otherwise(C("known")).alias("unit"), count.alias("bedrooms")).where("bedrooms IS NOT NULL")
