@@ -140,6 +140,8 @@ def text_matches(lines: DataFrame) -> DataFrame:
     boxed = own.where(b.isNotNull()).select("page_id", "r", g.expand(b, reach).alias("wide"))
     side = lambda df, p: df.select("page_id", C("r").alias(p), C("wide").alias(f"{p}box"))
     pairs = box_pairs(side(boxed, "a"), side(boxed, "b"), "abox", "bbox").where("a.line_id < b.line_id")
+    # Every rule wants a row or a key in common.
+    pairs = pairs.where(_same_row(C("a"), C("b")) | (C("a.key") == C("b.key")))
     near = pairs.where(one_instance(C("a"), C("b")) | repeated(C("a"), C("b")) | continued(C("a"), C("b"))).select("page_id", C("a.line_id").alias("a"), C("b.line_id").alias("b"))
     # Each line without a box meets the others of its key through the smallest of them that has none.
     keyed = own.where("key <> ''").select("page_id", "key", "line_id", b.isNull().alias("bare"))

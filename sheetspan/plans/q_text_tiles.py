@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import text_tiles
+from ..workspace import stage
 from .fixtures import views
 from .q_graph import _closure
 from .registry import query
@@ -91,7 +92,7 @@ f AS (SELECT component, page_id, parts, i, text, plain, key, confidence, x, y, w
     greatest(s.x + s.w, m.x + m.w) - least(s.x, m.x) AS w, greatest(s.y + s.h, m.y + m.h) - least(s.y, m.y) AS h FROM f s JOIN ms m ON m.component = s.component AND m.i = s.i + 1) z)
 SELECT page_id, component AS line_id, text, round(confidence, 6) AS confidence, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, parts FROM f WHERE i = parts""")
 def h5_merged_text(spark, sf_dir):
-    lines = _readings(spark, sf_dir)
+    lines = stage(_readings(spark, sf_dir), "readings")
     found = text_tiles.merge_text(lines, text_tiles.text_matches(lines))
     r = lambda c, name: F.round(C(c), 6).alias(name)
     return found.select("page_id", "line_id", "text", r("confidence", "confidence"), r("bbox.x", "x"), r("bbox.y", "y"), r("bbox.width", "w"), r("bbox.height", "h"), "parts")
