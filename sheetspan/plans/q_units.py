@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import spatial, units
-from .fixtures import entities, views
+from .fixtures import kept_entities, views
 from .q_graph import _closure
 from .q_spatial import CENTRED, COMMON, UNIT_ROOMS
 from .registry import query
@@ -46,7 +46,7 @@ un AS (SELECT page_id, component, list_sort(list(entity_id)) AS room_ids, round(
 SELECT page_id, concat('Unit ', row_number() OVER (PARTITION BY page_id ORDER BY mx, component)) AS label, component AS unit_id, corners, area, x, y, w, h, 0.55::DOUBLE AS confidence, array_to_string(room_ids, ',') AS room_ids, coalesce(array_to_string(entrance_ids, ','), '') AS entrance_ids
 FROM un JOIN hs USING (component) LEFT JOIN ent USING (component)""")
 def h3_inferred_units(spark, sf_dir):
-    found = units.infer_units(entities(spark, sf_dir))
+    found = units.infer_units(kept_entities(spark, sf_dir))
     ids = lambda c: F.array_join(C(c).cast("array<string>"), ",").alias(c)
     return found.select(
         "page_id", "label", "unit_id", F.size("points").cast("long").alias("corners"), F.round(g.poly_area(C("points")), 4).alias("area"), "bbox.x", "bbox.y", C("bbox.width").alias("w"), C("bbox.height").alias("h"),
