@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import filters, policy, spatial
-from .fixtures import entities, views
+from ..workspace import stage
+from .fixtures import entities, kept_entities, views
 from .q_spatial import CENTRED, ROOMS, UNIT_ROOMS, room_graph
 from .registry import query
 
@@ -75,7 +76,7 @@ units AS (SELECT e.page_id, e.entity_id AS unit_id, e.label, p.ppm, coalesce(bed
 
 
 def units(spark, sf_dir):
-    df = entities(spark, sf_dir)
+    df = kept_entities(spark, sf_dir)
     return policy.unit_measures(df, spatial.unit_rooms(df), views(spark, sf_dir, "d_pages"))
 
 
@@ -108,8 +109,8 @@ def p7_min_open_space(spark, sf_dir):
 SELECT page_id, CAST(room_id AS VARCHAR) AS unit_id, 'BED' AS rule_code, CASE WHEN m2 >= 9 AND side >= 2.5 THEN 'pass' ELSE 'fail' END AS result, m2 AS measured, 9::DOUBLE AS required, 0.8::DOUBLE AS confidence FROM beds
 UNION ALL SELECT {_SHAPE.format("BED", "'not_applicable'", "NULL", "NULL")} WHERE ppm > 0 AND bedrooms = 0""")
 def p8_min_bedroom(spark, sf_dir):
-    df, pages = entities(spark, sf_dir), views(spark, sf_dir, "d_pages")
-    contained = spatial.unit_rooms(df)
+    df, pages = kept_entities(spark, sf_dir), stage(views(spark, sf_dir, "d_pages").select("page_id", "ppm"), "pages")
+    contained = stage(spatial.unit_rooms(df).select("page_id", "unit_id", "room_id", "room_label"), "contained")
     rooms = policy.rooms_of(df).join(contained.select("room_id").distinct(), "room_id").where(t.room_kind(C("label")) == "bedroom").join(pages.select("page_id", "ppm"), "page_id")
     beds = rooms.select("page_id", "room_id", "ppm", F.round(g.area_m2(C("area_px"), C("ppm")), 6).alias("area_m2"), F.round(g.len_m(g.min_width(C("points")), C("ppm")), 6).alias("side_m"))
     return policy.min_bedroom(_apt(spark), beds, policy.unit_measures(df, contained, pages))
