@@ -63,15 +63,23 @@ def door_reach(edges: DataFrame) -> DataFrame:
 
 def cross_ventilation(rooms: DataFrame, edges: DataFrame) -> DataFrame:
     """H7: whether a unit has two windowed rooms in one door component; false with fewer than two."""
+    edges = stage(edges.select("kind", "from_id", "to_id"), "openings")
     lit = edges.where("kind = 'exterior_window'").select(F.col("from_id").alias("room_id")).distinct()
     own = rooms.where("unit_id IS NOT NULL").join(door_reach(edges), "room_id", "left").withColumn("reach", F.coalesce("reach", "room_id"))
     per = own.join(lit.withColumn("lit", F.lit(1)), "room_id", "left").groupBy("unit_id", "reach").agg(F.count("lit").alias("windowed"))
     return per.groupBy("unit_id").agg((F.max("windowed") >= 2).alias("cross_ventilated"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """room_id, other: every edge from either end, in one pass over the edges."""
+    end = lambda a, b: F.struct(F.col(a).alias("room_id"), F.col(b).alias("other"))
+    return edges.select(F.inline(F.array(end("from_id", "to_id"), end("to_id", "from_id"))))
+
+
 def room_ego(rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
     """H8: each room's numbers of wall neighbours, door neighbours and windows."""
-    both = lambda e, name: e.select(F.col("from_id").alias("room_id"), F.col("to_id").alias("other")).union(e.select("to_id", "from_id")).groupBy("room_id").agg(F.countDistinct("other").alias(name))
+    openings = stage(openings.select("kind", "from_id", "to_id"), "openings")
+    both = lambda e, name: both_ways(e).groupBy("room_id").agg(F.countDistinct("other").alias(name))
     windows = openings.where("kind = 'exterior_window'").groupBy(F.col("from_id").alias("room_id")).agg(F.count("*").alias("windows"))
     out = rooms.select("page_id", "room_id").join(both(walls, "neighbours"), "room_id", "left")
     out = out.join(both(openings.where("kind = 'door'"), "doors"), "room_id", "left").join(windows, "room_id", "left")
