@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
+from ..workspace import stage
+from .graph import both_ways
 
 C = F.col
 #: The trained classes, in the order of their ids.
@@ -124,7 +126,7 @@ def unit_wall_counts(rooms: DataFrame, touches: DataFrame) -> DataFrame:
 
 def room_properties(rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
     """Each room's neighbours' labels (of its own unit first, then by label) and openings by kind."""
-    both = walls.select(C("from_id").alias("room_id"), C("to_id").alias("other")).union(walls.select("to_id", "from_id"))
+    both = both_ways(walls)
     side = rooms.select(C("room_id").alias("other"), C("label").alias("other_label"), C("unit_id").alias("other_unit"))
     near = both.join(rooms.select("room_id", "unit_id"), "room_id").join(side, "other")
     key = F.struct((~C("unit_id").eqNullSafe(C("other_unit"))).alias("apart"), C("other_label"), C("other"))
@@ -150,8 +152,8 @@ def resolve_scale(pages: DataFrame, lines: DataFrame, manual: DataFrame) -> Data
     from ..functions import scale
 
     w, h = C("width_px"), C("height_px")
-    ratio, paper = t.parse_scale(C("text")), t.parse_paper(C("text"))
-    read = lines.select("page_id", "ord", ratio.alias("ratio"), paper.alias("paper"))
+    read = lines.select("page_id", "ord", t.read_scale(C("text")).alias("s")).select("page_id", "ord", "s.ratio", "s.paper")
+    read = stage(read.where("ratio IS NOT NULL OR paper IS NOT NULL"), "scales")
     page_paper = read.where("paper IS NOT NULL").groupBy("page_id").agg(F.min_by("paper", "ord").alias("page_paper"))
     hits = read.where("ratio IS NOT NULL").join(page_paper, "page_id", "left").join(pages, "page_id")
     texts = hits.select(

@@ -10,7 +10,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import labels, rollup, spatial
 from ..workspace import table
-from .fixtures import entities, views
+from .fixtures import entities, kept_entities, views
 from .q_columns import AREA
 from .q_spatial import CENTRED, OPENINGS, ROOMS, UNIT_ROOMS, WALLS, _vertex_to_box, inside, rects, room_graph
 from .q_text import policy_lines
@@ -62,14 +62,14 @@ def j24_invented_numbers(spark, sf_dir):
 @query(f"""WITH c_entities AS {CENTRED}, {UNIT_ROOMS}, u AS (SELECT room_id, arg_max(unit_id, unit_ord) AS unit_id FROM u_rooms GROUP BY 1)
 SELECT e.page_id, e.entity_id, e.label, u.unit_id, round({AREA} / (ppm * ppm), 6) AS area_m2, status = 'predicted' AS review FROM d_entities e JOIN d_pages USING (page_id) LEFT JOIN u ON u.room_id = e.entity_id WHERE e.type = 'room'""")
 def j29_space_records(spark, sf_dir):
-    df = entities(spark, sf_dir)
+    df = kept_entities(spark, sf_dir)
     return labels.space_records(spatial.of_type(df, "room"), spatial.unit_rooms(df).select("room_id", "unit_id", "unit_ord"), views(spark, sf_dir, "d_pages"))
 
 
 @query(f"""WITH e AS {CENTRED}, p AS (SELECT o.entity_id, r.entity_id AS room_id, row_number() OVER (PARTITION BY o.entity_id ORDER BY greatest(1, r.w * r.h), r.ord) AS n FROM e o JOIN e r ON r.page_id = o.page_id AND r.type = 'room' AND o.cx BETWEEN r.x - 24 AND r.x + r.w + 24 AND o.cy BETWEEN r.y - 24 AND r.y + r.h + 24 WHERE o.type IN ('door', 'window'))
 SELECT o.page_id, o.entity_id, CASE WHEN o.type = 'window' THEN 'window' WHEN o.label = 'Main Door' THEN 'unit_entrance' ELSE 'internal_room_door' END AS opening, p.room_id FROM d_entities o LEFT JOIN p ON p.entity_id = o.entity_id AND p.n = 1 WHERE o.type IN ('door', 'window')""")
 def j29_opening_records(spark, sf_dir):
-    df = entities(spark, sf_dir)
+    df = kept_entities(spark, sf_dir)
     return labels.opening_records(spatial.of_type(df, "door", "window"), spatial.opening_room(df))
 
 
@@ -83,9 +83,10 @@ def a19_evidence_ids(spark, sf_dir):
 @query(f"""WITH {ROOMS}, ext AS (SELECT DISTINCT r.entity_id FROM d_entities r JOIN d_entities s ON s.page_id = r.page_id AND s.label = 'External Wall' WHERE r.type = 'room' AND {_vertex_to_box("(r.x + r.w / 2)", "(r.y + r.h / 2)", "s")} <= 24)
 SELECT r.page_id, coalesce(CAST(unit_id AS VARCHAR), unit_label, 'unassigned') AS unit, count(*) AS internal, count(ext.entity_id) AS external FROM g_rooms r LEFT JOIN ext ON ext.entity_id = r.room_id GROUP BY 1, 2""")
 def a20_unit_wall_counts(spark, sf_dir):
-    df = rects(entities(spark, sf_dir))
+    own = kept_entities(spark, sf_dir)
+    df = rects(own)
     touches = spatial.touches_external(spatial.of_type(df, "room"), spatial.of_type(df, "wall"))
-    return labels.unit_wall_counts(room_graph(spark, sf_dir)[0], touches)
+    return labels.unit_wall_counts(room_graph(spark, sf_dir, own)[0], touches)
 
 
 @query(f"""WITH {ROOMS}, {WALLS}, {OPENINGS}, b AS (SELECT from_id AS a, to_id AS b FROM walls UNION ALL SELECT to_id, from_id FROM walls), n AS (SELECT b.a AS room_id, string_agg(o.label, ', ' ORDER BY coalesce(r.unit_id, -1) <> coalesce(o.unit_id, -1), o.label, o.room_id) AS neighbours FROM b JOIN g_rooms r ON r.room_id = b.a JOIN g_rooms o ON o.room_id = b.b GROUP BY 1),
