@@ -85,8 +85,10 @@ def hulls(shapes: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """keys, hull: around the points of all shapes (keys, points) of a group.  Hulls of shapes are merged by hashes of shapes first, so a group of any size
     brings few points to one task."""
     one = shapes.select(*keys, hull(C("points")).alias("points"))
-    salted = one.groupBy(*keys, F.pmod(F.xxhash64("points"), F.lit(salts)).alias("_salt")).agg(hull(F.flatten(F.collect_set("points"))).alias("points"))
-    return salted.groupBy(*keys).agg(hull(F.flatten(F.collect_list("points"))).alias("hull"))
+    of_all = F.when(F.size("all") == 1, F.get("all", F.lit(0))).otherwise(hull(F.flatten("all")))
+    salted = one.groupBy(*keys, F.pmod(F.xxhash64("points"), F.lit(salts)).alias("_salt")).agg(F.collect_set("points").alias("all"))
+    merged = salted.select(*keys, of_all.alias("points")).groupBy(*keys).agg(F.collect_list("points").alias("all"))
+    return merged.select(*keys, of_all.alias("hull"))
 
 
 def infer_units(entities: DataFrame, pad: float = 24.0) -> DataFrame:
