@@ -56,35 +56,33 @@ def label_rooms_from_text(rooms: DataFrame, seeds: DataFrame) -> DataFrame:
     category or both are open-plan, and then lists both; else the seed is left without.  One ordered fold goes over the seeds of a page.
     """
     generic = lambda c: F.lower(F.trim(c)).isin("room", "space", "area") | F.lower(F.trim(c)).startswith("room ")
-    s = seeds.select(
-        "page_id", "seed_id", C("label").alias("name"), C("unit_id").alias("seed_unit"), "x", "y", t.room_category(C("label")).alias("category"),
-        t.open_plan_kinds(C("label")).alias("kinds"), g.expand(_at("x", "y"), MOST - OUTSIDE).alias("sbox"),
+    turn = F.struct(F.when(C("label").rlike(r"\b\d+\b"), 0).otherwise(1).alias("plain"), C("label").alias("name"), "seed_id", C("said.kinds").alias("kinds"))
+    s = seeds.withColumn("said", t.room_said(C("label"))).select("page_id", turn.alias("turn"), C("unit_id").alias("seed_unit"), "x", "y", "said.category")
+    r = rooms.withColumn("said", t.room_said(C("label"))).select(
+        "page_id", "room_id", C("ord").alias("room_ord"), C("unit_id").alias("room_unit"), "points", g.centroid(C("points")).alias("c"), g.expand(g.bbox_of(C("points")), 1.0).alias("rbox"),
+        C("said.category").alias("old_category"), C("said.kinds").alias("old_kinds"), generic(C("label")).alias("generic"),
     )
-    r = rooms.select(
-        "page_id", "room_id", C("ord").alias("room_ord"), C("label").alias("old"), C("unit_id").alias("room_unit"), "points", g.centroid(C("points")).alias("c"),
-        t.room_category(C("label")).alias("old_category"), t.open_plan_kinds(C("label")).alias("old_kinds"),
-    ).withColumn("rbox", g.bbox_of(F.concat("points", F.array("c"))))
+    # Seeds and rooms meet by page, as the fold needs them; what is cheap to test comes first.
     own_unit = C("seed_unit").isNull() | F.coalesce(C("seed_unit") == C("room_unit"), F.lit(False))
-    pairs = box_pairs(s, r, "sbox", "rbox", 2 * MOST).where(own_unit)
-    inside = g.point_in_poly(C("x"), C("y"), C("points"))
+    around = g.in_box(C("x"), C("y"), C("rbox"))
+    pairs = s.join(r, "page_id").where(own_unit & (around | ~C("category").isin(*INSIDE)))
     away = F.hypot(C("x") - C("c.x"), C("y") - C("c.y"))
-    cost = F.round(F.when(C("inside"), away).when(~C("category").isin(*INSIDE), away + OUTSIDE), 6)
-    together = (F.size("kinds") > 0) & (F.size("old_kinds") > 0)
-    fits = generic(C("old")) | (C("category") == C("old_category")) | together
-    label = F.when(together, F.coalesce(t.open_plan_label(F.array_union("kinds", "old_kinds")), C("name"))).otherwise(C("name"))
-    found = pairs.withColumn("inside", inside).withColumn("cost", cost).where(C("cost") <= MOST)
-    turn = F.struct(F.when(C("name").rlike(r"\b\d+\b"), 0).otherwise(1).alias("plain"), "name", "seed_id")
-    option = F.struct("cost", "room_ord", "room_id", fits.alias("fits"), label.alias("label"), F.coalesce("room_unit", "seed_unit").alias("unit_id"))
-    options = found.groupBy("page_id", turn.alias("turn")).agg(F.array_sort(F.collect_list(option)).alias("options"))
-    pages = options.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("turn", "options"))).alias("seeds"))
+    cost = F.round(F.when(around & g.point_in_poly(C("x"), C("y"), C("points")), away).when(~C("category").isin(*INSIDE), away + OUTSIDE), 6)
+    together = (F.size("turn.kinds") > 0) & (F.size("old_kinds") > 0)
+    fits = C("generic") | (C("category") == C("old_category")) | together
+    option = F.struct("cost", "room_ord", "room_id", fits.alias("fits"), F.when(together, C("old_kinds")).alias("kinds"), F.coalesce("room_unit", "seed_unit").alias("unit_id"))
+    found = pairs.withColumn("cost", cost).where(C("cost") <= MOST)
+    options = found.groupBy("page_id", "turn").agg(F.sort_array(F.collect_list(option)).alias("options"))
+    pages = options.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("turn", "options"))).alias("seeds"))
 
     def take(kept: Column, seed: Column) -> Column:
         free = F.get(F.filter(seed["options"], lambda o: ~F.exists(kept, lambda k: k["o"]["room_id"] == o["room_id"])), F.lit(0))
-        return F.when(free["fits"], F.concat(kept, F.array(F.struct(seed["turn"]["seed_id"].alias("seed_id"), free.alias("o"))))).otherwise(kept)
+        return F.when(free["fits"], F.concat(kept, F.array(F.struct(seed["turn"].alias("turn"), free.alias("o"))))).otherwise(kept)
 
-    none = F.transform(F.slice("seeds", 1, 0), lambda x: F.struct(x["turn"]["seed_id"].alias("seed_id"), x["options"][0].alias("o")))
+    none = F.transform(F.slice("seeds", 1, 0), lambda x: F.struct(x["turn"].alias("turn"), x["options"][0].alias("o")))
     out = pages.select("page_id", F.inline(F.aggregate("seeds", none, take)))
-    return out.select("page_id", "seed_id", "o.room_id", "o.label", "o.unit_id")
+    label = F.when(C("o.kinds").isNotNull(), F.coalesce(t.open_plan_label(F.array_union("turn.kinds", "o.kinds")), C("turn.name"))).otherwise(C("turn.name"))
+    return out.select("page_id", "turn.seed_id", "o.room_id", label.alias("label"), "o.unit_id")
 
 
 def text_anchor_rooms(seeds: DataFrame, matched: DataFrame, rooms: DataFrame, radius: float = 36.0) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import room_text, spatial
 from ..workspace import stage
-from .fixtures import entities, views
+from .fixtures import kept, views
 from .q_graph import _closure
 from .q_spatial import rects
 from .registry import query
@@ -23,29 +23,28 @@ _NEAR = """op AS (SELECT sd.*, CASE WHEN sd.unit_id IS NULL THEN 96 ELSE greates
 ne AS (SELECT a.seed_id AS a, b.seed_id AS b FROM op a JOIN op b ON a.page_id = b.page_id AND a.unit_id IS NOT DISTINCT FROM b.unit_id AND a.seed_id < b.seed_id AND sqrt((a.px - b.px) ^ 2 + (a.py - b.py) ^ 2) <= a.radius), nd AS (SELECT seed_id AS n FROM op)"""
 
 
-def _in_units(spark, sf_dir, points):
-    """points (page_id, id, x, y) with the smallest unit around each."""
-    units = spatial.of_type(rects(entities(spark, sf_dir)), "unit_boundary")
-    held = spatial.seed_unit(points.select("page_id", C("id").alias("seed_id"), C("x").alias("sx"), C("y").alias("sy")), units, -1.0)
-    return points.join(held.select(C("seed_id").alias("id"), "unit_id"), "id"), units.select("page_id", C("entity_id").alias("unit_id"), "points")
+def _units(df):
+    return stage(spatial.unit_rings(spatial.of_type(rects(df), "unit_boundary")), "units")
 
 
-def _seeds(spark, sf_dir):
-    lines = views(spark, sf_dir, "d_name_lines").select("page_id", C("ord").alias("id"), t.ocr_room_label(C("text")).alias("label"), (C("x") + C("w") / 2).alias("x"), (C("y") + 7).alias("y"))
-    found, units = _in_units(spark, sf_dir, stage(lines, "names"))  # written: what follows names the label very often
-    return found.withColumnRenamed("id", "seed_id"), units
+def _seeds(spark, sf_dir, df, units):
+    """Names in the text, each with the smallest unit around it; df: d_entities, written."""
+    lines = views(spark, sf_dir, "d_name_lines", df).select("page_id", C("ord").alias("id"), t.ocr_room_label(C("text")).alias("label"), (C("x") + C("w") / 2).alias("x"), (C("y") + 7).alias("y"))
+    return spatial.unit_around(stage(lines, "names"), units).withColumnRenamed("id", "seed_id")  # written: what follows names the label very often
 
 
-def _rooms(spark, sf_dir):
-    own = spatial.of_type(rects(entities(spark, sf_dir)), "room").select("page_id", C("entity_id").alias("id"), "ord", "label", "points", (C("x") + C("w") / 2).alias("x"), (C("y") + C("h") / 2).alias("y"))
-    return _in_units(spark, sf_dir, own)[0].drop("x", "y").withColumnRenamed("id", "room_id")
+def _rooms(df, units):
+    own = spatial.of_type(rects(df), "room").select("page_id", C("entity_id").alias("id"), "ord", "label", "points", (C("x") + C("w") / 2).alias("x"), (C("y") + C("h") / 2).alias("y"))
+    return spatial.unit_around(own, units).drop("x", "y").withColumnRenamed("id", "room_id")
 
 
 @query(f"""WITH {_SEEDS}, {_NEAR}, {_closure("nd", "ne")}, k AS (SELECT op.*, component, count(*) OVER (PARTITION BY component) AS merged, bool_or(label = 'Open Living') OVER (PARTITION BY component) AS l, bool_or(label <> 'Open Living') OVER (PARTITION BY component) AS kd FROM op JOIN low ON low.node = op.seed_id)
 SELECT page_id, seed_id, label, unit_id, round(px, 6) AS x, round(py, 6) AS y, 1 AS merged FROM sd WHERE seed_id NOT IN (SELECT seed_id FROM op) UNION ALL
 SELECT page_id, component, CASE WHEN l AND kd THEN 'Living / Dining / Kitchen' WHEN l THEN 'Open Living' ELSE 'Kitchen / Dining' END, min(unit_id), round(avg(px), 6), round(avg(py), 6), max(merged) FROM k GROUP BY page_id, component, l, kd""")
 def h12_open_plan_clusters(spark, sf_dir):
-    found = room_text.cluster_open_plan(*_seeds(spark, sf_dir))
+    df = kept(spark, sf_dir)
+    units = _units(df)
+    found = room_text.cluster_open_plan(_seeds(spark, sf_dir, df, units), units.select("page_id", "unit_id", C("ring").alias("points")))
     return found.select("page_id", "seed_id", "label", "unit_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "merged")
 
 
@@ -63,13 +62,17 @@ ma AS (SELECT page_id, seed_id, o.room_id AS room_id, o."label" AS label, o.unit
 
 @query(f"WITH RECURSIVE {_MATCHED} SELECT * FROM ma")
 def j12_rooms_named_by_text(spark, sf_dir):
-    return room_text.label_rooms_from_text(_rooms(spark, sf_dir), _seeds(spark, sf_dir)[0])
+    df = kept(spark, sf_dir)
+    units = _units(df)
+    return room_text.label_rooms_from_text(_rooms(df, units), _seeds(spark, sf_dir, df, units))
 
 
 @query(f"""WITH RECURSIVE {_MATCHED}, nw AS (SELECT rm.page_id, rm.x, rm.y, rm.w, rm.h, coalesce(ma.unit_id, rm.unit_id) AS unit_id, coalesce(ma.label, rm.label) AS label FROM rm LEFT JOIN ma USING (room_id))
 SELECT page_id, seed_id, label, unit_id, round(px - 36, 6) AS x, round(py - 36, 6) AS y, 5184::DOUBLE AS area FROM sd WHERE unit_id IS NOT NULL AND seed_id NOT IN (SELECT seed_id FROM ma) AND NOT (label IN ('Kitchen / Dining', 'Open Living') AND EXISTS (
   SELECT 1 FROM nw WHERE nw.page_id = sd.page_id AND nw.unit_id = sd.unit_id AND nw.label IN ('Open Living', 'Kitchen / Dining', 'Living / Dining / Kitchen') AND sd.px >= nw.x AND sd.px < nw.x + nw.w AND sd.py >= nw.y AND sd.py < nw.y + nw.h))""")
 def j13_anchor_rooms(spark, sf_dir):
-    rooms, seeds = stage(_rooms(spark, sf_dir), "rooms"), stage(_seeds(spark, sf_dir)[0], "seeds")  # written, with the matches: all three are read twice
+    df = kept(spark, sf_dir)
+    units = _units(df)
+    rooms, seeds = stage(_rooms(df, units), "rooms"), stage(_seeds(spark, sf_dir, df, units), "seeds")  # written, with the matches: all three are read twice
     found = room_text.text_anchor_rooms(seeds, stage(room_text.label_rooms_from_text(rooms, seeds), "matches"), rooms)
     return found.select("page_id", "seed_id", "label", "unit_id", F.round(C("points")[0]["x"], 6).alias("x"), F.round(C("points")[0]["y"], 6).alias("y"), "area")
