@@ -34,7 +34,9 @@ def units_of_rooms(rooms: DataFrame, units: DataFrame) -> DataFrame:
     by_text = found(private.where(key != "").withColumn("key", key).join(units, ["page_id", "key"]), F.lit(2), F.lit(0.0))
     centre = private.where(F.size("room_points") > 0).withColumn("c", g.centroid(C("room_points")))
     centre = centre.withColumn("reach", g.bbox_of(F.concat("room_points", F.array("c"))))
-    held, share = g.point_in_poly(C("c.x"), C("c.y"), C("unit_points")), g.overlap_frac(C("room_box"), C("unit_box"))
+    # An outline is walked only where its box holds the centre.
+    held = g.in_box(C("c.x"), C("c.y"), g.expand(C("unit_box"), 1.0)) & g.point_in_poly(C("c.x"), C("c.y"), C("unit_points"))
+    share = g.overlap_frac(C("room_box"), C("unit_box"))
     near = box_pairs(units, centre.drop("unit_text"), "unit_box", "reach").withColumn("held", held).withColumn("part", share).where("held OR part >= 0.5")
     by_place = found(near, F.when(C("held"), 3).otherwise(4), F.when(C("held"), 0.0).otherwise(-C("part")))
     return by_id.unionByName(by_text).unionByName(by_place).groupBy("page_id", "room_id").agg(F.min_by("unit_id", "by").alias("unit_id"))
@@ -57,16 +59,17 @@ def hierarchy(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """
     plans = pages.where(F.coalesce("is_floor_plan", F.lit(True)))
     own = entities.where(~C("status").eqNullSafe("rejected")).join(plans.select("page_id", "ppm"), "page_id")
-    units = of_type(own, "unit_boundary").select(
+    # Units, rooms and objects are read several times, so each is written once.
+    units = stage(of_type(own, "unit_boundary").select(
         "page_id", C("entity_id").alias("unit_id"), C("ord").alias("unit_ord"), _named(C("label"), "Unit").alias("unit_label"), C("points").alias("unit_points"), g.bbox_of(C("points")).alias("unit_box"),
         C("confidence").alias("unit_confidence"), "ppm",
-    ).withColumn("key", t.unit_key(C("unit_label")))
-    rooms = of_type(own, "room").select(
+    ).withColumn("key", t.unit_key(C("unit_label"))), "units")
+    rooms = stage(of_type(own, "room").select(
         "page_id", C("entity_id").alias("room_id"), C("ord").alias("room_ord"), _named(C("label"), "Room").alias("room_label"), C("points").alias("room_points"), g.bbox_of(C("points")).alias("room_box"),
         t.is_common(C("label")).alias("common"), "unit_ref", "unit_text", C("confidence").alias("room_confidence"),
         F.coalesce("printed_m2", g.area_m2(g.poly_area(C("points")), C("ppm"))).alias("room_m2"),
-    )
-    placed = units_of_rooms(rooms, units.drop("ppm", "unit_confidence"))
+    ), "rooms")
+    placed = stage(units_of_rooms(rooms, units.drop("ppm", "unit_confidence")), "placed")
     with_units = units.select("page_id").distinct().withColumn("detected", F.lit(True))
     fallback = F.concat(F.lit("unit-fallback-"), C("page_id"))
     unit = F.when(C("common"), None).when(C("detected"), C("unit_id").cast("string")).otherwise(fallback)
@@ -88,7 +91,7 @@ def hierarchy(entities: DataFrame, pages: DataFrame) -> DataFrame:
     held = rooms.groupBy("page_id").agg(F.count("*").alias("n"))
     floors = _nodes(plans.join(held, "page_id", "left"), "floor", node_id=floor_id, parent_id=C("building_id"), rooms=stats["rooms"])
     room_rows = _nodes(homes, "room", node_id=C("room_id"), parent_id=F.coalesce("unit", floor_id), unit_id=C("unit"), label=C("room_label"), area_m2=F.round("room_m2", 6), confidence=C("room_confidence"))
-    objects = of_type(own, "door", "window", "fixture", "stair")
+    objects = stage(of_type(own, "door", "window", "fixture", "stair").select("page_id", "entity_id", "type", "label", "confidence", "points"), "objects")
     where = rooms_of_objects(objects, rooms).join(placed, ["page_id", "room_id"], "left").withColumnRenamed("object_id", "entity_id")
     things = objects.select("page_id", "entity_id", "type", "label", "confidence").join(where, ["page_id", "entity_id"], "left")
     object_rows = _nodes(things, "object", node_id=C("entity_id"), parent_id=F.coalesce(C("room_id").cast("string"), floor_id), unit_id=C("unit_id"), label=_named(C("label"), C("type")), confidence=C("confidence"))

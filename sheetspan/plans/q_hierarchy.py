@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import hierarchy
-from .fixtures import pentagon, views
+from .fixtures import kept, pentagon, views
 from .q_spatial import CENTRED, COMMON, inside
 from .registry import query
 
@@ -31,8 +31,9 @@ UNION ALL SELECT p.page_id, 'unit', concat('unit-fallback-', p.page_id), concat(
 UNION ALL SELECT page_id, 'room', CAST(entity_id AS VARCHAR), coalesce(unit, concat('floor-', page_id)), unit, label, round(m2, 6), NULL, NULL, NULL, confidence FROM h
 UNION ALL SELECT page_id, 'object', CAST(entity_id AS VARCHAR), coalesce(CAST(o.room_id AS VARCHAR), concat('floor-', page_id)), CAST(placed.unit_id AS VARCHAR), label, NULL, NULL, NULL, NULL, confidence FROM o LEFT JOIN placed ON placed.room_id = o.room_id WHERE i = 1""")
 def j28_hierarchy(spark, sf_dir):
-    pages = views(spark, sf_dir, "d_pages").select("page_id", "ppm", (C("page_id") % 9 != 0).alias("is_floor_plan"), F.concat(F.lit("building-"), C("page_id") % 5).alias("building_id"))
-    return hierarchy.hierarchy(pentagon(views(spark, sf_dir, "d_node_entities")), pages)
+    df = kept(spark, sf_dir)
+    pages = views(spark, sf_dir, "d_pages", df).select("page_id", "ppm", (C("page_id") % 9 != 0).alias("is_floor_plan"), F.concat(F.lit("building-"), C("page_id") % 5).alias("building_id"))
+    return hierarchy.hierarchy(pentagon(views(spark, sf_dir, "d_node_entities", df)), pages)
 
 
 _GAPS = """(NOT (a.boxed AND b.boxed) AND abs(a.pos - b.pos) <= 2 OR a.boxed AND b.boxed AND greatest(0, a.x - (b.x + b.w), b.x - (a.x + a.w)) <= 14 * 12 AND greatest(0, a.y - (b.y + 14), b.y - (a.y + 14)) <= 14 * 5)"""
