@@ -2,13 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..workspace import stage
 
-
-def components(edges: DataFrame, left: str = "a", right: str = "b", node: str = "node", component: str = "component") -> DataFrame:
+#: Edges of one page that a task holds at most.
+MOST = 1_000_000
+
+
+def _star(edges: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """u, v: every node of some edges with the smallest one that it reaches over them."""
+    up: dict = {}
+
+    def root(n):
+        while (m := up.setdefault(n, n)) != n:
+            up[n] = up[m]
+            n = m
+        return n
+
+    for u, v in zip(edges["u"].tolist(), edges["v"].tolist(), strict=True):
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    return pd.DataFrame({"u": list(up), "v": [root(n) for n in list(up)], "whole": whole})
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_star`` over batches sorted by page, page after page; one of more than MOST edges comes in parts that are not whole."""
+    rest = split = None
+    for batch in batches:
+        both = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(both):
+            continue
+        page = both["page"].to_numpy()
+        cut = int(np.argmax(page == page[-1]))
+        if cut:
+            yield _star(both.iloc[:cut], split != page[0])
+        rest = both.iloc[cut:].reset_index(drop=True)
+        if len(rest) > MOST:
+            split, rest = page[-1], None
+            yield _star(both.iloc[cut:], False)
+    if rest is not None:
+        yield _star(rest, split != rest["page"].iloc[0])
+
+
+def components(edges: DataFrame, left: str = "a", right: str = "b", node: str = "node", component: str = "component", page: str | None = None) -> DataFrame:
     """Component of every node that has an edge: the smallest node reachable from it.
 
     Rounds of large-star and small-star: every node points its larger neighbours at its smallest
@@ -16,8 +59,18 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", node: str =
     minimum of a neighbourhood is an aggregate with map-side combining).  Each round is written to
     the shared folder, and the loop ends when a round changes no edge.  Edges with a null end and
     loops are ignored; an empty table gives an empty table.
+
+    ``page`` names a column of edges none of which share a node with those of another page.  Each
+    page is then joined in its task, and there are rounds for pages of over MOST edges only.
     """
-    e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    e = edges.select(F.col(left).alias("u"), F.col(right).alias("v"), *([F.xxhash64(page).alias("page")] if page else [])).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    if page:
+        ends = [f for f in e.schema.fields if f.name != "page"]
+        stars = e.repartition("page").sortWithinPartitions("page").mapInPandas(_stars, StructType([*ends, StructField("whole", BooleanType())]))
+        stars = stage(stars, "stars")
+        if stars.where("NOT whole").isEmpty():
+            return stars.select(F.col("u").alias(node), F.col("v").alias(component))
+        e = stars.where("u <> v").select("u", "v")
     e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
@@ -47,13 +100,15 @@ def room_clusters(rooms: DataFrame, door_rooms: DataFrame) -> DataFrame:
 def merge_tiles(regions: DataFrame, pairs: DataFrame) -> DataFrame:
     """H4: one instance for each component of matching tile regions: the best region's attributes,
     the largest confidence, how many were stitched, and the union box."""
-    linked = components(pairs, node="region_id", component="instance")
-    own = regions.join(linked, "region_id", "left").withColumn("instance", F.coalesce("instance", "region_id"))
+    linked = components(pairs, node="region_id", component="instance", page="page_id")
+    own = stage(regions.select("page_id", "region_id", "type", "label", "confidence", "x", "y", "w", "h").join(linked, "region_id", "left"), "regions")
     best = F.struct("confidence", (-F.col("region_id")).alias("r"))
-    return own.groupBy("page_id", "instance").agg(
+    side = lambda at, size: (F.col(at) + F.col(size) - F.col(at)).alias(size)
+    alone = own.where("instance IS NULL").select("page_id", F.col("region_id").alias("instance"), "type", "label", "confidence", F.lit(1).cast("long").alias("stitched_from"), "x", "y", side("x", "w"), side("y", "h"))
+    return alone.unionByName(own.where("instance IS NOT NULL").groupBy("page_id", "instance").agg(
         F.max_by("type", best).alias("type"), F.max_by("label", best).alias("label"), F.max("confidence").alias("confidence"), F.count("*").alias("stitched_from"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
-    )
+    ))
 
 
 def door_reach(edges: DataFrame) -> DataFrame:
