@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..workspace import stage
 from .graph import components
 from .spatial import box_pairs
 
@@ -134,7 +135,7 @@ def text_matches(lines: DataFrame) -> DataFrame:
 
     Boxes meet over grid cells, each grown by as far as any rule reaches from it; readings without a box meet those of their page that
     have the same key."""
-    own = _known(lines).withColumn("r", F.struct(*_FIELDS))
+    own = _known(lines).withColumn("r", F.struct(*(f for f in _FIELDS if f != "confidence")))  # no rule asks for it
     b = C("bbox")
     reach = F.greatest(F.lit(18.0), 0.45 * b["width"], 0.9 * b["height"], 2.4 * F.greatest(_letter_width(C("r")), F.lit(4.0)))
     boxed = own.where(b.isNotNull()).select("page_id", "r", g.expand(b, reach).alias("wide"))
@@ -203,11 +204,12 @@ def merge_text(lines: DataFrame, matches: DataFrame) -> DataFrame:
 
     The readings of a component are put together from left to right (ties: the smaller line_id; those without a box first).  The fold runs over
     the readings of one component."""
-    own = _known(lines).withColumn("r", F.struct(*_FIELDS))
-    linked = components(matches, node="line_id", component="line")
-    parts = own.join(linked, "line_id", "left").select("page_id", F.coalesce("line", "line_id").alias("line"), F.struct(F.coalesce(C("bbox.x"), F.lit(0.0)).alias("x"), "line_id", "r").alias("o"))
-    grouped = parts.groupBy("page_id", "line").agg(F.array_sort(F.collect_list("o")).alias("o"), F.count("*").alias("parts"))
+    linked = components(matches, node="line_id", component="line", page="page_id")
+    own = _known(lines).select("page_id", "line_id", "text", "confidence", "bbox", "cuts")
+    parts = stage(own.join(linked, "line_id", "left"), "parts")  # written: readings that match none are not grouped
+    some = _known(parts.where("line IS NOT NULL")).withColumn("r", F.struct(*_FIELDS)).select("page_id", "line", F.struct(F.coalesce(C("bbox.x"), F.lit(0.0)).alias("x"), "line_id", "r").alias("o"))
+    grouped = some.groupBy("page_id", "line").agg(F.sort_array(F.collect_list("o")).alias("o"), F.count("*").alias("parts"))
     rows = F.transform("o", lambda o: o["r"])
-    whole = grouped.where("parts > 1").select("page_id", "line", "parts", F.aggregate(F.slice(rows, F.lit(2), F.size("o")), F.get(rows, F.lit(0)), _merged).alias("r"))
-    alone = grouped.where("parts = 1").select("page_id", "line", "parts", F.get(rows, F.lit(0)).alias("r"))
-    return whole.unionByName(alone).select("page_id", C("line").alias("line_id"), "r.text", "r.confidence", "r.bbox", "parts")
+    whole = grouped.select("page_id", "line", F.aggregate(F.slice(rows, F.lit(2), F.size("o")), F.get(rows, F.lit(0)), _merged).alias("r"), "parts").select("page_id", "line", "r.text", "r.confidence", "r.bbox", "parts")
+    alone = parts.where("line IS NULL").select("page_id", C("line_id").alias("line"), "text", "confidence", "bbox", F.lit(1).cast("long").alias("parts"))
+    return whole.unionByName(alone).withColumnRenamed("line", "line_id")
